@@ -16,7 +16,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,12 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table, width
+from .words import BYTE, SPACE, mix, places, texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pre-tokenizer never looks across these runs, so each is encoded by itself.
 _RUN = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-_CACHED_RUNS, _CACHED_CHARS = 300_000, 40
+#: White space outside ASCII, in UTF-8.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Bounds of what an encoder remembers, and the bytes it encodes at once.
+_KNOWN_RUNS, _KNOWN_IDS, _BATCH_BYTES = 400_000, 4_000_000, 1 << 21
 
 #: Bounds of the dictionary: documents of the sample, characters of one of them, bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 1 << 16
@@ -42,9 +45,12 @@ _NO_ID = -(1 << 63)
 
 
 class Encoder:
-    """Token ids of whole texts; runs between spaces are encoded once and remembered, up to a bound.
+    """Token ids of whole texts.
 
-    Strings of special tokens inside a text are ordinary text.
+    Runs between spaces recur, so each is encoded once and found again by a
+    64-bit hash of its bytes (two of the at most 400,000 remembered runs are
+    confused with a chance of one in a hundred million). Strings of special
+    tokens inside a text are ordinary text.
     """
 
     def __init__(self, path: str = VOCABULARY) -> None:
@@ -53,37 +59,101 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.runs, self.at, self.n = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        ids = self.plain(texts)
+        sizes = np.array([len(i) for i in ids])
+        end = self.used + int(sizes.sum())
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(end, 2 * len(self.pool)) - self.used, np.uint32)])
+        self.pool[self.used : end] = np.concatenate(ids)
+        runs = np.concatenate([self.runs, hashes])
+        order = np.argsort(runs, kind="stable")
+        self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])[order]
+        self.n = np.concatenate([self.n, sizes])[order]
+        self.runs, self.used = runs[order], end
+
+    def _batch(self, data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+        """Ids of the texts between ``cuts``, which hold no white space outside ASCII."""
+        if not len(data):
+            return [np.empty(0, np.uint32)] * (len(cuts) - 1)
+        inside = ~SPACE[data]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[cuts] = True
+        turn = inside[1:] != inside[:-1]
+        start = np.zeros(len(data), bool)  # of a word
+        start[0] = inside[0]
+        start[1:] = turn & inside[1:]
+        new = begins[:-1]
+        start |= new & inside
+        first = np.flatnonzero(start)
+        led = first[(first > 0) & ~new[first]]  # words after white space in their text
+        edge = begins.copy()
+        edge[1:-1] |= turn & inside[:-1]  # white space after a word
+        edge[led - 1] = True
+        edge[led] |= data[led - 1] != 0x20
+        starts = np.flatnonzero(edge[:-1])
+        sizes = np.diff(np.append(starts, len(data)))
+        value = BYTE[data] * places(int(sizes.max()))[np.arange(len(data)) - np.repeat(starts, sizes)]
+        hashes = mix(np.add.reduceat(value, starts) + sizes.astype(np.uint64))
+        if len(self.runs) > _KNOWN_RUNS or self.used > _KNOWN_IDS:
+            self._forget()
+        k = np.minimum(np.searchsorted(self.runs, hashes), len(self.runs) - 1)
+        missing = np.flatnonzero(self.runs[k] != hashes)
+        if len(missing):
+            unseen, one = np.unique(hashes[missing], return_index=True)
+            self._learn(unseen, [data[starts[i] : starts[i] + sizes[i]].tobytes().decode() for i in missing[one]])
+            k = np.searchsorted(self.runs, hashes)
+        n = self.n[k]
+        to = np.cumsum(n)
+        ids = self.pool[np.repeat(self.at[k] - (to - n), n) + np.arange(int(to[-1]))]
+        bounds = np.append(0, to)[np.searchsorted(starts, cuts)]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each row of a string column; a null row has none."""
+        data, offsets = texts(column)
+        rows, i = len(offsets) - 1, 0
+        while i < rows:
+            j = min(rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + _BATCH_BYTES, side="right")) - 1))
+            part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if len(part) > 2 * _BATCH_BYTES or _WIDE.search(part):
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    yield self.by_runs(part[a:b].tobytes().decode())
+            else:
+                yield from self._batch(part, cuts)
+            i = j
+
+    def by_runs(self, text: str) -> np.ndarray:
+        """Ids of one text with any white space and of any length, run by run."""
+        runs = _RUN.findall(text)
+        out: list[np.ndarray] = [np.empty(0, np.uint32)]
+        for i in range(0, len(runs), 1 << 18):
+            some = runs[i : i + (1 << 18)]
+            unique = list(dict.fromkeys(some))
+            ids = dict(zip(unique, self.plain(unique), strict=True))
+            out += [ids[r] for r in some]
+        return np.concatenate(out)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        runs = _RUN.findall(text) if text else []
-        known = self.known
-        try:
-            return np.fromiter(chain.from_iterable([known[r] for r in runs]), np.uint32)
-        except KeyError:
-            new = [r for r in set(runs) if r not in known]
-        ids = [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        if len(known) > _CACHED_RUNS:
-            known.clear()
-            return np.fromiter(chain.from_iterable(self._all(runs)), np.uint32)
-        local = dict(zip(new, ids, strict=True))
-        out = np.fromiter(chain.from_iterable([known[r] if r in known else local[r] for r in runs]), np.uint32)
-        known.update((r, i) for r, i in local.items() if len(r) <= _CACHED_CHARS)
-        return out
-
-    def _all(self, runs: list[str]) -> list[tuple[int, ...]]:
-        unique = list(dict.fromkeys(runs))
-        local = dict(zip(unique, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(unique, add_special_tokens=False)), strict=True))
-        return [local[r] for r in runs]
+        return next(self.column(pa.array([text], pa.string())))
 
 
 def trained_dictionary(docs: DataFrame, path: str, end: int, kind: str) -> bytes:
     """A dictionary from serialized ids of a bounded sample of documents, the first by hash; empty for too few."""
     size = F.length("text")
     ids = [r[0] for r in docs.filter((size > 0) & (size <= SAMPLE_CHARS)).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS).collect()]
-    texts = docs.filter(F.col("doc_id").isin([i for i in ids if i is not None]) & (size <= SAMPLE_CHARS)).select("text").limit(2 * SAMPLE_DOCS).collect()
+    sample = docs.filter(F.col("doc_id").isin([i for i in ids if i is not None]) & (size <= SAMPLE_CHARS)).select("text").limit(2 * SAMPLE_DOCS).collect()
     encode = Encoder(path)
-    samples = [np.append(encode(r[0]), np.uint32(end)).astype(kind).tobytes() for r in sorted(texts)]
+    samples = [np.append(encode(r[0]), np.uint32(end)).astype(kind).tobytes() for r in sorted(sample)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples
@@ -117,10 +187,10 @@ def write_token_files(docs: DataFrame, out: str, path: str = VOCABULARY, end: in
             return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("dictionary_sha256", pa.string()), ("index", pa.binary()), ("payload", pa.binary())]))
 
         for part in parts:
-            for doc, text in zip(part.column("doc_id"), part.column("text"), strict=True):
-                ids = np.append(encode(text.as_py()), np.uint32(end))
+            for doc, own in zip(part.column("doc_id").to_pylist(), encode.column(part.column("text")), strict=True):
+                ids = np.append(own, np.uint32(end))
                 frame = press.compress(ids.astype(kind).tobytes())
-                index.append((_NO_ID if (d := doc.as_py()) is None else d, at, len(ids)))
+                index.append((_NO_ID if doc is None else doc, at, len(ids)))
                 frames.append(frame)
                 at += len(frame)
                 if at >= BLOCK_BYTES or len(index) >= BLOCK_DOCS:
@@ -183,8 +253,8 @@ def pieces(docs: DataFrame, capacity: int, path: str = VOCABULARY, end: int = 0)
         encode = Encoder(path)
         for part in parts:
             rows = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                ids = np.append(encode(text.as_py()), np.uint32(end))
+            for doc, own in zip(part.column("doc_id").to_pylist(), encode.column(part.column("text")), strict=True):
+                ids = np.append(own, np.uint32(end))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5

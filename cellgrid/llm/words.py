@@ -16,8 +16,8 @@ _S33 = np.uint64(33)
 #: Bytes hashed at once; a longer document is hashed in blocks cut at white space.
 BLOCK_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -29,11 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _PLACE = mix(np.arange(1000, 1000 + 4096, dtype=np.uint64)) | np.uint64(1)
 
 
-def _places(n: int) -> np.ndarray:
+def places(n: int) -> np.ndarray:
     global _PLACE
     if n > len(_PLACE):
         _PLACE = mix(np.arange(1000, 1000 + 2 * n, dtype=np.uint64)) | np.uint64(1)
@@ -45,7 +45,7 @@ def hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     ``cuts``: offsets where a text ends and the next begins, so that no word crosses them.
     """
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0], edge[-1] = len(data) > 0 and inside[0], False
     edge[1:-1] = inside[1:] & ~inside[:-1]
@@ -63,7 +63,7 @@ def hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(at)) - np.repeat(first, lengths)
-    value = _BYTE[data[at]] * _places(int(lengths.max()))[place]
+    value = BYTE[data[at]] * places(int(lengths.max()))[place]
     return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64)), starts, ends
 
 
@@ -101,8 +101,8 @@ def batches(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np
             found, at = [], 0
             while at < len(part):
                 to = min(at + BLOCK_BYTES, len(part))
-                while to < len(part) and not _SPACE[part[to]]:
-                    gap = np.flatnonzero(_SPACE[part[to : to + BLOCK_BYTES]])
+                while to < len(part) and not SPACE[part[to]]:
+                    gap = np.flatnonzero(SPACE[part[to : to + BLOCK_BYTES]])
                     to = to + int(gap[0]) if len(gap) else min(to + BLOCK_BYTES, len(part))
                 found.append(hash_words(part[at:to], np.array([0, to - at]))[0])
                 at = to
