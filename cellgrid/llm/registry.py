@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat
+from .licenses import op1_licenses
 from .minhash import op5_near_duplicates
+from .packing import op4_packing
+from .quality_rules import op3_quality_rules
+from .tokens import op6_token_files
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_token_files": op6_token_files,
+    "op7_chat": op7_chat,
 }
 ORACLE_SQL: dict[str, str] = {}
