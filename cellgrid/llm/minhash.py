@@ -205,5 +205,5 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near copies: of each component the rows of its smallest ``doc_id`` stay."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")

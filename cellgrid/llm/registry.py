@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat import op7_chat
+from .decontaminate import op9_decontamination
+from .html_text import op8_html_text
 from .licenses import op1_licenses
 from .minhash import op5_near_duplicates
 from .packing import op4_packing
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op3_quality_rules
 from .tokens import op6_token_files
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_files": op6_token_files,
     "op7_chat": op7_chat,
+    "op8_html_text": op8_html_text,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}
