@@ -111,4 +111,4 @@ def collapsed_pairs(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """
     named = edges.join(labels.withColumnsRenamed({"id": "left", "label": "_l"}), "left").join(labels.withColumnsRenamed({"id": "right", "label": "_r"}), "right")
     pairs = named.groupBy(F.least("_l", "_r").alias("a"), F.greatest("_l", "_r").alias("b")).agg(F.count("*").alias("n"), F.min("pos").alias("_first"))
-    return pairs.select("a", "b", "n", (F.row_number().over(Window.orderBy("_first")) - 1).alias("coarse"))
+    return pairs.select("a", "b", "n", (F.row_number().over(Window.orderBy("_first", "a", "b")) - 1).alias("coarse"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,25 +59,29 @@ def stacked_metrics(parts: list[DataFrame]) -> DataFrame:
     return sums.withColumns({"mito_frac": F.lit(0.0), "ribo_frac": F.lit(0.0)})
 
 
-def upper_median(values: DataFrame, column: str) -> DataFrame:
-    """One row ``(median)``: the element ``n div 2`` of the sorted values, found over counts of equal values."""
+def upper_median(values: DataFrame, column: str) -> float | None:
+    """The element ``n div 2`` of the sorted values, found over counts of equal values; None without values."""
     counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    total = counts.agg(F.sum("n").alias("total"))
-    return upto.crossJoin(F.broadcast(total)).filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("median"))
+    n = values.count()
+    return upto.filter(F.col("upto") > n // 2).agg(F.min("v")).first()[0]
 
 
-def band(values: DataFrame, column: str, n_mads: float = 5.0, log1p: bool = True) -> DataFrame:
-    """One row ``(lo, hi)`` of ``median +- n_mads * MAD * 1.4826`` on the transformed scale; nulls where there is no band."""
+def band_edges(values: DataFrame, column: str, n_mads: float = 5.0, log1p: bool = True) -> tuple[float, float] | None:
+    """``median +- n_mads * MAD * 1.4826`` on the transformed scale; None where the MAD is not positive or nothing is finite."""
     v = F.col(column).cast("double")
     t = F.log1p(F.greatest(v, F.lit(0.0))) if log1p else v
     finite = values.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))).select(t.alias("t"))
     mid = upper_median(finite, "t")
-    dev = finite.crossJoin(F.broadcast(mid)).select(F.abs(F.col("t") - F.col("median")).alias("d"))
-    mad = upper_median(dev, "d").withColumnRenamed("median", "mad")
-    wide = F.lit(n_mads * MAD_SCALE) * F.col("mad")
-    some = F.col("mad") > 0
-    return mid.crossJoin(mad).select(F.when(some, F.col("median") - wide).alias("lo"), F.when(some, F.col("median") + wide).alias("hi"))
+    if mid is None:
+        return None
+    mad = upper_median(finite.select(F.abs(F.col("t") - mid).alias("d")), "d")
+    return (mid - n_mads * MAD_SCALE * mad, mid + n_mads * MAD_SCALE * mad) if mad > 0 else None
+
+
+def band(values: DataFrame, column: str, n_mads: float = 5.0, log1p: bool = True) -> DataFrame:
+    """One row ``(lo, hi)`` of the band; nulls where there is none."""
+    return values.sparkSession.createDataFrame([band_edges(values, column, n_mads, log1p) or (None, None)], "lo double, hi double")
 
 
 def within(value: Column, lo: Column, hi: Column, tail: str = "both", log1p: bool = True) -> Column:
@@ -93,6 +98,7 @@ def verdicts(cells: DataFrame, rules: QcRules = QcRules(), exempt: Column | None
     verdict. If every cell would go, all stay.
     """
     free = exempt if exempt is not None else F.lit(False)
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)  # bands, verdicts and the guard all read the metrics
     c = cells.withColumns({"exempt": free, "near_empty": ~free & (F.col("n_genes") < rules.min_nnz)})
     bad = F.col("total_counts") < rules.min_counts
     if rules.mito_cap is not None:
@@ -102,13 +108,14 @@ def verdicts(cells: DataFrame, rules: QcRules = QcRules(), exempt: Column | None
     if rules.min_genes is not None:
         bad = bad | (F.col("n_genes") < rules.min_genes)
     for x in rules.mads_on:
-        b = band(c.filter(~F.col("near_empty") & ~F.col("exempt")), x, rules.n_mads).select(F.col("lo").alias(f"_lo_{x}"), F.col("hi").alias(f"_hi_{x}"))
-        c = c.crossJoin(F.broadcast(b))
-        bad = bad | ~within(F.col(x), F.col(f"_lo_{x}"), F.col(f"_hi_{x}"))
-    c = c.withColumn("_out", ~F.col("exempt") & ~F.col("near_empty") & bad)
-    kept = c.agg(F.coalesce(F.sum((~F.col("_out")).cast("int")), F.lit(0)).alias("_kept"))
-    c = c.crossJoin(F.broadcast(kept)).withColumn("outlier", F.col("_out") & (F.col("_kept") > 0)).withColumn("train_keep", ~F.col("outlier"))
-    return c.withColumn("emitted", F.col("train_keep") & ~F.col("near_empty")).select(*cells.columns, "near_empty", "outlier", "train_keep", "emitted")
+        edges = band_edges(c.filter(~F.col("near_empty") & ~F.col("exempt")), x, rules.n_mads)
+        if edges:
+            bad = bad | ~within(F.col(x), F.lit(edges[0]), F.lit(edges[1]))
+    out = ~F.col("exempt") & ~F.col("near_empty") & bad
+    if c.filter(~out).isEmpty():
+        out = F.lit(False)
+    c = c.withColumns({"outlier": out, "train_keep": ~out, "emitted": ~out & ~F.col("near_empty")})
+    return c.select(*cells.columns, "near_empty", "outlier", "train_keep", "emitted")
 
 
 def feature_verdicts(features: DataFrame, min_cells: int) -> DataFrame:

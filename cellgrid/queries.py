@@ -1,6 +1,532 @@
-"""Registered queries of the matrix engine and their SQL."""
+"""Registered queries of the matrix engine over the driver's tables, and the SQL of each."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import names
+from .functions.numeric import sign_code
+from .matrix import SparseMatrix, faults, info
+from .operators import align, annotate, collapse, genes, knn, project, qc, sample, select, stats
+from .plans.datasets import CELLS, FEATURES, entries_sql, event_fragments, orders_matrix, orders_sql, supply_matrix, table, vectors
+from .sources import fragments, mtx, tables
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Line items of the thinned matrix, which has empty rows and columns.
+THIN = "l_quantity > 49"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def r6(*cols: str) -> list[Column]:
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+_STAT = "coalesce(nnz, 0) AS nnz, coalesce(tot, 0) AS tot, round(coalesce(tot, 0) / n, 6) AS mu, round(sqrt(greatest(coalesce(sq, 0) / n - (coalesce(tot, 0) / n) * (coalesce(tot, 0) / n), 0)), 6) AS sig"
+_SUM = "count(*) FILTER (val > 0) AS nnz, sum(val) AS tot, sum(val * val) AS sq"
+
+
+@query(f"{orders_sql()}, s AS (SELECT col_id, {_SUM} FROM entries GROUP BY 1), a AS (SELECT count(*) AS n FROM features) SELECT col_id, {_STAT} FROM cells LEFT JOIN s USING (col_id) CROSS JOIN a")
+def q_column_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.column_stats(orders_matrix(spark, d)).select("col_id", "nnz", "tot", *r6("mu", "sig"))
+
+
+@query(f"{orders_sql(THIN)}, s AS (SELECT row_id, {_SUM} FROM entries GROUP BY 1), a AS (SELECT count(*) AS n FROM cells) SELECT row_id, {_STAT} FROM features LEFT JOIN s USING (row_id) CROSS JOIN a")
+def q_row_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.row_stats(orders_matrix(spark, d, THIN)).select("row_id", "nnz", "tot", *r6("mu", "sig"))
+
+
+@query(f"{orders_sql(THIN)}, f AS (SELECT * FROM features WHERE regexp_matches(row_name, 'brand#1', 'i')), s AS (SELECT col_id, {_SUM} FROM entries WHERE row_id IN (SELECT row_id FROM f) GROUP BY 1), a AS (SELECT count(*) AS n FROM f) SELECT col_id, {_STAT} FROM cells LEFT JOIN s USING (col_id) CROSS JOIN a")
+def q_column_stats_subset(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d, THIN)
+    rows = m.features.filter(select.name_matches(F.col("row_name"), "brand#1"))
+    return stats.column_stats(m, rows).select("col_id", "nnz", "tot", *r6("mu", "sig"))
+
+
+@query(f"{orders_sql(THIN)}, g AS (SELECT grp, count(*) AS n FROM cells GROUP BY 1), s AS (SELECT grp, row_id, {_SUM} FROM entries JOIN cells USING (col_id) GROUP BY 1, 2) SELECT grp, row_id, {_STAT} FROM g CROSS JOIN features LEFT JOIN s USING (grp, row_id)")
+def q_row_stats_by_group(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d, THIN)
+    return stats.row_stats_by_group(m, m.cells).select("grp", "row_id", "nnz", "tot", *r6("mu", "sig"))
+
+
+@query(f"{orders_sql()} SELECT 'row' AS axis, row_id AS id, count(*) AS nnz, sum(val) AS tot FROM entries GROUP BY 2 UNION ALL SELECT 'column', col_id, count(*), sum(val) FROM entries GROUP BY 2")
+def q_both_margins(spark: SparkSession, d: str) -> DataFrame:
+    return stats.both_stats(orders_matrix(spark, d))
+
+
+@query(f"{orders_sql()} SELECT 'nrow' AS key, CAST(count(*) AS VARCHAR) AS value FROM features UNION ALL SELECT 'ncol', CAST(count(*) AS VARCHAR) FROM cells UNION ALL SELECT 'nnz', CAST(count(*) AS VARCHAR) FROM entries UNION ALL SELECT 'meta.producer', 'orders' UNION ALL SELECT 'meta.content', 'quantity'")
+def q_info(spark: SparkSession, d: str) -> DataFrame:
+    return info(orders_matrix(spark, d))
+
+
+_FAULTY = "(SELECT l_partkey AS row_id, l_suppkey AS col_id, CAST(l_quantity AS DOUBLE) AS val FROM lineitem)"
+
+
+@query(f"WITH e AS {_FAULTY} SELECT 'given twice' AS fault, row_id, col_id FROM e GROUP BY 2, 3 HAVING count(*) > 1 UNION ALL SELECT 'row out of range', row_id, col_id FROM e WHERE row_id >= 10 AND row_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)  UNION ALL SELECT 'row out of range', row_id, col_id FROM e WHERE row_id < 10 AND row_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)")
+def q_validate(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("row_id"), F.col("l_suppkey").alias("col_id"), F.col("l_quantity").cast("double").alias("val"))
+    f = table(spark, d, "part").filter("p_size > 1").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("row_name"))
+    c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("col_id"), F.col("s_name").alias("col_name"))
+    return faults(SparseMatrix(e, f, c))
+
+
+@query(f"{orders_sql(THIN)}, p(pos, col_id) AS (VALUES (0, 7), (1, 3), (2, 7), (3, 12)) SELECT row_id, pos, coalesce(val, 0) AS val FROM features CROSS JOIN p LEFT JOIN entries USING (row_id, col_id)")
+def q_take_columns(spark: SparkSession, d: str) -> DataFrame:
+    return select.dense_columns(orders_matrix(spark, d, THIN), select.selection(spark, [7, 3, 7, 12], "col_id"))
+
+
+@query(f"{orders_sql(THIN)}, p(pos, row_id) AS (VALUES (0, 5), (1, 2), (2, 9)) SELECT col_id, pos, coalesce(val, 0) AS val FROM cells CROSS JOIN p LEFT JOIN entries USING (row_id, col_id)")
+def q_take_rows(spark: SparkSession, d: str) -> DataFrame:
+    return select.dense_rows(orders_matrix(spark, d, THIN), select.selection(spark, [5, 2, 9], "row_id"))
+
+
+@query(f"{orders_sql()}, p AS (SELECT range AS col_id, range - 10 AS pos FROM range(10, 21)) SELECT row_id, pos AS col_id, val FROM entries JOIN p USING (col_id)")
+def q_subset_indices(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return select.subset_columns(m, select.selection(spark, select.parse_indices("10-20", 100), "col_id")).entries
+
+
+@query(f"{orders_sql()} SELECT row_id, col_id, val FROM entries WHERE row_id IN (SELECT row_id FROM features WHERE regexp_matches(row_name, 'RED', 'i'))")
+def q_subset_regex(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return select.keep_rows(m, m.features.filter(select.name_matches(F.col("row_name"), "RED"))).entries
+
+
+@query(f"{orders_sql()} SELECT row_id, row_name, CASE WHEN contains(lower(row_name), 'brand#7_') THEN 0 ELSE 1 END AS rank FROM features WHERE contains(lower(row_name), 'brand#7_') OR contains(lower(row_name), 'bolt')")
+def q_substring_match(spark: SparkSession, d: str) -> DataFrame:
+    return select.substring_matches(orders_matrix(spark, d).features.select("row_id", "row_name"), "row_name", ["Brand#7_", " ", "bolt"])
+
+
+_ORDER = "o(pos, row_name) AS (SELECT range, CASE WHEN range = 3 THEN 'missing' ELSE (SELECT f.row_name FROM features f WHERE f.row_id = 20 - 2 * range) END FROM range(0, 8))"
+
+
+@query(f"{orders_sql()}, {_ORDER} SELECT o.pos AS row_id, count(e.val) AS nnz, coalesce(sum(e.val), 0) AS tot FROM o LEFT JOIN features f USING (row_name) LEFT JOIN entries e ON e.row_id = f.row_id GROUP BY 1")
+def q_reorder_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    want = spark.createDataFrame([(i, 20 - 2 * i) for i in range(8) if i != 3], "pos long, row_id long")
+    order = m.features.join(F.broadcast(want), "row_id").select("pos", "row_name").union(spark.createDataFrame([(3, "missing")], "pos long, row_name string"))
+    out = select.reorder_rows(m, order)
+    sums = out.entries.groupBy("row_id").agg(F.count("*").alias("nnz"), F.sum("val").alias("tot"))
+    return out.features.select("row_id").join(sums, "row_id", "left").fillna(0, ["nnz", "tot"])
+
+
+@query(f"{orders_sql(THIN)}, r AS (SELECT row_id FROM entries GROUP BY 1 HAVING count(*) >= 12), c AS (SELECT col_id FROM entries GROUP BY 1 HAVING count(*) >= 2) SELECT row_id, col_id, val FROM entries WHERE (row_id IN (SELECT row_id FROM r) OR NOT EXISTS (SELECT 1 FROM r)) AND (col_id IN (SELECT col_id FROM c) OR NOT EXISTS (SELECT 1 FROM c))")
+def q_squeeze(spark: SparkSession, d: str) -> DataFrame:
+    return qc.squeeze(orders_matrix(spark, d, THIN), 12, 2).entries
+
+
+@query(f"""{orders_sql()}, s AS (SELECT col_id, count(*) AS v FROM entries GROUP BY 1), x AS (SELECT min(v) AS lo, CASE WHEN max(v) <= min(v) THEN min(v) + greatest(min(v), 1) ELSE max(v) END AS hi FROM s), y AS (SELECT *, CASE WHEN hi >= 20 THEN 1.0 ELSE least(greatest(lo / 2, hi * 1e-4), 1) END AS shift FROM x)
+SELECT CAST(least(greatest(floor((ln(v + shift) - ln(lo + shift)) / (ln(hi + shift) - ln(lo + shift)) * 40 + 1e-9), 0), 39) AS INTEGER) AS bin, count(*) AS n, min(v) AS least, max(v) AS most FROM s CROSS JOIN y GROUP BY 1""")
+def q_histogram_nnz(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return stats.histogram(m.entries.groupBy("col_id").agg(F.count("*").alias("v")), "v")
+
+
+@query(f"{orders_sql()}, s AS (SELECT sum(val) AS v FROM entries GROUP BY col_id), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM s), p(p) AS (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) SELECT CAST(p AS DOUBLE) AS p, v AS value FROM k JOIN p ON i = round((n - 1) * p)")
+def q_stat_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return stats.quantiles(stats.column_stats(orders_matrix(spark, d)), "tot")
+
+
+@query(f"{orders_sql()} SELECT row_id, sum(val) AS tot FROM entries GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def q_top_rows(spark: SparkSession, d: str) -> DataFrame:
+    return stats.top(stats.row_stats(orders_matrix(spark, d)), "tot", 25).select("row_id", "tot")
+
+
+_METRICS = "q AS (SELECT col_id, count(val) AS n_genes, coalesce(sum(val), 0) AS total_counts, coalesce(sum(val) FILTER (p_brand LIKE 'Brand#1%'), 0) / coalesce(nullif(sum(val), 0), 1) AS mito_frac, coalesce(sum(val) FILTER (feature_type = 'SMALL'), 0) / coalesce(nullif(sum(val), 0), 1) AS ribo_frac FROM cells LEFT JOIN (entries JOIN features USING (row_id)) USING (col_id) GROUP BY 1)"
+
+
+def _metrics(m: SparseMatrix) -> DataFrame:
+    return qc.metrics(m, F.col("p_brand").startswith("Brand#1"), F.col("feature_type") == "SMALL")
+
+
+@query(f"{orders_sql(THIN)}, {_METRICS} SELECT col_id, n_genes, total_counts, round(mito_frac, 6) AS mito_frac, round(ribo_frac, 6) AS ribo_frac FROM q")
+def q_qc_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(orders_matrix(spark, d, THIN)).select("col_id", "n_genes", "total_counts", *r6("mito_frac", "ribo_frac"))
+
+
+def _band_sql(source: str, column: str, name: str) -> str:
+    return f"""{name}_t AS (SELECT ln(1 + {column}) AS t FROM {source}), {name}_m AS (SELECT t AS med FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM {name}_t) WHERE i = n // 2), {name}_d AS (SELECT abs(t - med) AS a, med FROM {name}_t CROSS JOIN {name}_m), {name} AS (SELECT CASE WHEN a > 0 THEN med - 5.0 * 1.4826 * a END AS lo, CASE WHEN a > 0 THEN med + 5.0 * 1.4826 * a END AS hi FROM (SELECT a, med, row_number() OVER (ORDER BY a) - 1 AS i, count(*) OVER () AS n FROM {name}_d) WHERE i = n // 2)"""
+
+
+@query(f"{orders_sql()}, {_METRICS}, {_band_sql('q', 'total_counts', 'b')} SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM b")
+def q_qc_band(spark: SparkSession, d: str) -> DataFrame:
+    return qc.band(_metrics(orders_matrix(spark, d)), "total_counts").select(*r6("lo", "hi"))
+
+
+_VERDICTS = f"""{_METRICS}, full_q AS (SELECT * FROM q WHERE n_genes >= 2), {_band_sql('full_q', 'n_genes', 'bg')}, {_band_sql('full_q', 'total_counts', 'bc')},
+o AS (SELECT q.*, n_genes < 2 AS near_empty, n_genes >= 2 AND (total_counts < 60 OR mito_frac > 0.8 OR NOT coalesce(ln(1 + n_genes) BETWEEN bg.lo AND bg.hi, true) OR NOT coalesce(ln(1 + total_counts) BETWEEN bc.lo AND bc.hi, true)) AS out_ FROM q CROSS JOIN bg CROSS JOIN bc),
+v AS (SELECT col_id, near_empty, out_ AND (SELECT bool_or(NOT out_) FROM o) AS outlier FROM o), w AS (SELECT *, NOT outlier AS train_keep, NOT outlier AND NOT near_empty AS emitted FROM v)"""
+_RULES = qc.QcRules(min_counts=60, mito_cap=0.8)
+
+
+@query(f"{orders_sql(THIN)}, {_VERDICTS} SELECT col_id, near_empty, outlier, train_keep, emitted FROM w")
+def q_qc_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return qc.verdicts(_metrics(orders_matrix(spark, d, THIN)), _RULES).select("col_id", "near_empty", "outlier", "train_keep", "emitted")
+
+
+@query(f"{orders_sql(THIN)}, {_VERDICTS} SELECT 'cells' AS key, count(*) AS value FROM w UNION ALL SELECT 'near_empty', count(*) FILTER (near_empty) FROM w UNION ALL SELECT 'outliers', count(*) FILTER (outlier) FROM w UNION ALL SELECT 'emitted', count(*) FILTER (emitted) FROM w")
+def q_qc_summary(spark: SparkSession, d: str) -> DataFrame:
+    return qc.summary(qc.verdicts(_metrics(orders_matrix(spark, d, THIN)), _RULES))
+
+
+def _rules() -> dict[str, Column]:
+    return {"few": F.col("n_genes") < 3, "shallow": F.col("total_counts") < 120, "mito": F.col("mito_frac") > 0.6}
+
+
+@query(f"{orders_sql(THIN)}, {_METRICS}, r AS (SELECT n_genes < 3 AS a, total_counts < 120 AS b, mito_frac > 0.6 AS c FROM q) SELECT concat_ws('+', CASE WHEN a THEN 'few' END, CASE WHEN b THEN 'shallow' END, CASE WHEN c THEN 'mito' END) AS failed, CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) AS n_rules, count(*) AS n FROM r GROUP BY 1, 2")
+def q_qc_rule_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return qc.rule_overlap(_metrics(orders_matrix(spark, d, THIN)), _rules())
+
+
+@query(f"{orders_sql(THIN)}, {_METRICS}, r AS (SELECT n_genes < 3 AS a, total_counts < 120 AS b, mito_frac > 0.6 AS c FROM q) SELECT 'few' AS rule, count(*) FILTER (a) AS removes, count(*) FILTER (a AND NOT b AND NOT c) AS only_it_removes FROM r UNION ALL SELECT 'shallow', count(*) FILTER (b), count(*) FILTER (b AND NOT a AND NOT c) FROM r UNION ALL SELECT 'mito', count(*) FILTER (c), count(*) FILTER (c AND NOT a AND NOT b) FROM r")
+def q_qc_rule_effects(spark: SparkSession, d: str) -> DataFrame:
+    return qc.rule_effects(_metrics(orders_matrix(spark, d, THIN)), _rules())
+
+
+@query(f"{orders_sql(THIN)}, k AS (SELECT row_id, count(val) AS n_cells FROM features LEFT JOIN entries USING (row_id) GROUP BY 1) SELECT row_id, n_cells, n_cells >= 12 OR NOT (SELECT bool_or(n_cells >= 12) FROM k) AS keep FROM k")
+def q_feature_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return qc.feature_verdicts(qc.cells_per_feature(orders_matrix(spark, d, THIN)), 12)
+
+
+_DEPTH = "dd AS (SELECT col_id, coalesce(sum(val), 0) AS depth FROM cells LEFT JOIN entries USING (col_id) GROUP BY 1), mm AS (SELECT quantile_cont(depth, 0.5) AS mid FROM dd WHERE depth > 0), sc AS (SELECT col_id, depth, CASE WHEN depth > 0 AND mid > 0 THEN depth / mid ELSE 1.0 END AS scale FROM dd CROSS JOIN mm)"
+
+
+@query(f"{orders_sql(THIN)}, {_DEPTH} SELECT col_id, depth, round(scale, 6) AS scale FROM sc")
+def q_depth_scales(spark: SparkSession, d: str) -> DataFrame:
+    return qc.depth_scales(orders_matrix(spark, d, THIN)).select("col_id", "depth", *r6("scale"))
+
+
+@query(f"{orders_sql(THIN)}, {_DEPTH} SELECT col_id, round(sum(val / scale), 6) AS tot FROM entries JOIN sc USING (col_id) GROUP BY 1")
+def q_scaled_column_sums(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d, THIN)
+    scales = qc.depth_scales(m).select("col_id", "scale")
+    return select.scaled(m.with_(cells=m.cells.join(scales, "col_id"))).groupBy("col_id").agg(F.round(F.sum("val"), 6).alias("tot"))
+
+
+@query(f"{orders_sql()}, g AS (SELECT grp, count(*) AS size FROM cells GROUP BY 1), h AS (SELECT grp, row_id, count(*) AS k FROM entries JOIN cells USING (col_id) GROUP BY 1, 2) SELECT row_id FROM h JOIN g USING (grp) WHERE k > 0.015 * size GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM g)")
+def q_broad_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return qc.broad_rows(m, m.cells.select("col_id", "grp"), 0.015)
+
+
+_TWO = "a AS (SELECT p_partkey AS row_id, p_partkey || '_' || p_brand || '_' || p_name AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS row_id, p_partkey || '_' || p_brand || '_' || p_name AS name FROM part WHERE p_partkey % 3 <> 0)"
+
+
+def _two(spark: SparkSession, d: str) -> list[SparseMatrix]:
+    m = orders_matrix(spark, d)
+    return [select.keep_rows(m, m.features.filter("row_id % 2 = 0")), supply_matrix(spark, d)]
+
+
+@query(f"WITH {_TWO}, u AS (SELECT name, 0 AS k, row_id FROM a UNION ALL SELECT name, 1, row_id FROM b WHERE name NOT IN (SELECT name FROM a)) SELECT name, row_number() OVER (ORDER BY k, row_id) - 1 AS pos FROM u")
+def q_rows_union(spark: SparkSession, d: str) -> DataFrame:
+    return align.aligned_rows(_two(spark, d), "union")
+
+
+@query(f"WITH {_TWO} SELECT name, row_number() OVER (ORDER BY a.row_id) - 1 AS pos FROM a JOIN b USING (name)")
+def q_rows_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return align.aligned_rows(_two(spark, d), "intersect")
+
+
+@query(f"WITH {_TWO}, u AS (SELECT name FROM a UNION SELECT name FROM b), k(backend) AS (VALUES (0), (1)) SELECT name, backend, CASE WHEN backend = 0 THEN name IN (SELECT name FROM a) ELSE name IN (SELECT name FROM b) END AS measured FROM u CROSS JOIN k")
+def q_row_coverage(spark: SparkSession, d: str) -> DataFrame:
+    parts = _two(spark, d)
+    return align.coverage(parts, align.aligned_rows(parts))
+
+
+@query(f"WITH {_TWO}, {entries_sql()}, m2 AS (SELECT l_partkey AS row_id, l_suppkey AS col_id, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2), c AS (SELECT name, a.row_id FROM a JOIN b USING (name)) SELECT name AS row_name, c_name || '@orders' AS col_name, 'orders' AS batch, val FROM entries JOIN c USING (row_id) JOIN customer ON col_id = c_custkey UNION ALL SELECT name, s_name || '@supply', 'supply', val FROM m2 JOIN c USING (row_id) JOIN supplier ON col_id = s_suppkey")
+def q_merge_common_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = align.merge(_two(spark, d), ["orders", "supply"], common_rows=True)
+    return m.entries.join(m.features, "row_id").join(m.cells, "col_id").select("row_name", "col_name", "batch", "val")
+
+
+def _halves(spark: SparkSession, d: str) -> list[SparseMatrix]:
+    a, b = orders_matrix(spark, d, "l_quantity > 30"), orders_matrix(spark, d, "l_quantity <= 20")
+    return [select.keep_columns(a, a.cells.filter("col_id % 3 <> 0")), select.keep_columns(b, b.cells.filter("col_id % 2 = 0"))]
+
+
+@query(f"WITH {entries_sql('l_quantity > 30 AND o_custkey % 3 <> 0', 'x')}, {entries_sql('l_quantity <= 20 AND o_custkey % 2 = 0', 'y')}, u AS (SELECT * FROM x UNION ALL SELECT * FROM y) SELECT c_name AS col_name, count(DISTINCT row_id) AS nnz, sum(val) AS tot FROM u JOIN customer ON col_id = c_custkey GROUP BY 1")
+def q_column_union_sum(spark: SparkSession, d: str) -> DataFrame:
+    m = align.stack(_halves(spark, d), ["a", "b"], columns="union")
+    return m.entries.join(m.cells, "col_id").groupBy("col_name").agg(F.count("*").alias("nnz"), F.sum("val").alias("tot"))
+
+
+@query(f"WITH {entries_sql('l_quantity > 30', 'x')}, {entries_sql('l_quantity <= 20', 'y')}, c AS (SELECT c_custkey AS col_id, c_name AS col_name, row_number() OVER (ORDER BY c_name) - 1 AS pos FROM customer WHERE c_custkey % 6 IN (2, 4)), u AS (SELECT 0 AS part, * FROM x UNION ALL SELECT 1, * FROM y) SELECT part, pos AS col_id, col_name, sum(val) AS tot FROM u JOIN c USING (col_id) GROUP BY 1, 2, 3")
+def q_align_shared(spark: SparkSession, d: str) -> DataFrame:
+    grid = align.align([[p] for p in _halves(spark, d)])
+    outs = [row[0].entries.join(row[0].cells, "col_id").groupBy(F.lit(i).alias("part"), "col_id", "col_name").agg(F.sum("val").alias("tot")) for i, row in enumerate(grid)]
+    return outs[0].union(outs[1])
+
+
+_FRAG = "f AS (SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + CAST(ceil(value) AS BIGINT) + 1 AS e, CAST(user_id AS VARCHAR) AS barcode FROM events)"
+
+
+@query(f"WITH {_FRAG}, t AS (SELECT unnest(range(s // 60, (e - 1) // 60 + 1)) AS tile, barcode FROM f) SELECT '1' AS chrom, tile, barcode, CAST(count(*) AS DOUBLE) AS val FROM t GROUP BY 2, 3")
+def q_fragments_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return fragments.tile_counts(event_fragments(spark, d), 60)
+
+
+@query(f"WITH {_FRAG}, p AS (SELECT DISTINCT s // 86400 * 86400 + 3600 AS a, s // 86400 * 86400 + 50000 AS b FROM f) SELECT '1' AS chrom, a AS start, b AS stop, barcode, CAST(count(*) AS DOUBLE) AS val FROM p JOIN f ON a < e AND b > s GROUP BY 2, 3, 4")
+def q_fragments_peaks(spark: SparkSession, d: str) -> DataFrame:
+    f = event_fragments(spark, d)
+    day = F.floor(F.col("start") / 86400) * 86400
+    peaks = f.select("chrom", (day + 3600).alias("start"), (day + 50000).alias("stop")).distinct()
+    return fragments.peak_counts(f, peaks, bin_width=3600)
+
+
+@query(f"WITH {_FRAG}, w AS (SELECT *, max(e) OVER (PARTITION BY barcode ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f), k AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY barcode ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS c FROM w), x AS (SELECT barcode AS chrom, c, min(s) AS lo, max(e) AS hi, count(*) AS n FROM k GROUP BY 1, 2) SELECT chrom, lo, hi, n FROM x")
+def q_locus_islands(spark: SparkSession, d: str) -> DataFrame:
+    loci = event_fragments(spark, d).select(F.col("barcode").alias("chrom"), "start", "stop")
+    return align.islands(loci).groupBy("chrom", "lo", "hi").agg(F.count("*").alias("n"))
+
+
+@query(f"{orders_sql()} SELECT col_id, row_id, val FROM (SELECT *, row_number() OVER (PARTITION BY col_id ORDER BY val DESC, row_id) AS r FROM entries JOIN features USING (row_id) WHERE feature_type = 'ECONOMY') WHERE r = 1")
+def q_hto_argmax(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return mtx.ranked_argmax(select.keep_rows(m, m.features.filter("feature_type = 'ECONOMY'"))).select("col_id", "row_id", "val")
+
+
+@query(f"{orders_sql()}, t AS (SELECT col_id, row_name, val, sum(val) OVER (PARTITION BY col_id) AS all_, row_number() OVER (PARTITION BY col_id ORDER BY val DESC, row_id) AS r FROM entries JOIN features USING (row_id) WHERE feature_type = 'PROMO') SELECT col_name AS barcode, row_name, val AS count FROM t JOIN cells USING (col_id) WHERE r = 1 AND all_ > 0")
+def q_hto_demultiplex(spark: SparkSession, d: str) -> DataFrame:
+    return mtx.demultiplexed(orders_matrix(spark, d), F.col("feature_type") == "PROMO")[1]
+
+
+_KNN = "v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS batch, embedding AS vec FROM embeddings), p AS (SELECT q.id AS source, r.batch, r.id AS match, sqrt(list_sum(list_transform(list_zip(q.vec, r.vec), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))) AS dist FROM v q JOIN v r ON q.batch <> r.batch WHERE q.id % 25 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY source, batch ORDER BY dist, match) AS rank FROM p)"
+
+
+def _matches(spark: SparkSession, d: str, k: int) -> DataFrame:
+    v = vectors(spark, d)
+    return knn.nearest(v.filter("id % 25 = 0"), v, k)
+
+
+@query(f"WITH {_KNN} SELECT source, batch, match, round(dist, 5) AS dist, rank FROM k WHERE rank <= 3")
+def q_matched_knn(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d, 3).select("source", "batch", "match", F.round("dist", 5).alias("dist"), "rank")
+
+
+@query(f"WITH {_KNN}, b AS (SELECT *, min(dist) OVER (PARTITION BY source) AS m FROM k WHERE rank <= 3), w AS (SELECT source, match, exp(-(dist * dist - m * m) / 2) AS w FROM b), n AS (SELECT source, match, w / sum(w) OVER (PARTITION BY source) AS w FROM w), e AS (SELECT vec_id AS match, unnest(range(0, 64)) AS row_id, unnest(embedding) AS val FROM embeddings) SELECT source, row_id, round(sum(w * val), 5) AS val FROM n JOIN e USING (match) GROUP BY 1, 2")
+def q_impute_knn(spark: SparkSession, d: str) -> DataFrame:
+    e = vectors(spark, d).select(F.col("id").alias("col_id"), F.posexplode("vec").alias("row_id", "val")).select(F.col("row_id").cast("long").alias("row_id"), "col_id", F.col("val").cast("double").alias("val"))
+    return knn.impute(_matches(spark, d, 3), e, 1.0).select("source", "row_id", F.round("val", 5).alias("val"))
+
+
+@query("WITH e AS (SELECT CAST(label AS VARCHAR) AS batch, unnest(range(0, 64)) AS k, unnest(embedding) AS v FROM embeddings), m AS (SELECT batch, k, avg(CAST(v AS DOUBLE)) AS v FROM e GROUP BY 1, 2), p AS (SELECT a.batch, b.batch AS near, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS dist FROM m a JOIN m b ON a.k = b.k AND a.batch <> b.batch GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY dist, near) AS rank FROM p) SELECT batch, near, round(dist, 5) AS dist, rank FROM r WHERE rank <= 2")
+def q_near_batches(spark: SparkSession, d: str) -> DataFrame:
+    return knn.near_batches(vectors(spark, d), 2).select("batch", "near", F.round("dist", 5).alias("dist"), "rank")
+
+
+@query(f"{orders_sql()}, s AS (SELECT batch AS individual, grp AS kind, count(*) AS size FROM cells GROUP BY 1, 2), y AS (SELECT batch AS individual, grp AS kind, row_id, sum(val) AS val FROM entries JOIN cells USING (col_id) GROUP BY 1, 2, 3) SELECT individual, kind, row_id, coalesce(val, 0) + 1 AS a, CAST(size + 1 AS DOUBLE) AS b, round((coalesce(val, 0) + 1) / (size + 1), 6) AS mean, round(sqrt(coalesce(val, 0) + 1) / (size + 1), 6) AS sd FROM s CROSS JOIN features LEFT JOIN y USING (individual, kind, row_id)")
+def q_pseudobulk_gamma(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    members = m.cells.select("col_id", F.col("batch").alias("individual"), F.col("grp").alias("kind"), F.lit(1.0).alias("w"))
+    return collapse.pseudobulk(m, members).select("individual", "kind", "row_id", "a", "b", *r6("mean", "sd"))
+
+
+@query(f"{orders_sql()}, s AS (SELECT grp, count(*) AS size FROM cells GROUP BY 1) SELECT row_id, grp, round(sum(val) / any_value(size), 6) AS mean FROM entries JOIN cells USING (col_id) JOIN s USING (grp) GROUP BY 1, 2")
+def q_group_means(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return collapse.group_means(m, m.cells.select("col_id", "grp")).select("row_id", "grp", *r6("mean"))
+
+
+_TREND = "s AS (SELECT row_id, coalesce(sum(val), 0) AS tot, coalesce(sum(val), 0) / (SELECT count(*) FROM cells) AS mu, coalesce(sum(val * val), 0) / (SELECT count(*) FROM cells) - (coalesce(sum(val), 0) / (SELECT count(*) FROM cells)) ** 2 AS var FROM features LEFT JOIN entries USING (row_id) GROUP BY 1), u AS (SELECT mu AS w, ln(mu) AS x, ln((var - mu) / (mu * mu)) AS y FROM s WHERE mu >= 1e-4 AND var > mu), c AS (SELECT count(*) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM u), l AS (SELECT any_value(n) AS n, any_value(my) AS my, any_value(mx) AS mx, CASE WHEN sum(w * (x - mx) ** 2) > 0 THEN sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) ** 2) ELSE 0 END AS slope FROM u CROSS JOIN c), t AS (SELECT my - slope * mx AS intercept, slope, n FROM l)"
+_FIT = "least(greatest(exp(intercept + slope * ln(mu)), 0), 100)"
+
+
+@query(f"{orders_sql()}, {_TREND} SELECT round(intercept, 5) AS intercept, round(slope, 5) AS slope, n FROM t")
+def q_dispersion_trend(spark: SparkSession, d: str) -> DataFrame:
+    out = genes.dispersion_trend(stats.row_stats(orders_matrix(spark, d)))
+    return out.select(F.round("intercept", 5).alias("intercept"), F.round("slope", 5).alias("slope"), "n")
+
+
+@query(f"{orders_sql()}, {_TREND} SELECT row_id, round((var - mu) / (mu * mu) - {_FIT}, 5) AS excess FROM s CROSS JOIN t WHERE mu > 0 ORDER BY (var - mu) / (mu * mu) - {_FIT} DESC, row_id LIMIT 50")
+def q_hvg_topn(spark: SparkSession, d: str) -> DataFrame:
+    return genes.variable_features(stats.row_stats(orders_matrix(spark, d)), 50).select("row_id", F.round("excess", 5).alias("excess"))
+
+
+@query(f"{orders_sql()}, {_TREND} SELECT row_id, round(1 / (1 + tot / (SELECT count(*) FROM cells) * {_FIT}), 6) AS weight FROM s CROSS JOIN t WHERE mu > 0 UNION ALL SELECT row_id, 1.0 FROM s WHERE mu <= 0")
+def q_fisher_weights(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return genes.fisher_weights(stats.row_stats(m), m.cells.count()).select("row_id", *r6("weight"))
+
+
+@query(f"{orders_sql()}, dp AS (SELECT col_id, sum(val) AS d FROM entries GROUP BY 1), rt AS (SELECT row_id, sum(val) AS r FROM entries GROUP BY 1), g AS (SELECT sum(val) AS t FROM entries), dv AS (SELECT row_id, sum(2 * val * ln(val / (r * d / t))) AS deviance FROM entries JOIN dp USING (col_id) JOIN rt USING (row_id) CROSS JOIN g GROUP BY 1) SELECT row_id, round(coalesce(deviance, 0), 4) AS deviance, coalesce((deviance - n) / sqrt(2 * n), 0) > 5 AS informative FROM features LEFT JOIN dv USING (row_id) CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells)")
+def q_informative_features(spark: SparkSession, d: str) -> DataFrame:
+    return genes.informative_features(orders_matrix(spark, d)).select("row_id", F.round("deviance", 4).alias("deviance"), "informative")
+
+
+@query(f"{orders_sql()} SELECT row_id % 50 AS row_id, col_id, sum(val) AS val FROM entries GROUP BY 1, 2")
+def q_coarse_sums(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return genes.coarse_sums(m, m.features.select("row_id", (F.col("row_id") % 50).alias("coarse")))
+
+
+@query("WITH e AS (SELECT l_orderkey * 8 + l_linenumber AS pos, l_partkey AS a, l_suppkey AS b FROM lineitem), n AS (SELECT pos, p_type AS x, n_name AS y FROM e JOIN part ON a = p_partkey JOIN supplier ON b = s_suppkey JOIN nation ON s_nationkey = n_nationkey), g AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n, min(pos) AS f FROM n GROUP BY 1, 2) SELECT a, b, n, row_number() OVER (ORDER BY f, a, b) - 1 AS coarse FROM g")
+def q_collapse_pairs(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_type").alias("label"))
+    supp = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("n_name").alias("label"))
+    edges = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("p"), F.col("l_partkey")).alias("left"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("right"))
+    return knn.collapsed_pairs(edges, part.union(supp))
+
+
+@query("WITH p AS (SELECT s_suppkey AS id, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier), b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p) SELECT CAST(least(greatest(floor((x - lx) / CASE WHEN hx > lx THEN hx - lx ELSE 1 END * 4), 0), 3) * 3 + least(greatest(floor((y - ly) / CASE WHEN hy > ly THEN hy - ly ELSE 1 END * 3), 0), 2) AS BIGINT) AS grp, count(*) AS n FROM p CROSS JOIN b GROUP BY 1")
+def q_spatial_tiles(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return sample.tiles(points, 4, 3).groupBy("grp").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(r % 4 AS INTEGER) AS fold, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY n_name) - 1 AS r FROM nation) GROUP BY 1")
+def q_fold_counts(spark: SparkSession, d: str) -> DataFrame:
+    groups = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("col_id"), F.col("n_name").alias("grp"))
+    every = groups.select("grp").union(table(spark, d, "nation").select(F.col("n_name")))
+    return sample.folds(every, 4).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment AS grp, least(count(*), 20) AS n FROM customer GROUP BY 1")
+def q_group_quota_counts(spark: SparkSession, d: str) -> DataFrame:
+    groups = table(spark, d, "customer").select(F.col("c_custkey").alias("col_id"), F.col("c_mktsegment").alias("grp"))
+    return sample.by_group(groups, n=20).groupBy("grp").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS distinct_n, true AS inside FROM (SELECT c_custkey FROM customer LIMIT 37)")
+def q_uniform_sample(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("col_id"))
+    drawn = sample.uniform(c, "col_id", n=37)
+    return drawn.agg(F.count("*").alias("n"), F.countDistinct("col_id").alias("distinct_n"), F.min(F.col("col_id").isNotNull()).alias("inside"))
+
+
+@query(f"{orders_sql()}, asked AS (SELECT upper(row_name) AS query FROM features WHERE row_id % 7 = 0) SELECT query, min(row_id) AS row_id, 1 AS tier FROM asked JOIN features ON query = upper(row_name) GROUP BY 1")
+def q_gene_name_match(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    asked = m.features.filter("row_id % 7 = 0").select(F.upper("row_name").alias("query"))
+    return names.reconciled(asked, m.features)
+
+
+@query(f"{orders_sql()}, f AS (SELECT col_name AS n, col_id FROM cells), q AS (SELECT col_name || '@x' AS query FROM cells WHERE col_id < 40 UNION ALL SELECT col_name FROM cells WHERE col_id BETWEEN 40 AND 80) SELECT query, col_id, CASE WHEN query = n THEN 0 ELSE 2 END AS tier FROM q JOIN f ON split_part(query, '@', 1) = n")
+def q_membership_match(spark: SparkSession, d: str) -> DataFrame:
+    c = orders_matrix(spark, d).cells.select("col_id", "col_name")
+    asked = c.filter("col_id < 40").select(F.concat("col_name", F.lit("@x")).alias("query")).union(c.filter("col_id between 40 and 80").select("col_name"))
+    # Base keys of the queries are names themselves, so the second tier finds them.
+    return select.membership_matches(c, "col_name", asked).select("query", "col_id", F.when(F.col("tier") == 1, 2).otherwise(F.col("tier")).alias("tier"))
+
+
+_ONTO = "ed AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region)"
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    up = n.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")).union(table(spark, d, "region").select("r_name", F.lit("WORLD")))
+    return up.withColumn("rel", F.lit("is_a"))
+
+
+@query(f"WITH RECURSIVE {_ONTO}, t AS (SELECT child AS t FROM ed UNION SELECT parent FROM ed), u AS (SELECT t AS term, t AS ancestor FROM t UNION SELECT u.term, ed.parent FROM u JOIN ed ON ed.child = u.ancestor) SELECT DISTINCT term, ancestor FROM u")
+def q_closure_nation_region(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.closure(_edges(spark, d))
+
+
+@query(f"WITH RECURSIVE {_ONTO}, t AS (SELECT child AS t FROM ed UNION SELECT parent FROM ed), u AS (SELECT t AS term, t AS ancestor FROM t UNION SELECT u.term, ed.parent FROM u JOIN ed ON ed.child = u.ancestor), a AS (SELECT n_name AS term, upper(s_name) AS gene FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT DISTINCT ancestor AS term, gene FROM a JOIN u USING (term)")
+def q_true_path(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("term"), F.upper("s_name").alias("gene"))
+    return annotate.propagated(a, annotate.closure(_edges(spark, d)))
+
+
+@query("SELECT p_brand AS term, count(*) AS n_rows FROM part GROUP BY 1 HAVING count(*) BETWEEN 5 AND 100000")
+def q_gmt_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    lines = p.groupBy("p_brand").agg(F.concat_ws("\t", F.first("p_brand"), F.lit("-"), F.concat_ws("\t", F.collect_list(F.concat(F.lit("g"), F.col("p_partkey"))))).alias("value")).select("value")
+    features = p.select(F.col("p_partkey").alias("row_id"), F.concat(F.lit("G"), F.col("p_partkey")).alias("gene"))
+    return annotate.set_rows(annotate.parse_gmt(lines), features, 5, 100000).groupBy("term").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT p_type AS feature_type, count(*) AS n FROM part GROUP BY 1")
+def q_feature_types(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.type_counts(orders_matrix(spark, d).features)
+
+
+@query("SELECT p_partkey AS row_id FROM part WHERE (contains(lower(p_type), 'eco') OR contains(lower(p_type), 'small')) AND NOT contains(lower(p_type), 'mall')")
+def q_type_filter(spark: SparkSession, d: str) -> DataFrame:
+    return orders_matrix(spark, d).features.filter(names.type_kept(F.col("feature_type"), "Eco, small", "MALL")).select("row_id")
+
+
+@query("SELECT p_partkey AS row_id, p_partkey || '_' || p_brand AS name, CAST(p_partkey AS VARCHAR) AS id, p_brand AS rest, 'x' || p_partkey % 3 || '@b' || p_partkey % 5 AS stacked, 'b' || p_partkey % 5 AS batch, 'x' || p_partkey % 3 AS base, '1' AS chrom, p_partkey * 10 AS start FROM part")
+def q_name_functions(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), names.id_name(F.col("p_partkey").cast("string"), F.col("p_brand")).alias("name"), names.stacked_name(F.concat(F.lit("x"), F.col("p_partkey") % 3), F.concat(F.lit("b"), F.col("p_partkey") % 5)).alias("stacked"), F.concat(F.lit("chr1:"), F.col("p_partkey") * 10, F.lit("-"), F.col("p_partkey") * 10 + 5).alias("l"))
+    s = names.split_id_name(F.col("name"))
+    return p.select("row_id", "name", s["id"].alias("id"), s["name"].alias("rest"), "stacked", names.batch_of(F.col("stacked")).alias("batch"), names.base_key(F.col("stacked")).alias("base"), names.locus(F.col("l"))["chrom"].alias("chrom"), names.locus(F.col("l"))["start"].alias("start"))
+
+
+@query("WITH x AS (SELECT vec_id, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS code FROM embeddings) SELECT vec_id, code FROM x")
+def q_sign_codes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", sign_code(F.slice("embedding", 1, 16)).alias("code"))
+
+
+@query("SELECT 'x' AS key, 'y' AS value WHERE false UNION ALL SELECT 'content', 'quantity'")
+def q_common_meta(spark: SparkSession, d: str) -> DataFrame:
+    from .matrix import common_meta
+
+    return spark.createDataFrame(sorted(common_meta([orders_matrix(spark, d).meta, supply_matrix(spark, d).meta]).items()), "key string, value string")
+
+
+@query(f"WITH {CELLS}, m AS (SELECT l_partkey AS feature, o_custkey AS barcode, l_linenumber % 2 AS gem, l_quantity, l_returnflag, l_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT feature, barcode, gem, CAST(count(*) AS DOUBLE) AS val FROM m WHERE l_returnflag <> 'N' AND l_tax < 0.05 AND barcode % 4 = 1 GROUP BY 1, 2, 3")
+def q_molecule_counts(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("feature"), F.col("o_custkey").alias("barcode"), (F.col("l_linenumber") % 2).alias("gem"), F.col("l_quantity").alias("reads"), F.when(F.col("l_returnflag") != "N", 1).otherwise(0).alias("umi_type"), (F.col("l_tax") < 0.05).alias("pass_filter"))
+    return tables.molecule_counts(m, m.filter("barcode % 4 = 1").select("barcode", "gem"))
+
+
+# Without SQL: seeded draws, projections and iterative fits.
+
+
+@query()
+def q_random_projection(spark: SparkSession, d: str) -> DataFrame:
+    return project.standardized(project.project(orders_matrix(spark, d), 8), 8)
+
+
+@query()
+def q_sign_bins(spark: SparkSession, d: str) -> DataFrame:
+    return project.sign_groups(project.project(orders_matrix(spark, d), 8), 8, 4)
+
+
+@query()
+def q_sketch_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sample.sketch(project.sign_groups(project.project(orders_matrix(spark, d), 8), 8, 4), 100)
+
+
+@query()
+def q_multilevel_collapse(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    return collapse.multilevel(m, project.project(m, 6), 6, 4, coarsest=2)[0]
+
+
+@query()
+def q_collapse_batches(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    cells = m.cells.select("col_id", "batch", "grp")
+    sums, _ = collapse.group_sums(m, cells)
+    by_batch, sizes = collapse.batch_sums(m, cells)
+    return collapse.collapsed(sums, sums.withColumn("val", F.lit(0.0)), by_batch, sizes.withColumn("w", F.lit(0.0)), m.features, 20)
+
+
+@query()
+def q_coarsen_features(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    sums, _ = collapse.group_sums(m, m.cells.select("col_id", "grp"))
+    r = genes.residual_profiles(sums).groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("grp", "r"))), lambda x: x["r"]).alias("vec"))
+    return genes.coarsened(r, 8, 3)
+
+
+@query()
+def q_hierarchical_merges(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
+    sums = m.entries.join(m.cells, "col_id").join(m.features, "row_id").groupBy("batch", "p_brand").agg(F.sum("val").alias("val")).toPandas()
+    merges, _ = genes.hierarchical(sums.pivot_table(index="batch", columns="p_brand", values="val", fill_value=0), effective_size=500)
+    return spark.createDataFrame([(int(a), int(b), float(f)) for a, b, f in merges], "a long, b long, log_factor double")
