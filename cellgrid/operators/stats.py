@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
 
-_SUMS = (F.sum((F.col("val") > 0).cast("long")).alias("nnz"), F.sum("val").alias("tot"), F.sum(F.col("val") * F.col("val")).alias("sumsq"))
+def _sums() -> list[Column]:
+    return [F.sum((F.col("val") > 0).cast("long")).alias("nnz"), F.sum("val").alias("tot"), F.sum(F.col("val") * F.col("val")).alias("sumsq")]
 
 
 def _finish(sums: DataFrame, size: Column) -> DataFrame:
@@ -22,20 +23,20 @@ def column_stats(m: SparseMatrix, rows: DataFrame | None = None) -> DataFrame:
     of = m.features.select("row_id") if rows is None else rows.select("row_id").distinct()
     e = m.entries if rows is None else m.entries.join(of, "row_id", "left_semi")
     size = of.agg(F.count("*").alias("axis"))
-    sums = m.cells.select("col_id").join(e.groupBy("col_id").agg(*_SUMS), "col_id", "left").crossJoin(F.broadcast(size))
+    sums = m.cells.select("col_id").join(e.groupBy("col_id").agg(*_sums()), "col_id", "left").crossJoin(F.broadcast(size))
     return _finish(sums, F.col("axis")).select("col_id", "nnz", "tot", "mu", "sig")
 
 
 def row_stats(m: SparseMatrix) -> DataFrame:
     """``(row_id, nnz, tot, mu, sig)`` of each row over all columns."""
     size = m.cells.agg(F.count("*").alias("axis"))
-    sums = m.features.select("row_id").join(m.entries.groupBy("row_id").agg(*_SUMS), "row_id", "left").crossJoin(F.broadcast(size))
+    sums = m.features.select("row_id").join(m.entries.groupBy("row_id").agg(*_sums()), "row_id", "left").crossJoin(F.broadcast(size))
     return _finish(sums, F.col("axis")).select("row_id", "nnz", "tot", "mu", "sig")
 
 
 def both_stats(m: SparseMatrix) -> DataFrame:
     """``(axis, id, nnz, tot)`` of rows and columns with entries from one scan."""
-    e = m.entries.groupingSets([[F.col("row_id")], [F.col("col_id")]], "row_id", "col_id").agg(F.grouping("row_id").alias("g"), *_SUMS)
+    e = m.entries.groupingSets([[F.col("row_id")], [F.col("col_id")]], "row_id", "col_id").agg(F.grouping("row_id").alias("g"), *_sums())
     return e.select(F.when(F.col("g") == 0, "row").otherwise("column").alias("axis"), F.coalesce("row_id", "col_id").alias("id"), "nnz", "tot")
 
 
@@ -46,7 +47,7 @@ def row_stats_by_group(m: SparseMatrix, groups: DataFrame) -> DataFrame:
     """
     of = m.cells.select("col_id").join(groups.select("col_id", "grp"), "col_id", "left").select("col_id", F.coalesce("grp", F.lit("")).alias("grp"))
     sizes = of.groupBy("grp").agg(F.count("*").alias("axis"))
-    sums = m.entries.join(of, "col_id").groupBy("grp", "row_id").agg(*_SUMS)
+    sums = m.entries.join(of, "col_id").groupBy("grp", "row_id").agg(*_sums())
     frame = sizes.crossJoin(m.features.select("row_id"))
     return _finish(frame.join(sums, ["grp", "row_id"], "left"), F.col("axis")).select("grp", "row_id", "nnz", "tot", "mu", "sig")
 
