@@ -9,22 +9,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     """ln of the gamma function; null and non-positive integers give null."""
     return x.map(lambda v: math.lgamma(v) if v == v and not (v <= 0 and v == int(v)) else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: _NORMAL.cdf(v) if v == v else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_ppf(p: pd.Series) -> pd.Series:
     """Quantile of the standard normal; outside (0, 1) null."""
     return p.map(lambda v: _NORMAL.inv_cdf(v) if v == v and 0 < v < 1 else None)
@@ -56,7 +57,7 @@ def exp_weights(distances: np.ndarray, target: float, steps: int = 60) -> np.nda
     return np.exp(-hi * d)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def distance_weights(distances: pd.Series, target: pd.Series) -> pd.Series:
     """``exp_weights`` of each array."""
     return pd.Series([exp_weights(np.asarray(d), t).tolist() if d is not None and len(d) else [] for d, t in zip(distances, target, strict=True)])
