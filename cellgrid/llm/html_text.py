@@ -194,8 +194,17 @@ class Page:
         clean = (_SPACE.sub(" ", html.unescape(b)).strip() for b in blocks)
         return "\n".join(b for b in clean if b)
 
+    def linked(self, n: int) -> bool:
+        """At least half of the text stands in links."""
+        inside = sum(self.size(k) for k, t in enumerate(self.tags) if t == "a" and self.first[n] < self.first[k] < self.last[n])
+        return 2 * inside >= self.size(n) > 0
+
     def subtrees(self, main: int | None) -> dict[int, int]:
-        """Hash of each element that may be a template: not the main element or what holds it, no prose inside it."""
+        """Hash of each element that may be a template.
+
+        Not the main element or what holds it; inside it no prose, and of the
+        rest what carries attributes of its own or is mostly links.
+        """
         kept = set()
         if main is not None:
             up, n = self.parents(), main
@@ -205,7 +214,7 @@ class Page:
         lo, hi = (self.first[main], self.last[main]) if main is not None else (-1, -1)
         out = {}
         for n, tag in enumerate(self.tags):
-            if n in kept or tag not in _BLOCK or tag in ("html", "body") or (tag in _PROSE and lo < self.first[n] < hi):
+            if n in kept or tag not in _BLOCK or tag in ("html", "body") or (lo < self.first[n] < hi and (tag in _PROSE or not (self.attrs[n].strip() or self.linked(n)))):
                 continue
             body = [t if isinstance(t, str) else self.tags[t] if t >= 0 else "/" for t in self.tokens[self.first[n] : self.last[n]]]
             out[n] = xxhash.xxh3_64_intdigest(_SPACE.sub(" ", "\0".join(body)))

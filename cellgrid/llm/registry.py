@@ -9,6 +9,7 @@ from .decontaminate import op9_decontamination
 from .html_text import op8_html_text
 from .licenses import op1_licenses
 from .minhash import op5_near_duplicates
+from .oracles import CHAT, quality
 from .packing import op4_packing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op3_quality_rules
@@ -28,4 +29,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality(),
+    "op7_chat": CHAT,
+}
