@@ -162,10 +162,7 @@ def fit(texts: pa.Array, labels: list[int], ids: list[int], seed: int = 11) -> M
             n = np.diff(p.at)
             to = np.repeat(np.arange(len(n)), n)
             per = (dx / np.maximum(n, 1)[:, None])[to]
-            grads = [np.zeros_like(w) for w in params]
-            np.add.at(grads[0], p.word, per[:, :DIM])
-            np.add.at(grads[1], p.end, per[:, DIM : 2 * DIM])
-            grads[2:] = [x.T @ de + 1e-4 * model.encode, de.sum(axis=0), h.T @ dv, h.T @ du, (v * u).T @ dl, z.T @ g + 1e-4 * model.out, np.array([g.sum()])]
+            grads = [(p.word, per[:, :DIM]), (p.end, per[:, DIM : 2 * DIM]), *[x.T @ de + 1e-4 * model.encode, de.sum(axis=0), h.T @ dv, h.T @ du, (v * u).T @ dl, z.T @ g + 1e-4 * model.out, np.array([g.sum()])]]
             adam.step(grads)
     rest = np.flatnonzero(kept) if kept.any() else train
     raw = model.forward(joined([each[i] for i in rest]))[-1]
