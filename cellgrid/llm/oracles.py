@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .chat import CLOSE, OPEN, ROLE_END
+from .license_rules import parsed
+from .licenses import compiled
 from .quality_rules import DELTA, RISK, RULES, STRATA
 
 _CONTROL = r"'[<\[]\\*(?:/?s>|/?INST\])'"
@@ -38,3 +40,28 @@ bounds AS (SELECT rule, cut, stratum, k <= {part} * n AND (SELECT sum(exp(lgamma
 cuts AS (SELECT rule, stratum, min(cut) AS cut FROM bounds WHERE ok GROUP BY 1, 2),
 v AS (SELECT *, concat_ws(',', {rejects}) AS rejected_by FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM v"""
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+NEAR = rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+r AS (SELECT x AS doc_id, x AS reach FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x),
+c AS (SELECT doc_id, min(reach) AS least FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(least, doc_id) = doc_id AS kept FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def licenses() -> str:
+    """The same ordered rules as a table, met with numbered words; a detection goes if one before it holds it."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({i}, {quoted(label)}, {p}, [{', '.join(map(quoted, gates))}], {quoted(compiled(pattern))}, {str(base).lower()})" for i, (label, p, gates, pattern, base) in enumerate(parsed()))
+    return rf"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+rules(ord, label, p, gates, regex, base) AS (VALUES {rules}),
+m AS (SELECT doc_id, ord, label, p, base, unnest(regexp_extract_all(array_to_string(list_transform(w, lambda x, i: ' ' || x || ':' || (i - 1) || ' '), ''), regex)) AS hit FROM t JOIN rules ON list_has_all(w, gates)),
+d AS (SELECT *, CAST(regexp_extract(hit, ':([0-9]+)', 1) AS BIGINT) AS a, CAST(regexp_extract(hit, ':([0-9]+) $', 1) AS BIGINT) AS b FROM m),
+k AS (SELECT * FROM d WHERE base OR NOT EXISTS (SELECT 1 FROM d e WHERE e.doc_id = d.doc_id AND e.a <= d.a AND e.b >= d.b AND e.p >= d.p AND (e.a < d.a OR e.b > d.b OR e.p > d.p OR e.ord < d.ord))),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(p) / 3.0 AS score FROM k GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM t LEFT JOIN g USING (doc_id)"""

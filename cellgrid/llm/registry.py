@@ -9,7 +9,7 @@ from .decontaminate import op9_decontamination
 from .html_text import op8_html_text
 from .licenses import op1_licenses
 from .minhash import op5_near_duplicates
-from .oracles import CHAT, quality
+from .oracles import CHAT, NEAR, licenses, quality
 from .packing import op4_packing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op3_quality_rules
@@ -30,6 +30,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses(),
     "op3_quality_rules": quality(),
+    "op5_near_duplicates": NEAR,
     "op7_chat": CHAT,
 }
