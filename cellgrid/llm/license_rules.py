@@ -2,8 +2,9 @@
 
 ``label | priority | keywords | pattern``. Patterns run over lower-cased words
 with one blank between them; a blank matches the gap between words, and an
-optional word holds its blank. All keywords must occur in a text before its
-pattern is tried. Priority: 3 notices and headers, 2 named licenses with a
+optional word holds its blank; one- and two-word spellings are alternatives. All
+keywords must occur in a text before its pattern is tried, so each stands in every
+spelling that the pattern allows. Priority: 3 notices and headers, 2 named licenses with a
 version or variant, 1 names alone.
 """
 
@@ -23,7 +24,7 @@ apache-2.0 | 2 | apache licence | apache licence( version)? 2( 0)?
 apache-1.1 | 2 | apache | apache (software )?license( version)? 1 1
 apache-1.0 | 2 | apache | apache (software )?license( version)? 1 0
 apache | 1 | apache | apache (software )?licen[cs]e
-apache | 1 | asf license | asf licen[cs]e
+apache | 1 | asf | asf licen[cs]e
 mit | 3 | released mit | released under the mit license
 mit | 3 | licensed mit | licensed under the mit license
 mit | 3 | spdx mit | spdx license identifier mit
@@ -36,7 +37,7 @@ mit | 2 | mit | mit style licen[cs]e
 mit | 2 | opensource mit | opensource org licenses mit
 mit-0 | 2 | mit attribution | mit no attribution( license)?
 x11 | 2 | x11 | (the )?(mit )?x11 licen[cs]e
-isc | 3 | permission disclaims isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc | 3 | permission fee granted | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc | 3 | spdx isc | spdx license identifier isc
 isc | 2 | isc | (the )?isc licen[cs]e
 0bsd | 3 | spdx 0bsd | spdx license identifier 0bsd
@@ -48,7 +49,7 @@ bsd-2-clause | 2 | bsd clause | (2|two) clause bsd( license)?
 bsd-2-clause | 2 | simplified bsd | simplified bsd licen[cs]e
 bsd-2-clause | 2 | freebsd | freebsd licen[cs]e
 bsd-3-clause | 3 | spdx bsd | spdx license identifier bsd 3 clause
-bsd-3-clause | 3 | endorse | neither the name of .{1,120} nor the names of its contributors may be used to endorse or promote products derived from this software
+bsd-3-clause | 3 | endorse | neither the name of (\S+ ){1,24}nor the names of its contributors may be used to endorse or promote products derived from this software
 bsd-3-clause | 2 | bsd clause | bsd 3 clause( (new|clear))?( license)?
 bsd-3-clause | 2 | bsd clause | (3|three) clause bsd( license)?
 bsd-3-clause | 2 | bsd | (new|revised|modified) bsd licen[cs]e
@@ -61,14 +62,16 @@ bsd | 3 | redistributions retain | redistributions of source code must retain th
 bsd | 3 | redistributions reproduce | redistributions in binary form must reproduce the above copyright notice
 bsd | 1 | bsd | bsd (style )?licen[cs]e
 gpl-3.0 | 3 | licensed gnu general | licensed under the gnu general public license version 3
-gpl-3.0-or-later | 3 | gnu general later | gnu general public license .{0,80}either version 3 of the license or (at your option )?any later version
+gpl-3.0-or-later | 3 | gnu general later | gnu general public license (\S+ ){0,16}either version 3 of the license or (at your option )?any later version
 gpl-3.0-or-later | 3 | spdx gpl | spdx license identifier gpl 3 0 or later
 gpl-3.0 | 3 | spdx gpl | spdx license identifier gpl 3 0( only)?
-gpl-3.0-or-later | 2 | gpl | gpl ?v?3( 0)? (or later|plus)
+gpl-3.0-or-later | 2 | gpl | gpl v?3( 0)? (or later|plus)
+gpl-3.0-or-later | 2 | gplv3 | gplv3( 0)? (or later|plus)
+gpl-3.0-or-later | 2 | gpl3 | gpl3( 0)? (or later|plus)
 gpl-3.0 | 2 | gpl | (gnu )?gpl (version |v)?3( 0)?( only)?
 gpl-3.0 | 2 | gplv3 | (gnu )?gplv3
 gpl-3.0 | 2 | gnu general | gnu general public license (version |v)?3( 0)?
-gpl-2.0-or-later | 3 | gnu general later | gnu general public license .{0,80}either version 2 of the license or (at your option )?any later version
+gpl-2.0-or-later | 3 | gnu general later | gnu general public license (\S+ ){0,16}either version 2 of the license or (at your option )?any later version
 gpl-2.0-or-later | 3 | spdx gpl | spdx license identifier gpl 2 0 or later
 gpl-2.0 | 3 | spdx gpl | spdx license identifier gpl 2 0( only)?
 gpl-2.0-or-later | 2 | gpl later | gpl (version |v)?2( 0)? or later
@@ -112,7 +115,7 @@ gfdl-1.2 | 2 | documentation gnu | gnu free documentation license (version |v)?1
 gfdl-1.1 | 2 | documentation gnu | gnu free documentation license (version |v)?1 1
 gfdl | 1 | documentation gnu | gnu free documentation licen[cs]e
 gfdl | 1 | gfdl | gfdl
-mpl-2.0 | 3 | mozilla source obtain | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0 | 3 | mozilla source form | this source code form is subject to the terms of the mozilla public license v 2 0
 mpl-2.0 | 3 | spdx mpl | spdx license identifier mpl 2 0
 mpl-2.0 | 2 | mozilla public | mozilla public license (version |v )?2( 0)?
 mpl-1.1 | 2 | mozilla public | mozilla public license (version |v )?1 1
@@ -144,14 +147,14 @@ artistic | 1 | artistic | (the )?artistic licen[cs]e
 perl | 2 | perl same terms | (under )?the same terms as perl( itself)?
 python-2.0 | 2 | python foundation | python software foundation license( version 2)?
 psf | 1 | psf | psf licen[cs]e
-ruby | 2 | ruby | ruby s? ?licen[cs]e
+ruby | 2 | ruby | ruby (s )?licen[cs]e
 php-3.01 | 2 | php | php license( (version |v)?3 01)?
-zlib | 3 | warranty altered zlib | altered source versions must be plainly marked as such
+zlib | 3 | altered plainly marked | altered source versions must be plainly marked as such
 zlib | 3 | spdx zlib | spdx license identifier zlib
 zlib | 2 | zlib | zlib( libpng)? licen[cs]e
 libpng | 2 | libpng | (the )?libpng licen[cs]e
 openssl | 2 | openssl | openssl licen[cs]e
-openssl | 3 | openssl toolkit | this product includes software developed by the openssl project
+openssl | 3 | openssl project | this product includes software developed by the openssl project
 curl | 2 | curl | curl licen[cs]e
 bsl-1.0 | 3 | spdx bsl | spdx license identifier bsl 1 0
 bsl-1.0 | 2 | boost software | boost software license( (version )?1 0)?
@@ -173,7 +176,7 @@ postgresql | 2 | postgresql | postgresql licen[cs]e
 ncsa | 2 | ncsa | (university of illinois )?ncsa( open source)? licen[cs]e
 afl-3.0 | 2 | academic free | academic free license( (version |v)?3 0)?
 osl-3.0 | 2 | open software license | open software license (version |v)?3 0
-osl | 1 | open software license | open software licen[cs]e
+osl | 1 | open software | open software licen[cs]e
 qpl-1.0 | 2 | q public | q public license( (version )?1 0)?
 sleepycat | 2 | sleepycat | sleepycat( public)? licen[cs]e
 vim | 2 | vim | vim licen[cs]e
@@ -231,30 +234,30 @@ cc-by-sa | 1 | cc sa | cc by sa
 cc-by-4.0 | 2 | cc | cc by 4 0( international)?
 cc-by-3.0 | 2 | cc | cc by 3 0( unported)?
 cc-by-2.0 | 2 | cc | cc by 2 [05]
-cc-by-nc-nd | 2 | creative commons noderivatives | creative commons attribution non ?commercial no ?derivatives?( 4 0)?( international)?
-cc-by-nc-sa | 2 | creative commons noncommercial | creative commons attribution non ?commercial share ?alike( 4 0)?( international)?
-cc-by-nc | 2 | creative commons noncommercial | creative commons attribution non ?commercial( 4 0)?( international)?
-cc-by-nd | 2 | creative commons noderivatives | creative commons attribution no ?derivatives?( 4 0)?( international)?
-cc-by-sa | 2 | creative commons sharealike | creative commons attribution share ?alike( 4 0)?( international)?
+cc-by-nc-nd | 2 | creative commons attribution | creative commons attribution (noncommercial|non commercial) (noderivatives?|no derivatives?)( 4 0)?( international)?
+cc-by-nc-sa | 2 | creative commons attribution | creative commons attribution (noncommercial|non commercial) (sharealike|share alike)( 4 0)?( international)?
+cc-by-nc | 2 | creative commons attribution | creative commons attribution (noncommercial|non commercial)( 4 0)?( international)?
+cc-by-nd | 2 | creative commons attribution | creative commons attribution (noderivatives?|no derivatives?)( 4 0)?( international)?
+cc-by-sa | 2 | creative commons attribution | creative commons attribution (sharealike|share alike)( 4 0)?( international)?
 cc-by-any | 1 | creative commons attribution | creative commons attribution( license)?( 4 0)?( international)?
 creative-commons | 1 | creative commons | creative commons licen[cs]e
 creative-commons | 1 | creativecommons | creativecommons org licenses
-openrail | 2 | openrail | (creativeml |bigscience )?(open )?rail ?(m )?licen[cs]e
+openrail | 2 | rail | (creativeml |bigscience )?(open )?rail (m )?licen[cs]e
 openrail | 2 | openrail | (creativeml )?openrail( m)?( license)?
-llama-community | 2 | llama community | llama [0-9]* ?community license( agreement)?
+llama-community | 2 | llama community | llama ([0-9]+ ){0,2}community license( agreement)?
 open-government-3.0 | 2 | open government | open government licen[cs]e( (version |v)?3 0)?
 proprietary | 3 | proprietary confidential | (proprietary and confidential|confidential and proprietary)
 proprietary | 2 | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
 proprietary | 2 | prior written permission | (without|with) the( express)? prior written permission of
-proprietary | 1 | proprietary license | proprietary licen[cs]e
+proprietary | 1 | proprietary | proprietary licen[cs]e
 evaluation-only | 2 | evaluation purposes | for evaluation purposes only
-no-redistribution | 2 | redistributed permission | may not be (copied|published|broadcast|rewritten) or redistributed( without permission)?
-noncommercial | 2 | noncommercial use | for non ?commercial use only
+no-redistribution | 2 | redistributed | may not be ((copied|published|broadcast|rewritten) ){1,4}or redistributed( without permission)?
+noncommercial | 2 | noncommercial use | for noncommercial use only
 noncommercial | 2 | commercial use | for non commercial use only
 personal-use | 2 | personal use | for personal use only
 research-only | 2 | research purposes | for research purposes only
 copyright | 1 | copyright | copyright (c )?[12][0-9]{3}
-copyright | 1 | copyright | copyright by [^ :]+
+copyright | 1 | copyright | copyright by \S+
 """
 
 

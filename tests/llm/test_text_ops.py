@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrid.llm import chat, decontaminate, graph, licenses, minhash, quality_rules
+from cellgrid.llm.license_rules import parsed
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -72,6 +74,74 @@ def test_suppression_equals_brute_force(spark):
         assert [(d[0], d[1], d[4]) for d in kept] == [(d.start, d.end, d.label) for d in got[i]]
 
 
+def spellings(pattern):
+    """Every text of a rule's pattern: each option taken and left, each alternative, a placeholder for any word."""
+
+    def sequence(nodes):
+        out = [""]
+        for op, arg in nodes:
+            out = [a + b for a in out for b in single(str(op), arg)]
+        return out
+
+    def single(op, arg):
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return ["x"] if str(arg[0][0]) == "CATEGORY" else [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+        if op == "BRANCH":
+            return [x for b in arg[1] for x in sequence(b)]
+        if op == "SUBPATTERN":
+            return sequence(arg[3])
+        assert op == "MAX_REPEAT", op
+        low, high, inner = arg
+        return ["".join(c) for n in sorted({low, min(high, max(low, 1))}) for c in itertools.product(sequence(inner), repeat=n)]
+
+    return sorted(set(sequence(re._parser.parse(pattern))))
+
+
+def test_every_rule_fires_in_every_spelling(spark):
+    rules = parsed()
+    texts = []
+    for label, _, gates, pattern, _ in rules:
+        for text in spellings(pattern):
+            w = text.split()
+            assert set(gates) <= set(w), (label, gates, text)
+            assert re.fullmatch(licenses.compiled(pattern), "".join(f" {x}:{i} " for i, x in enumerate(w))), (label, text)
+        texts.append((len(texts), text))
+    got = {r.doc_id: r.detections for r in licenses.scanned(docs(spark, texts)).collect()}
+    for i, t in texts:
+        assert any((d.start, d.end) == (0, len(t.split()) - 1) for d in got[i]), (rules[i], t)
+
+
+def test_license_sentences(spark):
+    sentences = {
+        "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution Share Alike"],
+        "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0", "creative commons attribution non-commercial"],
+        "cc-by-nd": ["Creative Commons Attribution-NoDerivatives 4.0", "Creative Commons Attribution-No Derivative"],
+        "cc-by-nc-sa": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "Creative Commons Attribution-Non Commercial-Share Alike"],
+        "cc-by-nc-nd": ["Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "Creative Commons Attribution Non-Commercial No Derivatives"],
+        "gpl-3.0-or-later": ["GPL v3 or later", "GPLv3 or later", "GPL3 plus", "x " * 2000 + "the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+        "bsd-3-clause": ["x " * 2000 + "Neither the name of the Regents of the University of California, Lawrence Berkeley National Laboratory, nor the names of its contributors may be used to endorse or promote products derived from this software"],
+        "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+        "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+        "zlib": ["Altered source versions must be plainly marked as such"],
+        "openssl": ["This product includes software developed by the OpenSSL Project"],
+        "apache": ["the ASF licence"],
+        "osl": ["an Open Software Licence"],
+        "ruby": ["Ruby license", "Ruby's license"],
+        "openrail": ["BigScience RAIL License", "Open RAIL-M license", "CreativeML OpenRAIL-M"],
+        "llama-community": ["Llama Community License", "Llama 2 Community License", "Llama 3.1 Community License Agreement"],
+        "proprietary": ["a proprietary licence"],
+        "no-redistribution": ["may not be published, broadcast, rewritten or redistributed", "may not be copied or redistributed"],
+        "noncommercial": ["for noncommercial use only", "for non-commercial use only"],
+        "copyright": ["Copyright by Someone", "Copyright (c) 2020"],
+    }
+    texts = [(label, t) for label, ts in sentences.items() for t in ts]
+    got = {r.doc_id: {d.label for d in r.detections} for r in licenses.scanned(docs(spark, [(i, t) for i, (_, t) in enumerate(texts)])).collect()}
+    missed = [(label, t[-80:]) for i, (label, t) in enumerate(texts) if label not in got[i]]
+    assert not missed
+
+
 # -- quality rules ----------------------------------------------------------
 
 
