@@ -95,6 +95,8 @@ class Matcher:
             for n, a, size in where:
                 item, k = self.items[n][1], self.edits[n]
                 start = last + 1 - size - a
+                if len(item) < SHORT and not _bounded(text, start, start + len(item)):
+                    continue  # a later place may be whole words
                 if best.get(n, (1,))[0] == 0 or any(abs(start - s) <= k for s in done.get(n, ())[-8:]):
                     continue
                 done.setdefault(n, []).append(start)
@@ -108,7 +110,7 @@ class Matcher:
                     edits, end = myers(item, window, self.masks[n])
                 if edits <= k and (n not in best or edits < best[n][0]):
                     best[n] = (edits, lo + end)
-        return sorted((self.items[n][0], e, end) for n, (e, end) in best.items() if len(self.items[n][1]) >= SHORT or _bounded(text, end - len(self.items[n][1]), end))
+        return sorted((self.items[n][0], e, end) for n, (e, end) in best.items())
 
 
 def _bounded(text: str, a: int, b: int) -> bool:

@@ -313,6 +313,14 @@ def test_matches_equal_brute_force(spark):
     assert decontaminate.matches(docs(spark, texts), none).count() == 0 and decontaminate.matches(docs(spark, []), bench).count() == 0
 
 
+def test_short_items_at_every_hit(spark):
+    bench = spark.createDataFrame([(1, "tiny item"), (2, "aa aa")], "item_id long, text string")
+    texts = [(1, "untiny items and then a tiny item here"), (2, "tiny items, untiny item"), (3, "tiny item"), (4, "xaa aaaa aa aa"), (5, "untiny item tiny items " * 50 + "tiny item")]
+    got = {(r.doc_id, r.item_id): (r.edits, r.end) for r in decontaminate.matches(docs(spark, texts), bench).collect()}
+    assert got == {(1, 1): (0, 33), (3, 1): (0, 9), (4, 2): (0, 14), (5, 1): (0, 23 * 50 + 9)}
+    assert [r.doc_id for r in decontaminate.without_matches(docs(spark, texts), bench).collect()] == [2]
+
+
 # -- chat -------------------------------------------------------------------
 
 
