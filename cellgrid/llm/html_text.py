@@ -4,8 +4,10 @@ Pages are parsed leniently into elements. Element subtrees are hashed and
 counted for each host over pages with different main texts, so copies of one
 page count once; a subtree that many pages of its host share is a template.
 What remains of the article after templates and page furniture are deleted is
-its text. Paragraphs and headings inside the article are never counted: prose
-that several pages quote stays.
+its text. Paragraphs, headings and unmarked lists inside an article are never
+counted: prose that several pages quote stays. Its other unmarked containers,
+and everything in a page without an article, are loose: near copies of a page
+share them too, so they must recur on a larger share of the host.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import stored, table
 
 #: A template stands on at least so many different pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.01
+#: The share for loose subtrees.
+LOOSE_SHARE = 0.1
 #: Templates looked up in one pass over the pages; more take several passes.
 BLOCK_TEMPLATES = 1_000_000
 
@@ -35,6 +39,7 @@ _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead blockquote pre figcaption".split())
+_LISTS = frozenset("ul ol dl menu dir".split())
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 #: An element closes open ones of these kinds, up to the nearest of the scope.
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -199,11 +204,25 @@ class Page:
         inside = sum(self.size(k) for k, t in enumerate(self.tags) if t == "a" and self.first[n] < self.first[k] < self.last[n])
         return 2 * inside >= self.size(n) > 0
 
-    def subtrees(self, main: int | None) -> dict[int, int]:
-        """Hash of each element that may be a template.
+    def digests(self) -> list[int]:
+        """Hash of each element's names and texts, of those inside it as well."""
+        out, stack = [0] * len(self.tags), [[]]
+        for t in self.tokens:
+            if isinstance(t, str):
+                stack[-1].append(_SPACE.sub(" ", t))
+            elif t >= 0:
+                stack.append([self.tags[t]])
+            else:
+                out[-t - 1] = xxhash.xxh3_64_intdigest("\0".join(stack.pop()))
+                stack[-1].append(f"\1{out[-t - 1]}")
+        return out
 
-        Not the main element or what holds it; inside it no prose, and of the
-        rest what carries attributes of its own or is mostly links.
+    def subtrees(self, main: int | None) -> dict[int, tuple[int, bool]]:
+        """Hash of each element that may be a template, and whether it is loose.
+
+        Not the main element or what holds it. In a body without an article all
+        blocks count. In an article no prose does; of the rest all but lists
+        count, and lists that carry attributes of their own or are mostly links.
         """
         kept = set()
         if main is not None:
@@ -212,12 +231,18 @@ class Page:
                 kept.add(n)
                 n = up[n]
         lo, hi = (self.first[main], self.last[main]) if main is not None else (-1, -1)
-        out = {}
+        article = main is not None and self.tags[main] != "body"
+        digests, out = self.digests(), {}
         for n, tag in enumerate(self.tags):
-            if n in kept or tag not in _BLOCK or tag in ("html", "body") or (lo < self.first[n] < hi and (tag in _PROSE or not (self.attrs[n].strip() or self.linked(n)))):
+            if n in kept or tag not in _BLOCK or tag in ("html", "body"):
+                continue
+            inside = main is None or lo < self.first[n] < hi
+            if inside and article and tag in _PROSE:
+                continue
+            loose = inside and (tag in _PROSE or not (self.attrs[n].strip() or self.linked(n)))
+            if loose and article and tag in _LISTS:
                 continue
-            body = [t if isinstance(t, str) else self.tags[t] if t >= 0 else "/" for t in self.tokens[self.first[n] : self.last[n]]]
-            out[n] = xxhash.xxh3_64_intdigest(_SPACE.sub(" ", "\0".join(body)))
+            out[n] = (digests[n], loose)
         return out
 
 
@@ -230,8 +255,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _key(host: str, subtree: int) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(f"{host}\0{subtree}"))
+def _key(host: str, subtree: tuple[int, bool]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(f"{host}\0{subtree[0]}\0{int(subtree[1])}"))
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -245,15 +270,15 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 main = page.main()
                 text = _signed(xxhash.xxh3_64_intdigest(page.text(main, page.furniture(main))))
                 whose = _signed(xxhash.xxh3_64_intdigest(host))
-                rows += [(whose, k, text) for k in {_key(host, s) for s in page.subtrees(main).values()}]
-                rows.append((whose, None, text))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["host", "key", "text"])
+                rows += [(whose, _key(host, s), text, s[1]) for s in set(page.subtrees(main).values())]
+                rows.append((whose, None, text, False))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["host", "key", "text", "loose"])
 
-    seen = pages.select("url", "html").mapInArrow(run, "host long, key long, text long").distinct()
-    counts = stored(seen.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= min_pages)), "templates")
+    seen = pages.select("url", "html").mapInArrow(run, "host long, key long, text long, loose boolean").distinct()
+    counts = stored(seen.groupBy("host", "key", "loose").agg(F.count("*").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= min_pages)), "templates")
     hosts = counts.filter("key is null").select("host", F.col("n").alias("pages"))
-    return counts.filter("key is not null").join(hosts, "host").filter(F.col("n") >= min_share * F.col("pages")).select("key")
+    return counts.filter("key is not null").join(hosts, "host").filter(F.col("n") >= F.when(F.col("loose"), max(min_share, LOOSE_SHARE)).otherwise(min_share) * F.col("pages")).select("key")
 
 
 def template_blocks(keys: DataFrame) -> Iterator[np.ndarray]:

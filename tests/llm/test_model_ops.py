@@ -122,6 +122,21 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r.text for r in html_text.main_texts(df).collect()} == {"t\nbody of the page"}
 
 
+def test_templates_of_pages_without_an_article(spark):
+    bare = "<html><body><table><tr><td>banner</td></tr></table><h1>Head {n}</h1><p>Own words {n}</p><p>cookie text</p><div>Copyright all rights</div></body></html>"
+    boxed = "<html><body><article><h1>Head {n}</h1><div><p>Own words {n}</p></div><div><p>Copyright all rights</p></div><p>quoted by many</p></article></body></html>"
+    rows = [(i, f"http://bare/{i}", bare.format(n=i)) for i in range(12)] + [(100 + i, f"http://boxed/{i}", boxed.format(n=i)) for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Head 3\nOwn words 3" and got[103] == "Head 3\nOwn words 3\nquoted by many"
+
+
+def test_near_copies_without_an_article_keep_what_they_share(spark):
+    near = "<html><body><h1>Head</h1><p>shared words</p><p>version {n}</p></body></html>"
+    rows = [(i, "http://big/", near.format(n=i)) for i in range(6)] + [(100 + i, "http://big/", f"<body><p>page {i}</p></body>") for i in range(60)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "Head\nshared words\nversion 2" and got[130] == "page 30"
+
+
 def labelled(n, seed, bad):
     rng = random.Random(seed)
     out = []
