@@ -27,8 +27,10 @@ from .common import stored, table
 
 #: A template stands on at least so many different pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.01
-#: The share for loose subtrees.
-LOOSE_SHARE = 0.1
+#: On so many pages it is one whatever its share, so the size of a host hides none.
+ENOUGH_PAGES = 100
+#: Loose subtrees need so many times the share and the pages that are enough.
+LOOSE = 10
 #: Templates looked up in one pass over the pages; more take several passes.
 BLOCK_TEMPLATES = 1_000_000
 
@@ -259,7 +261,7 @@ def _key(host: str, subtree: tuple[int, bool]) -> int:
     return _signed(xxhash.xxh3_64_intdigest(f"{host}\0{subtree[0]}\0{int(subtree[1])}"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
     """``(key)``: hashes of host and subtree that recur on enough different pages of the host."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +280,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     seen = pages.select("url", "html").mapInArrow(run, "host long, key long, text long, loose boolean").distinct()
     counts = stored(seen.groupBy("host", "key", "loose").agg(F.count("*").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= min_pages)), "templates")
     hosts = counts.filter("key is null").select("host", F.col("n").alias("pages"))
-    return counts.filter("key is not null").join(hosts, "host").filter(F.col("n") >= F.when(F.col("loose"), max(min_share, LOOSE_SHARE)).otherwise(min_share) * F.col("pages")).select("key")
+    least = F.least(min_share * F.col("pages"), F.lit(float(enough))) * F.when(F.col("loose"), LOOSE).otherwise(1)
+    return counts.filter("key is not null").join(hosts, "host").filter(F.col("n") >= least).select("key")
 
 
 def template_blocks(keys: DataFrame) -> Iterator[np.ndarray]:
@@ -289,7 +292,7 @@ def template_blocks(keys: DataFrame) -> Iterator[np.ndarray]:
         yield np.sort(np.array([r[0] for r in keys.filter(F.pmod("key", F.lit(blocks)) == b).collect()], np.int64))
 
 
-def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
     """``pages`` with ``text``: the main text of each row's whole ``html``.
 
     A null ``html`` is empty and gives an empty text; a null ``url`` is the host
@@ -297,7 +300,7 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     ``text`` is replaced), an empty table gives an empty result.
     """
     pages = pages.drop("text").withColumn("_deleted", F.expr("cast(array() as array<int>)"))
-    for block in template_blocks(templates(pages, min_pages, min_share)):
+    for block in template_blocks(templates(pages, min_pages, min_share, enough)):
 
         def mark(parts: Iterator[pa.RecordBatch], block: np.ndarray = block) -> Iterator[pa.RecordBatch]:
             known = set(block.tolist())

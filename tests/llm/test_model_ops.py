@@ -137,6 +137,14 @@ def test_near_copies_without_an_article_keep_what_they_share(spark):
     assert got[2] == "Head\nshared words\nversion 2" and got[130] == "page 30"
 
 
+def test_templates_of_large_hosts(spark):
+    html = "<body><article><p>own words {n}</p>{menu}</article></body>"
+    menu = '<div class="x7">section menu</div>'
+    rows = [(i, "http://hot/", html.format(n=i, menu=menu if i < 100 else '<div class="x8">rare</div>' if i < 150 else "")) for i in range(12000)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "own words 7" and got[120] == "own words 120\nrare"
+
+
 def labelled(n, seed, bad):
     rng = random.Random(seed)
     out = []
