@@ -17,6 +17,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import stored, table
 from .graph import components
@@ -162,6 +163,21 @@ def remaining_pairs(rows: DataFrame, comps: DataFrame, sets: DataFrame, percent:
     )
 
 
+def with_node(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with ``_node``: the digest of each row's set, null if empty."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            node = []
+            for i, j, words, at, _ in batches(part.column(part.schema.get_field_index("text"))):
+                for k in range(j - i):
+                    own = shingles(words[at[k] : at[k + 1]], width)
+                    node.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.binary())], [*part.schema.names, "_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", BinaryType())]))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``docs(doc_id, text, ...)``.
 
@@ -172,6 +188,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ``doc_id`` is its own component (null) and is kept unless it has links.
     An empty table gives an empty result; other columns are ignored.
     """
+    out = grouped(docs, width, percent).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(doc_id, n_shingles, node, comp, component_id)`` a row: its set and the component of sets, both null if empty."""
     docs = docs.select("doc_id", "text")
     drawn = stored(sketch(docs, width), "sketch")
     nodes = drawn.filter("n > 0").dropDuplicates(["node"])
@@ -179,7 +201,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     rows = stored(rows.join(full, "band"), "bands")
     shown = drawn.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(rows.select("node").distinct(), "node", "left_semi")
-    sets = stored(full_sets(docs.join(shown, "doc_id", "left_semi"), width).dropDuplicates(["node"]), "sets")
+    # A text may stand only in rows without doc_id.
+    holders = docs.join(shown, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
+    sets = stored(full_sets(holders, width).dropDuplicates(["node"]), "sets")
     links = stored(verified(central_pairs(rows, percent), sets, percent), "links")
     comps = components(links)
     more = stored(verified(remaining_pairs(rows, comps, sets, percent), sets, percent), "links")
@@ -192,10 +216,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         comps = comps.union(ends).join(over, F.col("comp") == F.col("was"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
     least = drawn.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = least.join(whole, "comp").select("node", "component_id")
-    out = drawn.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = least.join(whole, "comp").select("node", "comp", "component_id")
+    return drawn.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +226,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near copies: of each component the rows of its smallest ``doc_id`` stay."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` without near copies: of each component the rows of its smallest ``doc_id`` stay.
+
+    Of a component without any ``doc_id`` one row stays; rows without words all stay.
+    """
+    rows = stored(grouped(docs, width, percent), "groups")
+    kept = rows.filter(F.col("doc_id") == F.coalesce("component_id", "doc_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    alone = rows.filter("comp is not null and component_id is null").groupBy("comp").agg(F.min("node").alias("_node"))
+    unnamed = with_node(docs.filter(F.col("doc_id").cast("long").isNull()), width)
+    one = unnamed.join(alone, "_node", "left_semi").dropDuplicates(["_node"])
+    return named.union(unnamed.filter("_node is null").select(*docs.columns)).union(one.select(*docs.columns))

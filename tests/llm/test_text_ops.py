@@ -246,6 +246,16 @@ def test_near_duplicates_edges(spark):
     assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 5] and out.columns == docs(spark, []).columns
 
 
+def test_near_copies_without_id(spark):
+    rng = random.Random(5)
+    one, two, three = (words(rng, 150, 10**5) for _ in range(3))
+    texts = [(1, one), (None, edited(rng, one, 1)), (None, two), (None, edited(rng, two, 1)), (None, two), (None, three), (None, None), (None, ""), (2, None)]
+    rows = minhash.near_duplicates(docs(spark, texts)).collect()
+    assert [(r.doc_id, r.kept) for r in rows if r.component_id == 1] in ([(1, True), (None, False)], [(None, False), (1, True)])
+    left = [(r.doc_id, r.text) for r in minhash.one_of_each(docs(spark, texts)).collect()]
+    assert len(left) == 6 and {(1, one), (None, three), (None, None), (None, ""), (2, None)} < set(left)
+
+
 def test_circulant_estimates_jaccard():
     import numpy as np
 
