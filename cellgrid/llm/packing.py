@@ -3,15 +3,18 @@
 The program runs over the histogram of piece lengths, at most ``capacity``
 entries whatever the input: a configuration is a multiset of lengths that fits
 one sequence, and each length must be covered as often as it occurs.
-Multiplicative weights fall as a length gets covered; a knapsack dynamic
-program finds the configuration of the highest price. Whole multiples of the
-configurations are taken, the rest is priced again in whole numbers and what
-then remains is packed best-fit.
+Multiplicative weights are prices that fall as a length gets covered; a
+knapsack dynamic program gives the highest price that fits any room, from which
+every length that lags behind gets its best configuration. The solution is
+rounded down, then each fraction once while its pieces last, and the program
+is solved again for the rest. The last few pieces fill gaps best-fit, by counts
+of a length. Time and memory depend on the number of lengths, not of pieces.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,89 +26,135 @@ from .common import stored, table, width
 from .tokens import VOCABULARY, pieces
 
 CAPACITY = 2048
-#: Rounds of the linear program, and of pricing whole configurations.
-ROUNDS, WHOLE_ROUNDS = 250, 500
+#: Rounds of a solution, and how fast the price of a covered length falls.
+ROUNDS, FALL = 12, 4.0
+#: The share of the pieces that fills gaps in the end; never more pieces than ``capacity``.
+REST = 0.05
 
 
-def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> list[int]:
-    """Indices (repeats allowed) of the multiset of highest price that fits, longest first among equals.
-
-    ``lengths`` fall from long to short.
-    """
+def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
+    """The highest price that fits in each room from 0 to ``capacity``; ``price``: of each length, 0 for absent ones."""
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    first = len(lengths) - np.searchsorted(lengths[::-1], np.arange(capacity + 1), side="right")
-    for c in range(int(lengths[-1]), capacity + 1):
-        i = first[c]
-        value = price[i:] + best[c - lengths[i:]]
-        k = int(value.argmax())
-        if value[k] > best[c - 1]:
-            best[c], pick[c] = value[k], i + k
-        else:
-            best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        out.append(int(pick[c]))
-        c -= int(lengths[pick[c]])
-    return out
-
-
-def best_fit(items: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing."""
-    room: list[tuple[int, int]] = []
-    bins: list[list[int]] = []
-    for x in sorted(items, reverse=True):
-        at = bisect_left(room, (x, -1))
-        if at < len(room):
-            free, b = room.pop(at)
-        else:
-            free, b = capacity, len(bins)
-            bins.append([])
-        bins[b].append(x)
-        if free > x:
-            insort(room, (free - x, b))
-    return bins
-
+    for room in range(1, capacity + 1):
+        best[room] = max(best[room - 1], (price[room:0:-1] + best[:room]).max())
+    return best
+
+
+def filled(price: np.ndarray, best: np.ndarray, counts: np.ndarray, first: int) -> list[int]:
+    """``first`` and the lengths of the highest price beside it, longest first among equals; none more often than it occurs."""
+    config, room, gone = [first], len(best) - 1 - first, {}
+    if counts[first] == 1:
+        gone[first], price[first] = price[first], 0
+    while room > 0:
+        x = room - int((price[room:0:-1] + best[:room]).argmax())
+        if price[x] <= 0:  # the room was priced before a length ran out
+            on = np.flatnonzero(price[1 : room + 1])
+            if not len(on):
+                break
+            x = int(on[-1]) + 1
+        config.append(x)
+        room -= x
+        if config.count(x) >= counts[x]:
+            gone[x], price[x] = price[x], 0
+    for x, p in gone.items():
+        price[x] = p
+    return config
+
+
+def program(counts: np.ndarray, capacity: int, full: bool) -> dict[tuple[int, ...], float]:
+    """A solution of the linear program: how often each configuration is used; no length is covered beyond its count.
+
+    ``full``: configurations with a gap wait for the last round.
+    """
+    lengths = np.flatnonzero(counts)[::-1].tolist()
+    part = np.arange(capacity + 1) / capacity
+    base = np.where(counts > 0, part * (1 + 0.1 * part), 0)
+    price, covered, taken = base.copy(), [0.0] * (capacity + 1), Counter()
+    for t in range(1, ROUNDS + 1):
+        best = knapsack(price, capacity)
+        for x in lengths:
+            if covered[x] >= t / ROUNDS - 1e-9:
+                continue
+            config = filled(price, best, counts, x)
+            if full and t < ROUNDS and sum(config) < capacity:
+                continue  # a later price may fill it
+            uses = Counter(config)
+            times = min((t / ROUNDS - covered[x]) * counts[x] / uses[x], *((1 - covered[y]) * counts[y] / k for y, k in uses.items()))
+            if times <= 1e-9:
+                continue
+            for y, k in uses.items():
+                covered[y] += times * k / counts[y]
+                price[y] = base[y] * math.exp(-FALL * covered[y]) if covered[y] < 1 - 1e-9 else 0
+            taken[tuple(sorted(config, reverse=True))] += times
+    return taken
+
+
+def best_fit(histogram: dict[int, int], capacity: int, plan: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+    """``plan`` with the pieces of ``histogram`` in its gaps or in new sequences: best-fit decreasing, by counts."""
+    rooms: dict[int, list[tuple[int, list[int]]]] = {}
+
+    def add(times: int, config: list[int]) -> None:
+        if times:
+            rooms.setdefault(capacity - sum(config), []).append((times, config))
 
-def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """``(times, lengths)`` of sequences that hold every piece of ``histogram`` once."""
-    plan = [(histogram[capacity], [capacity])] if histogram.get(capacity) else []
-    lengths = np.array(sorted((x for x, n in histogram.items() if n and x < capacity), reverse=True), np.int64)
-    if not len(lengths):
-        return plan
-    left = np.array([histogram[int(x)] for x in lengths], np.int64)
-    part = lengths / capacity
-    base = part * (1 + 0.1 * part)
-    covered, taken = np.zeros(len(lengths)), {}
-    for _ in range(ROUNDS):
-        config, uses = np.unique(knapsack(lengths, base * np.exp(-4 * covered), capacity), return_counts=True)
-        times = 0.3 * float((left[config] / uses).min())
-        covered[config] += times * uses / left[config]
-        key = (tuple(config.tolist()), tuple(uses.tolist()))
-        taken[key] = taken.get(key, 0.0) + times
-    over = max(1.0, float(covered.max()))
-
-    def take(config: np.ndarray, uses: np.ndarray, most: float) -> int:
-        times = int(min(most, (left[config] // uses).min()))
+    for times, config in plan:
+        add(times, config)
+    for x in sorted(histogram, reverse=True):
+        n = histogram[x]
+        while n:
+            room = min((r for r, held in rooms.items() if r >= x and held), default=capacity)
+            k = room // x
+            times, config = rooms[room].pop() if rooms.get(room) else (-(-n // k), [])
+            full = min(times, n // k)
+            part = min(1, times - full) if n > full * k else 0
+            add(full, config + [x] * k)
+            add(part, config + [x] * (n - full * k))
+            add(times - full - part, config)
+            n = max(0, n - full * k) if not part else 0
+    return [g for held in rooms.values() for g in held if g[1]]
+
+
+def solved(histogram: dict[int, int], capacity: int, full: bool) -> list[tuple[int, list[int]]]:
+    """``(times, lengths)`` of sequences that hold every piece, from solutions rounded until few pieces are left."""
+    left = np.zeros(capacity + 1, np.int64)
+    for x, n in histogram.items():
+        left[x] = n
+    plan: list[tuple[int, list[int]]] = []
+
+    def take(config: tuple[int, ...], most: int) -> None:
+        uses = Counter(config)
+        times = min(most, *(int(left[x]) // k for x, k in uses.items()))
         if times > 0:
-            left[config] -= times * uses
-            plan.append((times, [int(x) for x, k in zip(lengths[config], uses, strict=True) for _ in range(k)]))
-        return times
-
-    for (config, uses), times in sorted(taken.items(), key=lambda x: (-x[1], x[0])):
-        take(np.array(config), np.array(uses), times / over)
-    for _ in range(WHOLE_ROUNDS):
-        on = np.flatnonzero(left)
-        if left.sum() <= 4 * len(lengths) or not len(on):
+            for x, k in uses.items():
+                left[x] -= times * k
+            plan.append((times, list(config)))
+
+    if left[capacity]:
+        plan.append((int(left[capacity]), [capacity]))
+        left[capacity] = 0
+    rest = min(capacity, REST * left.sum())
+    while (before := left.sum()) > rest:
+        taken = program(left.copy(), capacity, full)
+        for config, times in taken.items():
+            take(config, int(times + 1e-6))
+        for config, _ in sorted(taken.items(), key=lambda x: (-sum(x[0]), math.floor(x[1]) - x[1], len(x[0]), x[0])):
+            take(config, 1)
+        if left.sum() == before:
             break
-        config, uses = np.unique(knapsack(lengths[on], base[on], capacity), return_counts=True)
-        if not take(on[config], np.minimum(uses, left[on[config]]), np.inf):
-            break
-    plan += [(1, b) for b in best_fit([int(x) for x, n in zip(lengths, left, strict=True) for _ in range(n)], capacity)]
-    return plan
+    return best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, capacity, plan)
+
+
+def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """``(times, lengths)`` of sequences that hold every piece of ``histogram`` once.
+
+    Smooth histograms do best with full configurations first, lengths that fit
+    badly without; the plan of fewer sequences is taken.
+    """
+    size = lambda plan: sum(times for times, _ in plan)
+    plan = solved(histogram, capacity, True)
+    if size(plan) * capacity - sum(x * n for x, n in histogram.items()) < capacity:
+        return plan  # as few as the sum of the lengths allows
+    return min(plan, solved(histogram, capacity, False), key=size)
 
 
 def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

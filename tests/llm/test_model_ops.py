@@ -1,6 +1,8 @@
 """Tokens, packing, HTML and classifiers: exact round trips and held-out accuracy."""
 
+import bisect
 import random
+import time
 import zlib
 
 import numpy as np
@@ -48,6 +50,10 @@ def test_token_files_round_trip(spark, tmp_path, plain):
         assert (r.doc_id, r.start, bytes(r.ids)) == (i, start, ids.tobytes())
         start += len(ids)
     assert [r.doc_id for r in tokens.read_token_files(spark, out, [5]).collect()] == [5]
+    hot = [(None if i % 3 else 7, f"text {i % 50}") for i in range(400)]
+    tokens.write_token_files(docs(spark, hot).repartition(4), str(tmp_path / "h"))
+    rows = sorted(tokens.read_token_files(spark, str(tmp_path / "h")).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == np.cumsum([0, *(len(r.ids) // 4 for r in rows[:-1])]).tolist() and [r.doc_id for r in rows] == sorted((i for i, _ in hot), key=lambda i: i or 0)
     tokens.write_token_files(docs(spark, []), str(tmp_path / "e"))
     assert tokens.read_token_files(spark, str(tmp_path / "e")).count() == 0
 
@@ -72,32 +78,80 @@ def test_packing_is_whole_and_gapless(spark, plain):
     assert packing.packed(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_covers_the_histogram_near_the_bound(seed):
-    rng = np.random.default_rng(seed)
-    sizes = np.clip(rng.lognormal(5.5, 1, 4000).astype(int), 1, 2048)
-    h = {int(x): int(n) for x, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
-    plan = packing.packing_plan(h)
-    used = {}
+def bins(items, capacity):
+    """Best-fit decreasing, piece by piece."""
+    room, n = [], 0
+    for x in sorted(items, reverse=True):
+        at = bisect.bisect_left(room, x)
+        free = room.pop(at) if at < len(room) else capacity
+        n += free == capacity
+        if free > x:
+            bisect.insort(room, free - x)
+    return n
+
+
+def log_normal(seed, n):
+    sizes = np.clip(np.random.default_rng(seed).lognormal(5.5, 1, n).astype(int), 1, 2048)
+    return sizes, {int(x): int(k) for x, k in zip(*np.unique(sizes, return_counts=True), strict=True)}
+
+
+def check_plan(h):
+    """The sequences of a plan that holds each piece once."""
+    plan, used = packing.packing_plan(h), {}
     for times, config in plan:
         assert sum(config) <= 2048 and times > 0
         for x in config:
             used[x] = used.get(x, 0) + times
     assert used == h
-    best = -(-int(sizes.sum()) // 2048)
-    assert sum(t for t, _ in plan) <= len(packing.best_fit(sizes.tolist(), 2048)) + max(2, best // 200)
+    return sum(t for t, _ in plan)
+
+
+@pytest.mark.parametrize(("seed", "n"), [(0, 4000), (1, 10000), (2, 200000), (3, 4000)])
+def test_plan_covers_the_histogram_near_the_bound(seed, n, monkeypatch):
+    sizes, h = log_normal(seed, n)
+    rest = []
+    plain = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda left, capacity, plan: rest.append((sum(left.values()), plain(left, capacity, plan))) or rest[-1][1])
+    plan = packing.packing_plan(h)
+    monkeypatch.undo()
+    count = check_plan(h)
+    assert count <= bins(sizes.tolist(), 2048) and count <= -(-int(sizes.sum()) // 2048) + 2
+    assert [r[0] for r in rest if r[1] is plan][0] <= min(2048, 0.05 * n)  # whole configurations place the others
+
+
+def test_plan_of_many_pieces_costs_no_more():
+    sizes, h = log_normal(4, 100000)
+    many = {x: 10000 * n for x, n in h.items()}
+    start = time.perf_counter()
+    count = check_plan(many)
+    assert count <= 10000 * int(sizes.sum()) / 2048 * 1.0002 and time.perf_counter() - start < 20
+
+
+def test_plan_of_lengths_that_fit_badly():
+    rng = np.random.default_rng(5)
+    for sizes in (rng.integers(600, 1500, 20000), rng.integers(1, 2048, 3000), rng.integers(680, 700, 10000), np.array([700] * 1000 + [1024] * 7 + [683] * 50), np.array([3] * 5000), np.array([2048] * 7), np.array([5, 3, 1])):
+        h = {int(x): int(k) for x, k in zip(*np.unique(sizes, return_counts=True), strict=True)}
+        assert check_plan(h) <= 1.001 * bins(sizes.tolist(), 2048) + 1
+        assert sum(t for t, _ in packing.best_fit(h, 2048, [])) == bins(sizes.tolist(), 2048)
+    assert packing.packing_plan({}) == []
 
 
 def test_knapsack_equals_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(20):
-        lengths = np.sort(rng.choice(np.arange(2, 20), 5, replace=False))[::-1]
-        price = rng.random(5)
+        lengths = rng.choice(np.arange(2, 20), 5, replace=False)
+        price = np.zeros(31)
+        price[lengths] = rng.random(5)
         best = np.zeros(31)
         for c in range(1, 31):
-            best[c] = max([best[c - 1], *(price[i] + best[c - x] for i, x in enumerate(lengths) if x <= c)])
-        got = packing.knapsack(lengths, price, 30)
-        assert sum(lengths[got]) <= 30 and price[got].sum() == pytest.approx(best[30])
+            best[c] = max([best[c - 1], *(price[x] + best[c - x] for x in lengths if x <= c)])
+        assert packing.knapsack(price, 30) == pytest.approx(best)
+        counts = np.where(price > 0, 40, 0)
+        for first in lengths:
+            got = packing.filled(price, best, counts, int(first))
+            assert got[0] == first and sum(got) <= 30 and price[got[1:]].sum() == pytest.approx(best[30 - first])
+        few = packing.filled(price, best, np.where(price > 0, 1, 0), int(lengths[0]))
+        assert len(few) == len(set(few)) and sum(few) <= 30
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li>Home</li></ul></nav><!-- c --><div class="ad-box">Buy</div>
