@@ -1,27 +1,30 @@
 """Main text of web pages, with the templates of their sites removed.
 
-Pages are parsed leniently into elements. Element subtrees are hashed and
-counted for each host over pages with different main texts, so copies of one
-page count once; a subtree that many pages of its host share is a template.
-What remains of the article after templates and page furniture are deleted is
-its text. Paragraphs, headings and unmarked lists inside an article are never
-counted: prose that several pages quote stays. Its other unmarked containers,
-and everything in a page without an article, are loose: near copies of a page
-share them too, so they must recur on a larger share of the host.
+Pages are parsed leniently into elements, once. Element subtrees are hashed
+bottom up and counted for each host over pages with different main texts, so
+copies of one page count once; a subtree that many pages of its host share is a
+template. What remains of the article after templates and page furniture are
+deleted is its text. Paragraphs, headings and unmarked lists inside an article
+are never counted: prose that several pages quote stays. Its other unmarked
+containers, and everything in a page without an article, are loose: near copies
+of a page share them too, so they must recur on a larger share of the host.
+
+The parse leaves the blocks of the main text and, for each subtree that may be
+a template, the range of blocks that goes with it; counting, looking up and
+deleting are joins and array functions over those rows.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, table
 
@@ -31,12 +34,16 @@ MIN_PAGES, MIN_SHARE = 5, 0.01
 ENOUGH_PAGES = 100
 #: Loose subtrees need so many times the share and the pages that are enough.
 LOOSE = 10
-#: Templates looked up in one pass over the pages; more take several passes.
-BLOCK_TEMPLATES = 1_000_000
+#: The subtrees of one host are dealt to so many groups where its count of pages meets them.
+SALTS = 32
+#: Elements nest so deep; what goes deeper stands beside, as in browsers.
+MAX_DEPTH = 512
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
-_VALUE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_VALUE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -51,6 +58,11 @@ _MARKS = frozenset(
     "nav navbar navigation menu menubar sidebar side aside footer foot masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser comment comments commentlist disqus discussion reply replies respond widget pagination pager toolbar skip search tags complementary contentinfo search form".split()
 )
 _HEADS = frozenset({"header", "head", "heading"})
+#: Kinds whose ids name their subject.
+_NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: A section's id marks furniture if it has a mark and nothing but these beside; its subject may be one of the last.
+_AROUND = frozenset("area block box list links post posts article articles section wrap wrapper container content main more stories".split())
+_SUBJECTS = frozenset("discussion reply notice notices form social search heading head promotion menu".split())
 
 
 class Page:
@@ -59,6 +71,7 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tags: list[str] = []
         self.attrs: list[str] = []
+        self.up: list[int] = []
         self.first: list[int] = []
         self.last: list[int] = []
         #: Text, or an element's number, negative (less one) where it ends.
@@ -94,9 +107,12 @@ class Page:
                 self._shut(stack, {"p"}, {"div", "section", "article", "td", "th", "li", "blockquote", "body", "main", "table"}, close)
             if name in _IMPLIED:
                 self._shut(stack, *_IMPLIED[name], close)
+            if len(stack) >= MAX_DEPTH:
+                close(MAX_DEPTH - 1)
             n = len(self.tags)
             self.tags.append(name)
             self.attrs.append(attrs)
+            self.up.append(stack[-1] if stack else -1)
             self.first.append(len(self.tokens))
             self.last.append(len(self.tokens))
             self.tokens.append(n)
@@ -108,6 +124,7 @@ class Page:
         if at < len(source):
             self.tokens.append(source[at:])
         close(0)
+        self._measure()
 
     def _shut(self, stack: list[int], kinds: set[str], scope: set[str], close) -> None:
         for depth in range(len(stack) - 1, -1, -1):
@@ -118,93 +135,129 @@ class Page:
             if tag in scope:
                 return
 
-    def parents(self) -> list[int]:
-        out, stack = [-1] * len(self.tags), [-1]
+    def _measure(self) -> None:
+        """Asides, and for each element its characters: all, outside asides, in links; and its first headings."""
+        self.aside = [False] * len(self.tags)
+        for n, tag in enumerate(self.tags):
+            up = self.up[n]
+            own = tag in ("nav", "footer", "aside", "form")
+            if not own and self.attrs[n]:
+                own = not self.classes(n).isdisjoint(_MARKS) if tag == "article" else tag not in ("html", "body", "main") and self.marked(n)
+            self.aside[n] = own or (up >= 0 and self.aside[up])
+        total, plain, linked, heads, links, now = [0], [0], [0], [0], 0, -1
         for t in self.tokens:
-            if isinstance(t, int):
-                if t >= 0:
-                    out[t] = stack[-1]
-                    stack.append(t)
-                else:
-                    stack.pop()
-        return out
+            size, head = (len(t), 0) if isinstance(t, str) else (0, 0)
+            if not isinstance(t, str):
+                n = t if t >= 0 else -t - 1
+                now = t if t >= 0 else self.up[n]
+                links += (1 if t >= 0 else -1) * (self.tags[n] == "a")
+                head = t >= 0 and self.tags[n] in ("h1", "h2")
+            total.append(total[-1] + size)
+            plain.append(plain[-1] + (0 if now >= 0 and self.aside[now] else size))
+            linked.append(linked[-1] + (size if links > 0 else 0))
+            heads.append(heads[-1] + head)
+        self._sums = {"all": total, "plain": plain, "links": linked, "heads": heads}
+
+    def size(self, n: int, what: str = "all") -> int:
+        sums = self._sums[what]
+        return sums[self.last[n]] - sums[self.first[n]]
 
-    def marks(self, n: int) -> set[str]:
-        return {w for v in _VALUE.findall(self.attrs[n]) for w in re.split(r"[^a-z0-9]+", "".join(v).lower())} if self.attrs[n] else set()
+    def linked(self, n: int) -> bool:
+        """At least half of the text stands in links."""
+        return 2 * self.size(n, "links") >= self.size(n) > 0
 
-    def holds(self, n: int, tags: tuple[str, ...]) -> bool:
-        return any(isinstance(t, int) and t >= 0 and self.tags[t] in tags for t in self.tokens[self.first[n] : self.last[n]])
+    def values(self, n: int) -> dict[str, str]:
+        return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _VALUE.finditer(self.attrs[n])}
 
-    def size(self, n: int) -> int:
-        return sum(len(t) for t in self.tokens[self.first[n] : self.last[n]] if isinstance(t, str))
+    def classes(self, n: int) -> set[str]:
+        """Whole class names."""
+        return set(self.values(n).get("class", "").split()) if self.attrs[n] else set()
 
-    def main(self) -> int | None:
-        """The article: the fullest ``article`` outside furniture, else ``main`` or what is marked so, else ``body`` (or all)."""
-        up = self.parents()
-        aside = [False] * len(self.tags)
-        for n, tag in enumerate(self.tags):
-            aside[n] = (up[n] >= 0 and aside[up[n]]) or tag in ("nav", "footer", "aside", "form") or (tag not in ("html", "body", "main", "article") and bool(self.attrs[n]) and not self.marks(n).isdisjoint(_MARKS))
-        for kinds in (("article",), ("main",)):
-            if found := [n for n, t in enumerate(self.tags) if t in kinds and not aside[n]]:
-                return max(found, key=self.size)
-        found = [n for n in range(len(self.tags)) if self.attrs[n] and not aside[n] and self.tags[n] in ("div", "section") and self.marks(n) & {"main", "article", "content", "post", "entry", "story"}]
+    def marks(self, n: int) -> set[str]:
+        """Words of class and role, and of the id where that is no subject."""
+        if not self.attrs[n]:
+            return set()
+        values = self.values(n)
+        words = lambda k: {w for w in re.split(r"[^a-z0-9]+", values.get(k, "")) if w}
+        out, own = words("class") | words("role"), words("id")
+        if self.tags[n] in _NAMED or (self.tags[n] == "section" and (own <= _SUBJECTS or not own <= _MARKS | _AROUND)):
+            return out
+        return out | own
+
+    def marked(self, n: int) -> bool:
+        return not self.marks(n).isdisjoint(_MARKS)
+
+    def main(self) -> list[int]:
+        """The article: the fullest ``article`` outside furniture and those beside it, or the ``main`` around if that says more.
+
+        Else what is marked as content, else ``body``; empty: all of the page.
+        """
+        plain = lambda n: self.size(n, "plain")
+        kinds = lambda kind: [n for n, t in enumerate(self.tags) if t == kind and not self.aside[n]]
+        articles, within = [], -1
+        for n in kinds("article"):
+            if self.first[n] > within:
+                articles.append(n)
+                within = self.last[n]
+        if mains := kinds("main"):
+            most = max(mains, key=plain)
+            if 2 * sum(plain(n) for n in articles if self.first[most] < self.first[n] < self.last[most]) < plain(most):
+                return [most]
+        if articles:
+            most = max(articles, key=plain)
+            return [n for n in articles if n == most or (self.up[n] == self.up[most] and not self.linked(n))]
+        found = [n for n in range(len(self.tags)) if self.attrs[n] and not self.aside[n] and self.tags[n] in ("div", "section") and self.marks(n) & {"main", "article", "content", "post", "entry", "story"}]
         if found:
-            return max(found, key=self.size)
-        return next((n for n, t in enumerate(self.tags) if t == "body"), None)
-
-    def furniture(self, main: int | None) -> set[int]:
-        """Elements deleted for what they are, outside the main element's ancestors."""
-        kept = set()
-        if main is not None:
-            up, n = self.parents(), main
-            while n >= 0:
-                kept.add(n)
-                n = up[n]
-        out = set()
-        for n, tag in enumerate(self.tags):
-            if n in kept:
-                continue
-            if tag in _FURNITURE:
-                out.add(n)
-            elif tag == "header":
-                if not (main is not None and self.first[main] < self.first[n] < self.last[main] and self.holds(n, ("h1", "h2"))):
-                    out.add(n)
-            elif self.attrs[n]:
-                words = self.marks(n)
-                if not words.isdisjoint(_MARKS) or _HIDDEN.search(self.attrs[n]) or (not words.isdisjoint(_HEADS) and not self.holds(n, ("h1", "h2"))):
-                    out.add(n)
-        return out
-
-    def text(self, main: int | None, deleted: set[int]) -> str:
-        """Blocks of the main element, white space within each as one blank, joined by line ends."""
-        blocks: list[str] = []
+            return [max(found, key=plain)]
+        return [n for n, t in enumerate(self.tags) if t == "body"][:1]
+
+    def furniture(self, n: int) -> bool:
+        """An element inside the main one that is deleted for what it is."""
+        tag = self.tags[n]
+        if tag in _FURNITURE:
+            return True
+        if tag == "header":
+            return not self.size(n, "heads")
+        if not self.attrs[n]:
+            return False
+        words = self.marks(n)
+        return not words.isdisjoint(_MARKS) or bool(_HIDDEN.search(_QUOTED.sub("", self.attrs[n])) or _UNSEEN.search(self.attrs[n])) or (not words.isdisjoint(_HEADS) and not self.size(n, "heads") and tag not in ("h1", "h2"))
+
+    def blocks(self, main: list[int]) -> tuple[list[str], dict[int, tuple[int, int]]]:
+        """Texts of the main elements by block, white space as one blank, and the blocks of each block element inside."""
+        out: list[str] = []
         now: list[str] = []
-        i, end = (self.first[main], self.last[main]) if main is not None else (0, len(self.tokens))
-        while i < end:
-            t = self.tokens[i]
-            if isinstance(t, str):
-                now.append(t)
-            elif t >= 0 and t in deleted:
-                if self.tags[t] in _BLOCK:
-                    blocks.append("".join(now))
-                    now = []
-                i = self.last[t]
-            else:
-                tag = self.tags[t if t >= 0 else -t - 1]
-                if tag in _BLOCK:
-                    blocks.append("".join(now))
-                    now = []
-                elif tag == "br":
-                    now.append(" ")
-            i += 1
-        blocks.append("".join(now))
-        clean = (_SPACE.sub(" ", html.unescape(b)).strip() for b in blocks)
-        return "\n".join(b for b in clean if b)
-
-    def linked(self, n: int) -> bool:
-        """At least half of the text stands in links."""
-        inside = sum(self.size(k) for k, t in enumerate(self.tags) if t == "a" and self.first[n] < self.first[k] < self.last[n])
-        return 2 * inside >= self.size(n) > 0
+        begin: dict[int, int] = {}
+        spans: dict[int, tuple[int, int]] = {}
+
+        def end() -> None:
+            if now:
+                if clean := _SPACE.sub(" ", html.unescape("".join(now))).strip():
+                    out.append(clean)
+                now.clear()
+
+        for i, stop in [(self.first[n] + 1, self.last[n]) for n in main] or [(0, len(self.tokens))]:
+            while i < stop:
+                t = self.tokens[i]
+                if isinstance(t, str):
+                    now.append(t)
+                else:
+                    n = t if t >= 0 else -t - 1
+                    block = self.tags[n] in _BLOCK
+                    if block:
+                        end()
+                    if t < 0:
+                        if block:
+                            spans[n] = (begin[n], len(out))
+                    elif self.furniture(n):
+                        i = self.last[n]
+                    elif block:
+                        begin[n] = len(out)
+                    elif self.tags[n] == "br":
+                        now.append(" ")
+                i += 1
+            end()
+        return out, spans
 
     def digests(self) -> list[int]:
         """Hash of each element's names and texts, of those inside it as well."""
@@ -219,32 +272,22 @@ class Page:
                 stack[-1].append(f"\1{out[-t - 1]}")
         return out
 
-    def subtrees(self, main: int | None) -> dict[int, tuple[int, bool]]:
-        """Hash of each element that may be a template, and whether it is loose.
+    def subtrees(self, main: list[int], spans: dict[int, tuple[int, int]]) -> list[tuple[int, bool, int, int]]:
+        """Hash, looseness and blocks of each element with text that may be a template.
 
-        Not the main element or what holds it. In a body without an article all
-        blocks count. In an article no prose does; of the rest all but lists
-        count, and lists that carry attributes of their own or are mostly links.
+        In a page without an article all blocks count. In an article no prose
+        does; of the rest all but lists count, and lists that carry attributes
+        of their own or are mostly links.
         """
-        kept = set()
-        if main is not None:
-            up, n = self.parents(), main
-            while n >= 0:
-                kept.add(n)
-                n = up[n]
-        lo, hi = (self.first[main], self.last[main]) if main is not None else (-1, -1)
-        article = main is not None and self.tags[main] != "body"
-        digests, out = self.digests(), {}
-        for n, tag in enumerate(self.tags):
-            if n in kept or tag not in _BLOCK or tag in ("html", "body"):
+        article = any(self.tags[n] != "body" for n in main)
+        digests, out = self.digests(), []
+        for n, (a, b) in spans.items():
+            tag = self.tags[n]
+            if a == b or tag in ("html", "body") or (article and tag in _PROSE):
                 continue
-            inside = main is None or lo < self.first[n] < hi
-            if inside and article and tag in _PROSE:
-                continue
-            loose = inside and (tag in _PROSE or not (self.attrs[n].strip() or self.linked(n)))
-            if loose and article and tag in _LISTS:
-                continue
-            out[n] = (digests[n], loose)
+            loose = tag in _PROSE or not (self.attrs[n].strip() or self.linked(n))
+            if not (loose and article and tag in _LISTS):
+                out.append((digests[n], loose, a, b))
         return out
 
 
@@ -253,82 +296,63 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _signed(x: int) -> int:
+def _hash(text: str) -> int:
+    x = xxhash.xxh3_64_intdigest(text)
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _key(host: str, subtree: tuple[int, bool]) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(f"{host}\0{subtree[0]}\0{int(subtree[1])}"))
+def parsed(pages: DataFrame) -> DataFrame:
+    """``(page, host, own, blocks, subtrees, id)``: other columns, hashes of host and main text, the text's blocks, what may be a template.
 
-
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
-    """``(key)``: hashes of host and subtree that recur on enough different pages of the host."""
+    ``id`` is unique, its upper bits number the partition that parsed the page.
+    """
+    others = [c for c in pages.columns if c not in ("html", "text")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("page"), "url", "html")
+    kind = T.StructType([rows.schema["page"], *T._parse_datatype_string("host long, own long, blocks array<string>, subtrees array<struct<key:long,loose:boolean,a:int,b:int>>").fields])
+    subtree = pa.list_(pa.struct([("key", pa.int64()), ("loose", pa.bool_()), ("a", pa.int32()), ("b", pa.int32())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = []
-            for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page, host = Page(source or ""), host_of(url)
+            hosts, own, blocks, trees = [], [], [], []
+            for url, source in zip(part.column("url").to_pylist(), part.column("html"), strict=True):
+                page, host = Page(source.as_py() or ""), host_of(url)
                 main = page.main()
-                text = _signed(xxhash.xxh3_64_intdigest(page.text(main, page.furniture(main))))
-                whose = _signed(xxhash.xxh3_64_intdigest(host))
-                rows += [(whose, _key(host, s), text, s[1]) for s in set(page.subtrees(main).values())]
-                rows.append((whose, None, text, False))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["host", "key", "text", "loose"])
-
-    seen = pages.select("url", "html").mapInArrow(run, "host long, key long, text long, loose boolean").distinct()
-    counts = stored(seen.groupBy("host", "key", "loose").agg(F.count("*").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= min_pages)), "templates")
-    hosts = counts.filter("key is null").select("host", F.col("n").alias("pages"))
-    least = F.least(min_share * F.col("pages"), F.lit(float(enough))) * F.when(F.col("loose"), LOOSE).otherwise(1)
-    return counts.filter("key is not null").join(hosts, "host").filter(F.col("n") >= least).select("key")
+                texts, spans = page.blocks(main)
+                hosts.append(_hash(host))
+                own.append(_hash("\n".join(texts)))
+                blocks.append(texts)
+                trees.append([{"key": _hash(f"{host}\0{digest}\0{int(loose)}"), "loose": loose, "a": a, "b": b} for digest, loose, a, b in page.subtrees(main, spans)])
+            yield pa.RecordBatch.from_arrays([part.column("page"), pa.array(hosts, pa.int64()), pa.array(own, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(trees, subtree)], ["page", "host", "own", "blocks", "subtrees"])
 
+    return rows.mapInArrow(run, kind).withColumn("id", F.monotonically_increasing_id())
 
-def template_blocks(keys: DataFrame) -> Iterator[np.ndarray]:
-    """The keys in sorted blocks of a bounded size, each once on the driver."""
-    keys = stored(keys, "template-keys")
-    blocks = math.ceil(keys.count() / BLOCK_TEMPLATES)
-    for b in range(blocks):
-        yield np.sort(np.array([r[0] for r in keys.filter(F.pmod("key", F.lit(blocks)) == b).collect()], np.int64))
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
+    """``(key)`` of the subtrees of ``parsed`` pages that recur on enough different pages of their host."""
+    seen = pages.select("host", "own", F.explode("subtrees").alias("s")).select("host", "own", "s.key", "s.loose").distinct()
+    counts = seen.groupBy("host", "key", "loose").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    hosts = pages.select("host", "own").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    least = F.least(min_share * F.col("pages"), F.lit(float(enough))) * F.when(F.col("loose"), LOOSE).otherwise(1)
+    both = counts.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(hosts, ["host", "salt"])
+    return both.filter(F.col("n") >= least).select("key")
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
-    """``pages`` with ``text``: the main text of each row's whole ``html``.
+    """The columns of ``pages(url, html, ...)`` but ``html``, with ``text``: the main text of each row's whole page.
 
     A null ``html`` is empty and gives an empty text; a null ``url`` is the host
     without a name. Repeated rows give equal rows, other columns stay (one named
     ``text`` is replaced), an empty table gives an empty result.
     """
-    pages = pages.drop("text").withColumn("_deleted", F.expr("cast(array() as array<int>)"))
-    for block in template_blocks(templates(pages, min_pages, min_share, enough)):
-
-        def mark(parts: Iterator[pa.RecordBatch], block: np.ndarray = block) -> Iterator[pa.RecordBatch]:
-            known = set(block.tolist())
-            for part in parts:
-                at = {k: part.schema.get_field_index(k) for k in ("url", "html", "_deleted")}
-                out = []
-                for url, source, before in zip(*(part.column(at[k]).to_pylist() for k in ("url", "html", "_deleted")), strict=True):
-                    page, host = Page(source or ""), host_of(url)
-                    out.append(before + [n for n, s in page.subtrees(page.main()).items() if _key(host, s) in known])
-                cols = list(part.columns)
-                cols[at["_deleted"]] = pa.array(out, part.schema.field(at["_deleted"]).type)
-                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
-
-        pages = pages.mapInArrow(mark, pages.schema)
-
-    def extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            at = {k: part.schema.get_field_index(k) for k in ("html", "_deleted")}
-            out = []
-            for source, deleted in zip(*(part.column(at[k]).to_pylist() for k in ("html", "_deleted")), strict=True):
-                page = Page(source or "")
-                main = page.main()
-                out.append(page.text(main, page.furniture(main) | set(deleted)))
-            names = [f.name for f in part.schema if f.name != "_deleted"]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i, f in enumerate(part.schema) if f.name != "_deleted"), pa.array(out, pa.string())], [*names, "text"])
-
-    kept = pages.drop("_deleted").schema
-    return pages.mapInArrow(extract, kept.add("text", "string"))
+    rows = stored(parsed(pages), "parsed-pages")
+    found = rows.select("id", F.shiftright("id", 33).alias("part"), F.explode("subtrees").alias("s")).select("id", "part", "s.key", "s.a", "s.b")
+    # Each partition asks once for each key, so one that a third of all pages hold meets its template in few rows.
+    asked = found.select("key", "part").distinct().join(templates(rows, min_pages, min_share, enough).hint("merge"), "key")
+    gone = found.join(asked.hint("merge"), ["key", "part"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", F.col("b") - 1)))).alias("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("blocks") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.array_join("blocks", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get("blocks", i)), "\n"))
+    return rows.join(gone.hint("merge"), "id", "left").select("page.*", text.alias("text"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,54 @@ def test_templates_of_large_hosts(spark):
     assert got[7] == "own words 7" and got[120] == "own words 120\nrare"
 
 
+def main_of(source):
+    page = html_text.Page(source)
+    return "\n".join(page.blocks(page.main())[0])
+
+
+def test_layouts_keep_the_article():
+    body = "<html><body><nav><a>menu</a></nav>{}<footer>foot</footer></body></html>"
+    inside = "<article><h2 id='related-work'>Related work</h2><p id=notice>p one</p><section id='discussion'><h2>Discussion</h2><p>p two</p></section><section id='comments'><p>nice</p></section><div id='share'>tell</div><div class='related-posts'><a>more</a></div><p title='a hidden gem'>p three</p><p hidden>no</p><p data-id='comment 5'>p four</p></article>"
+    assert main_of(body.format(inside)) == "Related work\np one\nDiscussion\np two\np three\np four"
+    two = "<article><p>first story, the longer one</p></article><article><p>second</p></article><article class='comment'><p>nice</p></article><article><a href=x>teaser link</a></article>"
+    assert main_of(body.format(two)) == "first story, the longer one\nsecond"
+    cards = "<main><h1>Head</h1><p>long prose that is the text of the page</p><article><p>card</p></article></main>"
+    assert main_of(body.format(cards)) == "Head\nlong prose that is the text of the page\ncard"
+    full = "<main><p>x</p><article><h1>Head</h1><p>prose of the article</p><article class='comment'>no</article></article></main>"
+    assert main_of(body.format(full)) == "Head\nprose of the article"
+    assert main_of("<body><div class='c1'><article class='post tag-search'><p>kept</p></article></div></body>") == "kept"
+
+
+@pytest.mark.parametrize("source", ["<body>" + "<div>x" * 100_000, "<body><article>" + "<div class=q><a href=x>y</a></div>" * 50_000 + "</article>", "<body>" + "<span>" * 50_000 + "<p>t</p>" * 50_000, "<body>" + '<a href="x>' * 20_000])
+def test_large_pages_take_seconds(source):
+    start = time.perf_counter()
+    page = html_text.Page(source)
+    texts, spans = page.blocks(page.main())
+    page.subtrees(page.main(), spans)
+    assert time.perf_counter() - start < 30 and sum(map(len, texts)) == sum(source.count(c) for c in (">x", ">y", ">t"))
+
+
+def test_templates_equal_a_plain_count(spark):
+    rng = random.Random(12)
+    boxes = [f"<div class='b{k}'><p>box {k}</p></div>" for k in range(12)]
+    rows = []
+    for i in range(300):
+        inside = "".join(boxes[k] for k in range(12) if rng.random() < (k + 1) / 60)
+        rows.append((i, f"http://h{i % 2}/{i}", f"<body><article><p>own {rng.randrange(40)}</p>{inside}</article></body>"))
+    pages = html_text.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.key for r in html_text.templates(pages, 5, 0.1).collect()}
+    on, texts = {}, {0: set(), 1: set()}
+    for r in pages.collect():
+        texts[r.page.page_id % 2].add(tuple(r.blocks))
+        for s in r.subtrees:
+            on.setdefault((r.page.page_id % 2, s.key), set()).add(tuple(r.blocks))
+    assert got == {key for (host, key), seen in on.items() if len(seen) >= max(5, 0.1 * len(texts[host]))} and 0 < len(got) < 24
+    out = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), 5, 0.1).collect()}
+    for r in pages.collect():
+        gone = {i for s in r.subtrees if s.key in got for i in range(s.a, s.b)}
+        assert out[r.page.page_id] == "\n".join(b for i, b in enumerate(r.blocks) if i not in gone)
+
+
 def labelled(n, seed, bad):
     rng = random.Random(seed)
     out = []
