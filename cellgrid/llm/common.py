@@ -31,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/cellgrid-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all that this application has stored; results that still read from it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -38,11 +49,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     what is used twice is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, key: str, spread: str, table_: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table that has one row for each ``key``, of which one may be in a third of ``rows``.
+
+    Rows are dealt to groups by ``spread``; each group asks once for a key, so
+    no task gets all rows of one. ``rows`` is read twice.
+    """
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(spread), F.lit(width(rows.sparkSession))))
+    asked = dealt.select(key, "_group").distinct().join(table_, key)
+    return dealt.join(asked, [key, "_group"], how).drop("_group")
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

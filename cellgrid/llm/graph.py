@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import looked_up, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,15 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels spread to neighbours and then jump to the label of the label, so the
     rounds grow with the logarithm of a chain's length. Nothing is collected
-    but one count a round.
+    but one count a round; a node of many edges and a component of many nodes
+    are met in many tasks.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        near = looked_up(both, "b", "a", labels.withColumnRenamed("node", "b")).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        after = stored(step.join(up, "comp").select("node", "was", F.least("comp", "above").alias("comp")), "labels")
+        step = stored(step, "labels")
+        up = labels.filter("comp < node").select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        after = stored(looked_up(step, "comp", "node", up, "left").select("node", "was", F.least("comp", "above").alias("comp")), "labels")
         labels = after.select("node", "comp")
         if after.filter("comp < was").isEmpty():
             return labels

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import stored, table
+from .common import looked_up, stored, table
 from .graph import components
 from .words import batches, mix
 
@@ -127,7 +127,7 @@ def central_pairs(rows: DataFrame, percent: int) -> DataFrame:
     score = rows.groupBy("node").agg(F.sum("size").alias("score"))
     led = rows.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node", "n")).alias("lead"))
     return (
-        rows.join(led, "band")
+        looked_up(rows, "band", "node", led)
         .filter(F.col("lead.node") != F.col("node"))
         .filter(near_in_size(F.col("lead.n"), F.col("n"), percent))
         .select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"))
@@ -145,14 +145,14 @@ def remaining_pairs(rows: DataFrame, comps: DataFrame, sets: DataFrame, percent:
     """
     labelled = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_bands = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    members = labelled.join(open_bands, "band", "left_semi").select("node", "comp").distinct()
+    members = looked_up(labelled, "band", "node", open_bands).select("node", "comp").distinct()
     held = stored(members.join(sets, "node").select("node", "comp", F.size("own").alias("n"), F.explode("own").alias("h")), "shingles")
     often = held.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("node")
-    ranked = held.join(often, "h").withColumn("shared", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("df", "h")) - 1 + F.col("n") - F.col("shared"))
+    ranked = looked_up(held, "h", "node", often).withColumn("shared", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("df", "h")) - 1 + F.col("n") - F.col("shared"))
     first = stored(ranked.filter(F.col("at") < F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).select("node", "comp", "n", "h", F.col("at").cast("int").alias("at")), "prefixes")
     x, y = first.alias("x"), first.alias("y")
-    bound = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
+    bound = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     return (
         x.join(y, "h")
         .filter((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
@@ -195,11 +195,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(doc_id, n_shingles, node, comp, component_id)`` a row: its set and the component of sets, both null if empty."""
     docs = docs.select("doc_id", "text")
-    drawn = stored(sketch(docs, width), "sketch")
+    drawn = stored(sketch(docs, width).withColumn("at", F.monotonically_increasing_id()), "sketch")
     nodes = drawn.filter("n > 0").dropDuplicates(["node"])
     rows = nodes.select("node", "n", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = stored(rows.join(full, "band"), "bands")
+    rows = stored(looked_up(rows, "band", "node", full), "bands")
     shown = drawn.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(rows.select("node").distinct(), "node", "left_semi")
     # A text may stand only in rows without doc_id.
     holders = docs.join(shown, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
@@ -214,10 +214,11 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         over = over.withColumnsRenamed({"node": "was", "comp": "to"})
         ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))
         comps = comps.union(ends).join(over, F.col("comp") == F.col("was"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    least = drawn.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = stored(drawn.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "nodes")
     whole = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = least.join(whole, "comp").select("node", "comp", "component_id")
-    return drawn.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    named = looked_up(least, "comp", "node", whole).select("node", "comp", "component_id")
+    # Exact copies share a node, rows without words have none; each row is dealt by itself.
+    return looked_up(drawn.select("doc_id", F.col("n").alias("n_shingles"), "node", "at"), "node", "at", named, "left").drop("at")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .features import STATS, Words, word_runs
-from .sampling import labelled_sample
-from .toxicity import Adam, sigmoid, threshold
+from .sampling import calibration, labelled_sample, threshold
+from .toxicity import Adam, sigmoid
 
 PASSAGE = 40
 BUCKETS, DIM, HIDDEN, GATE = 1 << 13, 8, 24, 12
@@ -105,14 +105,16 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, p.text[:-1], axis=0)
         return x, h, v, u, a, z, sigmoid(z @ self.out + self.base[0])
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        """Calibrated score of each row; a null row is an empty text."""
-        out = [np.empty(0)]
-        for _, _, words, cuts in word_runs(column):
-            raw = self.forward(passages(words, cuts))[-1]
-            out.append(np.where(raw < self.cut, CUT * raw / self.cut, CUT + (1 - CUT) * (raw - self.cut) / (1 - self.cut)))
+    def uncalibrated(self, column: pa.Array) -> np.ndarray:
+        """Probability of each row; a null row is an empty text."""
+        out = [self.forward(passages(words, cuts))[-1] for _, _, words, cuts in word_runs(column)]
         # Sums of float32 products differ in the last places with the rows around them.
-        return np.round(np.concatenate(out), 6)
+        return np.round(np.concatenate([np.empty(0), *out]), 6)
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Calibrated score of each row."""
+        raw = self.uncalibrated(column)
+        return np.round(np.where(raw < self.cut, CUT * raw / self.cut, CUT + (1 - CUT) * (raw - self.cut) / (1 - self.cut)), 6)
 
 
 def joined(parts: list[Passages]) -> Passages:
@@ -120,8 +122,26 @@ def joined(parts: list[Passages]) -> Passages:
     return Passages(np.concatenate([p.word for p in parts]), np.concatenate([p.end for p in parts]), shift([p.at for p in parts]), np.concatenate([p.form for p in parts]), shift([p.text for p in parts]))
 
 
-def fit(texts: pa.Array, labels: list[int], ids: list[int], seed: int = 11) -> Model:
-    """A calibrated model; without both classes one that scores all texts alike."""
+def gradients(model: Model, p: Passages, y: np.ndarray, weight: np.ndarray) -> list:
+    """Gradients of the weighted mean log-loss; those of the embeddings are rows and values."""
+    x, h, v, u, a, z, q = model.forward(p)
+    of = np.repeat(np.arange(len(y)), np.diff(p.text))
+    g = ((q - y) * weight / len(y)).astype(np.float32)
+    dz = np.outer(g, model.out)
+    da = (dz[of] * h).sum(axis=1)
+    dl = a * (da - np.add.reduceat(a * da, p.text[:-1])[of])
+    dvu = np.outer(dl, model.gate_w)
+    dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
+    dh = a[:, None] * dz[of] + dv @ model.gate_v.T + du @ model.gate_u.T
+    de = dh * (1 - h * h)
+    dx = de @ model.encode.T
+    n = np.diff(p.at)
+    per = (dx / np.maximum(n, 1)[:, None])[np.repeat(np.arange(len(n)), n)]
+    return [(p.word, per[:, :DIM]), (p.end, per[:, DIM : 2 * DIM]), x.T @ de, de.sum(axis=0), h.T @ dv, h.T @ du, (v * u).T @ dl, z.T @ g, np.array([g.sum()])]
+
+
+def fit(texts: pa.Array, labels: list[int], seed: int = 11) -> Model:
+    """A model with a cut of 0.5; without both classes one that scores all texts alike."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float64)
     draw = lambda *s, by=0.3: rng.normal(0, by, s).astype(np.float32)
@@ -135,44 +155,35 @@ def fit(texts: pa.Array, labels: list[int], ids: list[int], seed: int = 11) -> M
         for k in range(j - i):
             a, b = cuts[k], cuts[k + 1]
             each.append(passages(Words(words.word[a:b], words.prefix[a:b], words.suffix[a:b], words.stats[a:b]), np.array([0, b - a])))
-    mixed = (np.array(ids, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    kept = mixed % np.uint64(5) == 0
-    if not 0 < y[~kept].sum() < (~kept).sum():
-        kept[:] = False
-    train = np.flatnonzero(~kept)
-    weight = np.where(y == 1, 0.5 / y[train].mean(), 0.5 / (1 - y[train].mean()))
-    params = [model.words, model.ends, model.encode, model.bias, model.gate_v, model.gate_u, model.gate_w, model.out, model.base]
-    adam = Adam(params, RATE)
-    for _ in range(max(EPOCHS, min(12, STEPS * BATCH // len(train)))):
-        order = rng.permutation(train)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    adam = Adam([model.words, model.ends, model.encode, model.bias, model.gate_v, model.gate_u, model.gate_w, model.out, model.base], RATE)
+    for _ in range(max(EPOCHS, min(12, STEPS * BATCH // len(y)))):
+        order = rng.permutation(len(y))
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
-            p = joined([each[i] for i in pick])
-            x, h, v, u, a, z, q = model.forward(p)
-            of = np.repeat(np.arange(len(pick)), np.diff(p.text))
-            g = ((q - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            dz = np.outer(g, model.out)
-            da = (dz[of] * h).sum(axis=1)
-            dl = a * (da - np.add.reduceat(a * da, p.text[:-1])[of])
-            dvu = np.outer(dl, model.gate_w)
-            dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
-            dh = a[:, None] * dz[of] + dv @ model.gate_v.T + du @ model.gate_u.T
-            de = dh * (1 - h * h)
-            dx = de @ model.encode.T
-            n = np.diff(p.at)
-            to = np.repeat(np.arange(len(n)), n)
-            per = (dx / np.maximum(n, 1)[:, None])[to]
-            grads = [(p.word, per[:, :DIM]), (p.end, per[:, DIM : 2 * DIM]), *[x.T @ de + 1e-4 * model.encode, de.sum(axis=0), h.T @ dv, h.T @ du, (v * u).T @ dl, z.T @ g + 1e-4 * model.out, np.array([g.sum()])]]
+            grads = gradients(model, joined([each[i] for i in pick]), y[pick], weight[pick])
+            grads[2] = grads[2] + 1e-4 * model.encode
+            grads[7] = grads[7] + 1e-4 * model.out
             adam.step(grads)
-    rest = np.flatnonzero(kept) if kept.any() else train
-    raw = model.forward(joined([each[i] for i in rest]))[-1]
+    return model
+
+
+def calibrated(model: Model, docs: DataFrame, labels: DataFrame) -> Model:
+    """The model with a cut from all labelled rows kept for it."""
+
+    def score(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = model.uncalibrated(column)
+        return raw, np.zeros(len(raw), np.int64)
+
+    counts = calibration(docs, labels, "quality", score)
     # Good documents are the many; the cut is drawn from their side, as for the rejected class.
-    model.cut = 1 - threshold(1 - raw, 1 - y[rest], 0.5)
+    model.cut = 1 - threshold(counts[0][::-1, ::-1], 0.5) if counts else 0.5
     return model
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*labelled_sample(docs, labels, "quality"))
+    texts, known, _ = labelled_sample(docs, labels, "quality")
+    return calibrated(fit(texts, known), docs, labels)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

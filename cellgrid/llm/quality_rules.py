@@ -147,15 +147,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passing(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that pass; columns stay as they are.
 
-    The cutoffs come from counts of all rows; then each row is judged where it
-    is, so that no text is shuffled.
+    Each text is measured once: the rows are written with their counts, the
+    cutoffs come from the labelled ones, then each row is judged where it is.
+    No text is shuffled.
     """
-    counts = stored(measured(docs.select("doc_id", "lang", "text")).drop("text"), "quality")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "lang", "text")
+    seen = ratios(stored(measured(rows).drop("text"), "quality"))
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    limits = F.broadcast(cutoffs(ratios(counts).filter(~F.col("base_failed")).join(good, "doc_id", "left_semi"), risk, delta))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "text")
-    seen = ratios(measured(rows)).join(limits, "stratum", "left")
+    limits = F.broadcast(cutoffs(seen.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi"), risk, delta))
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return seen.filter(~F.col("base_failed") & ~rejected).select("row.*")
+    return seen.join(limits, "stratum", "left").filter(~F.col("base_failed") & ~rejected).select("row.*")

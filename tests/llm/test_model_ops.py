@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cellgrid.llm import html_text, packing, quality_classifier, tokens, toxicity
+from cellgrid.llm import html_text, packing, quality_classifier, sampling, tokens, toxicity
+from cellgrid.llm.features import word_runs
 from tests.llm.test_text_ops import docs, words
 
 TEXTS = [(3, "Hello  world\n\n it's 12,5 €"), (1, None), (2, ""), (9, "<|endoftext|> x　y\x85z"), (9, "twice"), (None, "no id"), (5, "long word " * 4000)]
@@ -272,14 +273,98 @@ def junk(rng, w):
     return w[:k] + [f"{x}###" for x in w[k : k + 40]] + w[k + 40 :]
 
 
-@pytest.mark.parametrize(("module", "bad", "cut"), [(toxicity, slur, 0.5), (quality_classifier, junk, quality_classifier.CUT)])
-def test_held_out_accuracy(module, bad, cut):
-    train, held = split(labelled(1500, 6, bad))
+@pytest.mark.parametrize(("module", "bad"), [(toxicity, slur), (quality_classifier, junk)])
+def test_held_out_accuracy(spark, module, bad):
     up = module is toxicity
-    y = lambda rows: [r[2] if up else 1 - r[2] for r in rows]
-    model = module.fit(pa.array([r[1] for r in train]), y(train), [r[0] for r in train])
-    predicted = model.scores(pa.array([r[1] for r in held])) >= cut
-    assert (predicted == np.array(y(held))).mean() > 0.95
+    every = [(i, t, y if up else 1 - y) for i, t, y in labelled(1500, 6, bad)]
+    held = split(every)[1]
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in every], "doc_id long, toxic int, quality int")
+    got = {r.doc_id: r.predicted for r in module.scored(docs(spark, [(i, t) for i, t, _ in every]), labels).collect()}
+    assert np.mean([got[i] == y for i, _, y in held]) > 0.95
+
+
+def plain_toxicity(model, text):
+    """The score of one text, word by word."""
+    words = [w for _, _, ws, _ in word_runs(pa.array([text], pa.string())) for w in zip(*toxicity.buckets(ws), strict=True)]
+    x = [model.words[a] + model.starts[b] for a, b in words] + [np.zeros(toxicity.DIM)] * toxicity.PAD
+    pooled, k = [], 0
+    for width in toxicity.WIDTHS:
+        parts = [model.filters[:, (k + j) * toxicity.FILTERS : (k + j + 1) * toxicity.FILTERS] for j in range(width)]
+        k += width
+        places = [sum(x[i + j] @ parts[j] for j in range(width) if i + j < len(x)) for i in range(len(x))]
+        f = toxicity.WIDTHS.index(width) * toxicity.FILTERS
+        pooled += list(np.maximum(np.max(places, axis=0) + model.bias[f : f + toxicity.FILTERS], 0))
+    return 1 / (1 + np.exp(-(np.dot(pooled, model.out) + model.base[0])))
+
+
+def plain_quality(model, text):
+    """The score of one text, passage by passage."""
+    (_, _, ws, _), size = next(iter(word_runs(pa.array([text], pa.string())))), quality_classifier.PASSAGE
+    hidden, gates = [], []
+    for i in range(0, max(1, len(ws.word)), size):
+        some, end = (x[i : i + size] % np.uint64(quality_classifier.BUCKETS) for x in (ws.word, ws.suffix))
+        n, stats = len(some), ws.stats[i : i + size].sum(axis=0)
+        own = ws.word[i : i + size].tolist()
+        form = [stats[0] / max(n, 1) / 10, *(stats[1:] / max(stats[0], 1)), sum(a == b for a, b in zip(own, own[1:], strict=False)) / max(n, 1), (n - len(set(own))) / max(n, 1), n / size]
+        mean = lambda t, at: t[at].mean(axis=0) if n else np.zeros(t.shape[1])
+        h = np.tanh(np.concatenate([mean(model.words, some), mean(model.ends, end), form]) @ model.encode + model.bias)
+        hidden.append(h)
+        gates.append((np.tanh(h @ model.gate_v) / (1 + np.exp(-(h @ model.gate_u)))) @ model.gate_w)
+    a = np.exp(gates - np.max(gates))
+    return 1 / (1 + np.exp(-((a / a.sum()) @ np.array(hidden) @ model.out + model.base[0])))
+
+
+@pytest.mark.parametrize(("module", "bad", "plain"), [(toxicity, slur, plain_toxicity), (quality_classifier, junk, plain_quality)])
+def test_scores_equal_a_plain_computation(module, bad, plain):
+    rows = labelled(120, 7, bad)
+    model = module.fit(pa.array([r[1] for r in rows]), [r[2] for r in rows])
+    texts = [None, "", "one", "Two words", *(r[1] for r in rows[:25]), " ".join(r[1] for r in rows)]
+    got = model.uncalibrated(pa.array(texts, pa.string()))
+    assert (got if module is quality_classifier else got[0]) == pytest.approx([plain(model, t or "") for t in texts], abs=2e-5)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_classifier])
+def test_gradients_equal_finite_differences(module):
+    rows = labelled(12, 9, slur if module is toxicity else junk)
+    column, y = pa.array([r[1] for r in rows] + [""]), np.array([r[2] for r in rows] + [1.0])
+    model, weight, rng = module.fit(column, y.astype(int).tolist()), np.linspace(0.5, 2, len(y)), np.random.default_rng(3)
+    for k, v in vars(model).items():
+        if isinstance(v, np.ndarray):
+            setattr(model, k, v.astype(np.float64))
+    if module is toxicity:
+        data = module.flat(column)
+        loss = lambda: -np.mean(weight * (y * np.log(q := model.raw(*data)) + (1 - y) * np.log(1 - q)))
+        grads, names = module.gradients(model, *data, y, weight), ["words", "starts", "filters", "bias", "out", "base"]
+    else:
+        data = module.joined([module.passages(ws, cuts) for _, _, ws, cuts in word_runs(column)])
+        loss = lambda: -np.mean(weight * (y * np.log(q := model.forward(data)[-1]) + (1 - y) * np.log(1 - q)))
+        grads, names = module.gradients(model, data, y, weight), ["words", "ends", "encode", "bias", "gate_v", "gate_u", "gate_w", "out", "base"]
+    for name, g in zip(names, grads, strict=True):
+        param = getattr(model, name)
+        if isinstance(g, tuple):
+            whole = np.zeros_like(param)
+            np.add.at(whole, g[0], g[1])
+            g = whole
+        busy = np.argsort(-np.abs(g).ravel())[:400]
+        for i in rng.choice(busy, min(6, len(busy)), replace=False):
+            old, step = param.ravel()[i], 1e-5
+            param.ravel()[i] = old + step
+            up = loss()
+            param.ravel()[i] = old - step
+            down = loss()
+            param.ravel()[i] = old
+            assert g.ravel()[i] == pytest.approx((up - down) / (2 * step), rel=2e-2, abs=2e-6), name
+
+
+def test_threshold_of_counts():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        neg, pos = np.histogram(rng.beta(2, 4, 300), sampling.BINS, (0, 1))[0], np.histogram(rng.beta(4, 2, 80), sampling.BINS, (0, 1))[0]
+        cut = sampling.threshold(np.array([neg, pos]), 0.5)
+        right = [neg[:k].sum() / 300 + pos[k:].sum() / 80 for k in range(sampling.BINS + 1)]
+        k = int(np.clip(cut, 0.3, 0.9) * sampling.BINS + 1e-6)
+        assert cut in (0.3, 0.9) or right[k] == pytest.approx(max(right))
+    assert sampling.threshold(np.array([neg, 0 * pos]), 0.4) == 0.4
 
 
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality_classifier, "quality")])
