@@ -352,7 +352,10 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     gone = found.join(asked.hint("merge"), ["key", "part"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", F.col("b") - 1)))).alias("gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("blocks") - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.array_join("blocks", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get("blocks", i)), "\n"))
-    return rows.join(gone.hint("merge"), "id", "left").select("page.*", text.alias("text"))
+    # Only pages with a subtree that may be a template meet the join.
+    some = rows.filter(F.size("subtrees") > 0).join(gone.hint("merge"), "id", "left").select("page", text.alias("text"))
+    whole = rows.filter(F.size("subtrees") == 0).select("page", F.array_join("blocks", "\n").alias("text"))
+    return some.union(whole).select("page.*", "text")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

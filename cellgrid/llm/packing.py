@@ -161,12 +161,13 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (pieces with ``length``) with ``sequence_id`` and ``offset``.
 
     Pieces of one length are numbered without meeting in one task: each is
-    dealt to a salt, numbered there, and moved by the counts of the salts before.
+    dealt to a salt by its place in its partition, so repeated rows part as well,
+    numbered there, and moved by the counts of the salts before.
     Only the histogram of lengths comes to the driver.
     """
     salts = max(1, width(cut.sparkSession))
     key = ["doc_id", "piece", "start", "ids_crc32"]
-    cut = stored(cut.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")), "pieces")
+    cut = stored(cut.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")), "pieces")
     counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = packing_plan(histogram, capacity)
