@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import MatrixError, SparseMatrix, common_meta
+from ..plans.storage import stored
 from .select import dense_ids
 
 Canon = "Callable[[Column], Column]"
@@ -48,6 +49,11 @@ def stack(parts: list[SparseMatrix], tags: list[str], rows: str = "union", colum
     name are summed.
     """
     names = aligned_rows(parts, rows, canon)
+    # Further columns of a feature come from the first part that has it.
+    described = _union([m.features.withColumns({"backend": F.lit(b), "name": canon(F.col("row_name"))}) for b, m in enumerate(parts)])
+    others = [c for c in described.columns if c not in ("backend", "name", "row_id", "row_name")]
+    more = described.groupBy("name").agg(F.min_by(F.struct(F.lit(0).alias("_"), *others), F.struct("backend", "row_id")).alias("more"))
+    features = names.join(more, "name").select(F.col("pos").alias("row_id"), F.col("name").alias("row_name"), *[F.col(f"more.`{c}`") for c in others])
     row_map = named_rows(parts, canon).join(names, "name").select("backend", "row_id", F.col("pos").alias("to_row"))
     tag = F.element_at(F.array(*map(F.lit, tags)), F.col("backend") + 1)
     cells = _union([m.cells.select(F.lit(b).alias("backend"), "col_id", barcode(F.col("col_name")).alias("barcode")) for b, m in enumerate(parts)])
@@ -67,7 +73,7 @@ def stack(parts: list[SparseMatrix], tags: list[str], rows: str = "union", colum
     summed = moved.groupBy(F.col("to_row").alias("row_id"), F.col("to_col").alias("col_id")).agg(F.sum("val").alias("val"))
     batch = named.join(ids, key).groupBy("to_col").agg(F.min(F.struct("backend", tag.alias("tag"))).alias("b"))
     out_cells = ids.join(batch, "to_col").select(F.col("to_col").alias("col_id"), F.col("name").alias("col_name"), F.col("b.tag").alias("batch"))
-    return SparseMatrix(summed, names.select(F.col("pos").alias("row_id"), F.col("name").alias("row_name")), out_cells, common_meta([m.meta for m in parts]))
+    return SparseMatrix(summed, features, out_cells, common_meta([m.meta for m in parts]))
 
 
 def merge(parts: list[SparseMatrix], tags: list[str], common_rows: bool = False) -> SparseMatrix:
@@ -85,8 +91,8 @@ def merge_sorted(parts: list[SparseMatrix], tags: list[str]) -> SparseMatrix:
     """As ``merge`` on the common rows, in order of name."""
     m = stack(parts, tags, "intersect")
     ids = dense_ids(m.features, "row_name").select("row_name", "pos")
-    to = m.features.join(ids, "row_name").select("row_id", "row_name", "pos")
-    return m.with_(entries=m.entries.join(to, "row_id").select(F.col("pos").alias("row_id"), "col_id", "val"), features=to.select(F.col("pos").alias("row_id"), "row_name"))
+    to = m.features.join(ids, "row_name")
+    return m.with_(entries=m.entries.join(to.select("row_id", "pos"), "row_id").select(F.col("pos").alias("row_id"), "col_id", "val"), features=to.drop("row_id").withColumnRenamed("pos", "row_id"))
 
 
 def align(grid: list[list[SparseMatrix | None]]) -> list[list[SparseMatrix | None]]:
@@ -123,7 +129,7 @@ def batch_names(paths: list[str]) -> list[str]:
 
 def joined_groups(m: SparseMatrix, table: DataFrame) -> DataFrame:
     """``(col_id, grp)`` by exact column name; a column without a group is refused."""
-    out = m.cells.join(table.select("col_name", "grp"), "col_name", "left").select("col_id", "col_name", "grp")
+    out = m.cells.select("col_id", "col_name").join(table.select("col_name", "grp"), "col_name", "left").select("col_id", "col_name", "grp")
     if missing := out.filter("grp is null").first():
         raise MatrixError(f"no group for {missing.col_name}")
     return out.select("col_id", "grp")
@@ -131,7 +137,7 @@ def joined_groups(m: SparseMatrix, table: DataFrame) -> DataFrame:
 
 def annotated(m: SparseMatrix, table: DataFrame, column: str) -> DataFrame:
     """``(col_id, <column>)`` by column name, an empty string where unknown."""
-    return m.cells.join(table.select("col_name", column), "col_name", "left").select("col_id", F.coalesce(column, F.lit("")).alias(column))
+    return m.cells.select("col_id", "col_name").join(table.select("col_name", column), "col_name", "left").select("col_id", F.coalesce(column, F.lit("")).alias(column))
 
 
 def islands(loci: DataFrame) -> DataFrame:
@@ -139,13 +145,19 @@ def islands(loci: DataFrame) -> DataFrame:
 
     Empty intervals belong to no cluster and are left out.
     """
-    real = loci.filter("stop > start")
-    w = Window.partitionBy("chrom").orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
-    k = real.withColumn("_new", new).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = k.groupBy("chrom", "_k").agg(F.min("start").alias("lo"), F.max("stop").alias("hi"))
-    return k.join(ends, ["chrom", "_k"]).drop("_new", "_k")
+    # Dealt to ranges of starts; what reaches a range from those before is one row a range and chromosome.
+    real = stored(loci.filter("stop > start").repartitionByRange("chrom", "start").withColumn("_part", F.spark_partition_id()), "loci")
+    inside = Window.partitionBy("chrom", "_part").orderBy("start", "stop")
+    over = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = real.groupBy("chrom", "_part").agg(F.max("stop").alias("far")).select("chrom", "_part", F.max("far").over(over).alias("_far"))
+    reach = F.greatest(F.max("stop").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    begun = real.join(ends, ["chrom", "_part"]).withColumn("_begin", F.when(reach.isNull() | (F.col("start") >= reach), F.col("start")))
+    begun = stored(begun, "loci")
+    last = begun.groupBy("chrom", "_part").agg(F.max("_begin").alias("at")).select("chrom", "_part", F.max("at").over(over).alias("_before"))
+    lo = F.coalesce(F.max("_begin").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    named = begun.join(last, ["chrom", "_part"]).withColumn("lo", lo)
+    hi = named.groupBy("chrom", "lo").agg(F.max("stop").alias("hi"))
+    return named.join(hi, ["chrom", "lo"]).select(*loci.columns, "lo", "hi")
 
 
 def overlaps(left: DataFrame, right: DataFrame, bin_width: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import reachable
+
 
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     """``(term, gene)``: upper-case genes, empty sets skipped, repeated terms joined."""
@@ -13,7 +15,7 @@ def read_gmt(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_gmt(lines: DataFrame) -> DataFrame:
     p = lines.select(F.split("value", "\t").alias("p")).filter(F.size("p") > 2)
-    genes = p.select(F.trim(F.get("p", F.lit(0))).alias("term"), F.explode(F.slice("p", 3, 1 << 20)).alias("gene"))
+    genes = p.select(F.trim(F.get("p", F.lit(0))).alias("term"), F.explode(F.slice("p", F.lit(3), F.size("p"))).alias("gene"))
     return genes.select("term", F.upper(F.trim("gene")).alias("gene")).filter("gene <> ''").distinct()
 
 
@@ -59,13 +61,10 @@ def parse_obo(text: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, st
 
 
 def closure(edges: DataFrame, part_of: bool = False) -> DataFrame:
-    """``(term, ancestor)`` with each term itself, by a recursive query over ``edges(child, parent, rel)``."""
-    spark = edges.sparkSession
+    """``(term, ancestor)`` with each term itself, over ``edges(child, parent, rel)``."""
     used = edges if part_of else edges.filter("rel = 'is_a'")
-    used.select("child", "parent").distinct().createOrReplaceTempView("_onto_edges")
     every = edges.select(F.col("child").alias("t")).union(edges.select("parent")).distinct()
-    every.createOrReplaceTempView("_onto_terms")
-    return spark.sql("WITH RECURSIVE up(term, ancestor, step) AS (SELECT t, t, 0 FROM _onto_terms UNION ALL SELECT up.term, e.parent, step + 1 FROM up JOIN _onto_edges e ON e.child = up.ancestor WHERE step < 64) SELECT DISTINCT term, ancestor FROM up")
+    return every.select(F.col("t").alias("term"), F.col("t").alias("ancestor")).union(reachable(used)).distinct()
 
 
 def propagated(annotations: DataFrame, up: DataFrame) -> DataFrame:

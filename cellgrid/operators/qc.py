@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
 from .select import keep_columns, keep_rows
+from .stats import upto
 
 MAD_SCALE = 1.4826
 
@@ -62,9 +63,9 @@ def stacked_metrics(parts: list[DataFrame]) -> DataFrame:
 def upper_median(values: DataFrame, column: str) -> float | None:
     """The element ``n div 2`` of the sorted values, found over counts of equal values; None without values."""
     counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    n = values.count()
-    return upto.filter(F.col("upto") > n // 2).agg(F.min("v")).first()[0]
+    held = upto(counts, "v")
+    n = held.agg(F.max("upto")).first()[0] or 0
+    return held.filter(F.col("upto") > n // 2).agg(F.min("v")).first()[0]
 
 
 def band_edges(values: DataFrame, column: str, n_mads: float = 5.0, log1p: bool = True) -> tuple[float, float] | None:

@@ -90,7 +90,12 @@ def membership_matches(df: DataFrame, name: str, asked: DataFrame, delimiter: st
     rest = asked.join(exact.select("query").distinct(), "query", "left_anti")
     by_base = df.join(rest.withColumn("_b", base(F.col("query"))), base(F.col(name)) == F.col("_b")).drop("_b").withColumn("tier", F.lit(1))
     last = rest.join(by_base.select("query").distinct(), "query", "left_anti")
-    by_prefix = df.join(F.broadcast(last), F.col(name).startswith(F.col("query")) | F.col("query").startswith(F.col(name))).withColumn("tier", F.lit(2))
+    # Every prefix of one side with a length that the other side has.
+    cut = lambda rows, c, lengths: rows.crossJoin(F.broadcast(lengths)).withColumn("_p", F.explode(F.filter(F.transform("_l", lambda n: F.when(n <= F.length(c), F.left(c, n))), lambda p: p.isNotNull())))
+    lengths = lambda rows, c: rows.agg(F.collect_set(F.length(c)).alias("_l"))
+    down = cut(df, name, lengths(last, "query")).join(last, F.col("_p") == F.col("query"))
+    up = cut(last, "query", lengths(df, name)).join(df, F.col("_p") == F.col(name))
+    by_prefix = down.unionByName(up).drop("_p", "_l").withColumn("tier", F.lit(2))
     return exact.unionByName(by_base).unionByName(by_prefix)
 
 
@@ -155,11 +160,12 @@ def scaled(m: SparseMatrix) -> DataFrame:
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """``df`` with later equal names as ``x-1, x-2, ...``, skipping names that are taken."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    out = df.withColumn("_k", k)
-    taken = df.select(F.col(name).alias("_taken")).distinct()
-    for _ in range(3):  # taken suffixes are moved on
-        cand = F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), F.col("_k")))
-        hit = out.withColumn("_c", cand).join(taken, (F.col("_c") == F.col("_taken")) & (F.col("_k") > 0), "left")
-        out = hit.withColumn("_k", F.when(F.col("_taken").isNotNull(), F.col("_k") + F.count("_taken").over(Window.partitionBy(name))).otherwise(F.col("_k"))).drop("_c", "_taken")
-    return out.withColumn(name, F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), F.col("_k")))).drop("_k")
+    later = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    # Of the suffixes of a name that are taken, how many free ones lie below each.
+    suffix = df.select(F.regexp_extract(name, "^(.*)-[1-9][0-9]*$", 1).alias("_base"), F.regexp_extract(name, "^.*-([1-9][0-9]{0,17})$", 1).try_cast("long").alias("_t")).filter("_t is not null").distinct()
+    below = suffix.select("_base", (F.col("_t") - F.row_number().over(Window.partitionBy("_base").orderBy("_t"))).alias("_free"))
+    taken = below.groupBy("_base").agg(F.collect_list("_free").alias("_below"))
+    out = df.withColumn("_k", later).join(taken, F.col(name) == F.col("_base"), "left")
+    # The k-th free suffix lies above the taken ones with fewer free ones below.
+    moved = F.col("_k") + F.size(F.filter(F.coalesce("_below", F.expr("cast(array() as array<bigint>)")), lambda x: x < F.col("_k")))
+    return out.withColumn(name, F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), moved))).drop("_k", "_base", "_below")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from .select import dense_ids
 from .stats import column_stats, row_stats
 
 
@@ -118,7 +119,7 @@ def from_reference(m: SparseMatrix, n_cells: int, seed: int = 42) -> SparseMatri
     """Cells like those of ``m``: a reference cell drawn by hash gives the depth and shares of a Poisson draw, smoothed by the means."""
     spark = m.entries.sparkSession
     n = m.cells.count()
-    ids = m.cells.select("col_id", (F.row_number().over(_by("col_id")) - 1).alias("_i"))
+    ids = dense_ids(m.cells, "col_id").select("col_id", F.col("pos").alias("_i"))
     drawn = spark.range(n_cells).select(F.col("id").alias("to"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("_i")).join(ids, "_i").select("to", "col_id")
     picked = m.entries.join(drawn, "col_id").select("row_id", F.col("to").alias("col_id"), "val")
 
@@ -133,12 +134,6 @@ def from_reference(m: SparseMatrix, n_cells: int, seed: int = 42) -> SparseMatri
     return SparseMatrix(entries, m.features, cells, {"producer": "reference"})
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def fidelity(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
     """``(measure, a, b, gap)``: depth, detection, and correlation of the features' means, variances and shares of zeros."""
     depth = lambda m: column_stats(m).agg(F.avg("tot").alias("depth"), F.avg("nnz").alias("detected"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from ..plans.storage import stored
 
 def _sums() -> list[Column]:
     return [F.sum((F.col("val") > 0).cast("long")).alias("nnz"), F.sum("val").alias("tot"), F.sum(F.col("val") * F.col("val")).alias("sumsq")]
@@ -74,16 +75,23 @@ def histogram(values: DataFrame, column: str, bins: int = 40) -> DataFrame:
     return placed.withColumn("bin", k).groupBy("bin").agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
+def upto(counts: DataFrame, key: str) -> DataFrame:
+    """``counts(key, n)`` with ``upto``, the sum of ``n`` up to each key, added up over ranges of keys."""
+    ranged = stored(counts.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "counts")
+    parts = ranged.groupBy("_part").agg(F.sum("n").alias("_n"))
+    before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+    own = F.sum("n").over(Window.partitionBy("_part").orderBy(key))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").select(key, "n", (F.col("_own") + F.col("_before")).alias("upto"))
+
+
 def quantiles(values: DataFrame, column: str, points: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """``(p, value)`` by nearest rank on the sorted finite values, without gathering them: counts of equal values are summed up."""
-    from pyspark.sql import Window
-
     v = F.col(column)
     counts = values.filter(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
+    held = upto(counts, "value")
     total = counts.agg(F.sum("n").alias("total"))
     asked = values.sparkSession.createDataFrame([(p,) for p in points], "p double").crossJoin(F.broadcast(total)).withColumn("rank", F.round((F.col("total") - 1) * F.col("p")))
-    return F.broadcast(asked).join(upto, F.col("upto") > F.col("rank")).groupBy("p").agg(F.min("value").alias("value"))
+    return F.broadcast(asked).join(held, F.col("upto") > F.col("rank")).groupBy("p").agg(F.min("value").alias("value"))
 
 
 def top(stats: DataFrame, by: str = "tot", n: int = 20, key: str = "row_id") -> DataFrame:

@@ -558,3 +558,6 @@ def q_hierarchical_merges(spark: SparkSession, d: str) -> DataFrame:
     sums = m.entries.join(m.cells, "col_id").join(m.features, "row_id").groupBy("batch", "p_brand").agg(F.sum("val").alias("val")).toPandas()
     merges, _ = genes.hierarchical(sums.pivot_table(index="batch", columns="p_brand", values="val", fill_value=0), effective_size=500)
     return spark.createDataFrame([(int(a), int(b), float(f)) for a, b, f in merges], "a long, b long, log_factor double")
+
+
+from . import queries_parts  # noqa: E402,F401  registers its queries here

@@ -33,17 +33,16 @@ def read_mtx(spark: SparkSession, path: str, features: str | None = None, barcod
     rows and columns are numbered. Types may be selected or removed by words.
     A place given twice or out of range is refused.
     """
-    lines = spark.read.text(path).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    n = F.split(F.trim("value"), r"\s+")
-    # The shape is the first line that is no comment; gzip and plain files are read in order from the start.
-    shape = [int(x) for x in lines.select("value").first()[0].split()[:3]]
-    body = lines.withColumn("n", n).filter(F.size("n") >= 3)
-    entries = body.select((F.get("n", F.lit(0)).cast("long") - 1).alias("row_id"), (F.get("n", F.lit(1)).cast("long") - 1).alias("col_id"), F.get("n", F.lit(2)).cast("double").alias("val"), "value")
-    first = lines.select("value").first()[0]
-    head = entries.filter(F.col("value") == first).limit(1)
-    entries = entries.exceptAll(head).drop("value")
-    if (found := entries.count()) != shape[2]:
+    # The shape is the first line that is no comment, found by its place in one pass that counts the lines too.
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", at.alias("at")).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    head = lines.agg(F.min(F.struct("at", "value")).alias("first"), F.count("*").alias("n")).first()
+    shape = [int(x) for x in head.first.value.split()[:3]]
+    if (found := head.n - 1) != shape[2]:
         raise MatrixError(f"{path} names {shape[2]} entries and has {found}")
+    n = F.split(F.trim("value"), r"\s+")
+    body = lines.filter((F.col("at.block") != head.first["at"].block) | (F.col("at.line") != head.first["at"].line)).withColumn("n", n)
+    entries = body.select((F.get("n", F.lit(0)).cast("long") - 1).alias("row_id"), (F.get("n", F.lit(1)).cast("long") - 1).alias("col_id"), F.get("n", F.lit(2)).cast("double").alias("val"))
     if features:
         p = F.split("value", "\t")
         table = numbered_lines(spark, features).withColumn("p", p).select(F.col("pos").alias("row_id"), spelled_locus(F.when(F.size("p") > 1, id_name(F.get("p", F.lit(0)), F.get("p", F.lit(1)))).otherwise(F.get("p", F.lit(0)))).alias("row_name"), F.coalesce(F.get("p", F.lit(2)), F.lit("")).alias("feature_type"))

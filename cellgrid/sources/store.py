@@ -27,7 +27,7 @@ def write(m: SparseMatrix, path: str, inputs: tuple[str, ...] = ()) -> None:
     m.features.write.parquet(f"{path}/features")
     m.cells.write.parquet(f"{path}/cells")
     for name, key, then in (("by_column", "col_id", "row_id"), ("by_row", "row_id", "col_id")):
-        m.entries.repartitionByRange(key).sortWithinPartitions(key, then).write.option("compression", "zstd").parquet(f"{path}/{name}")
+        m.entries.repartitionByRange(key, then).sortWithinPartitions(key, then).write.option("compression", "zstd").parquet(f"{path}/{name}")
     m.entries.sparkSession.createDataFrame([(json.dumps(m.meta),)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
 
 
