@@ -1,74 +1,16 @@
-"""Shared helpers of the training-data operators: durable intermediate tables and session settings."""
+"""Shared helpers of the training-data operators; durable tables and lookups of hot keys come from the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the word separators of the word-level contracts.
-WS = r"\x20\x09-\x0D"
-
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent a local session gets one temporary folder; a
-    cluster without it is refused, since executors would not see the files.
-    """
-    global _local_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return _local_dir
-
-
-def run_dir(spark: SparkSession) -> str:
-    """This application's own folder in the shared one."""
-    return f"{shared_dir(spark)}/cellgrid-{spark.sparkContext.applicationId}"
-
+from ..plans.storage import looked_up, run_dir, stored, width
 
-def discard(spark: SparkSession) -> None:
-    """Delete all that this application has stored; results that still read from it must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts lineage: a lost executor re-reads files instead of recomputing, and
-    what is used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def looked_up(rows: DataFrame, key: str, spread: str, table_: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a table that has one row for each ``key``, of which one may be in a third of ``rows``.
-
-    Rows are dealt to groups by ``spread``; each group asks once for a key, so
-    no task gets all rows of one. ``rows`` is read twice.
-    """
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(spread), F.lit(width(rows.sparkSession))))
-    asked = dealt.select(key, "_group").distinct().join(table_, key)
-    return dealt.join(asked, [key, "_group"], how).drop("_group")
-
-
-def width(spark: SparkSession) -> int:
-    """Number of shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["WS", "ascii_lower", "held_out", "looked_up", "run_dir", "stored", "table", "width"]
 
+#: ASCII white space, the word separators of the word-level contracts.
+WS = r"\x20\x09-\x0D"
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""

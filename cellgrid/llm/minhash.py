@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..operators.graph import components
 from .common import looked_up, stored, table
-from .graph import components
 from .words import batches, mix
 
 POSITIONS = 1 << 20

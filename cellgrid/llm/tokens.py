@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table, width
+from .common import run_dir, stored, table, width
 from .words import BYTE, SPACE, mix, places, texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -322,7 +322,7 @@ def read_token_files(spark: SparkSession, out: str, only: list[int] | None = Non
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read from the files written for all documents."""
-    out = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    out = f"{run_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), out)
     back = read_token_files(spark, out)
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -11,8 +11,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrid.llm import chat, decontaminate, graph, licenses, minhash, quality_rules
+from cellgrid.llm import chat, decontaminate, licenses, minhash, quality_rules
 from cellgrid.llm.license_rules import parsed
+from cellgrid.operators import graph
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
