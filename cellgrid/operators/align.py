@@ -40,13 +40,30 @@ def coverage(parts: list[SparseMatrix], rows: DataFrame, canon=lambda c: c) -> D
     return frame.join(here, ["name", "backend"], "left").fillna(False, ["measured"])
 
 
-def stack(parts: list[SparseMatrix], tags: list[str], rows: str = "union", columns: str = "disjoint", canon=lambda c: c, barcode=lambda c: c) -> SparseMatrix:
+def stacked_columns(parts: list[SparseMatrix], tags: list[str], columns: str = "disjoint", barcode=lambda c: c) -> DataFrame:
+    """``(backend, col_id, tag, barcode, name, to_col)``: where ``stack`` puts each column of each part, and under which name."""
+    tag = F.element_at(F.array(*map(F.lit, tags)), F.col("backend") + 1)
+    cells = _union([m.cells.select(F.lit(b).alias("backend"), "col_id", barcode(F.col("col_name")).alias("barcode")) for b, m in enumerate(parts)])
+    if columns == "union":
+        if cells.groupBy("backend", "barcode").count().filter("count > 1").first():
+            raise MatrixError("a barcode is given twice in one part")
+        named = cells.withColumn("name", F.col("barcode"))
+    else:
+        named = cells.withColumn("name", F.concat_ws("@", "barcode", tag) if len(parts) > 1 else F.col("barcode"))
+    key = "name" if columns == "union" else "_key"
+    named = named.withColumns({"_key": F.struct("backend", "col_id"), "tag": tag})
+    first = named.groupBy(key).agg(F.min("_key").alias("at"))
+    ids = first.join(dense_ids(first, "at"), "at").select(key, F.col("pos").alias("to_col"))
+    return named.join(ids, key).select("backend", "col_id", "tag", "barcode", "name", "to_col")
+
+
+def stack(parts: list[SparseMatrix], tags: list[str], rows: str = "union", columns: str = "disjoint", canon=lambda c: c, barcode=lambda c: c, placed: DataFrame | None = None) -> SparseMatrix:
     """Several matrices as one.
 
     ``columns="disjoint"`` appends columns, named ``barcode@tag`` where there
     are several; ``"union"`` makes equal barcodes one column whose values are
     summed, a barcode given twice in one part is refused. Rows that fold to one
-    name are summed.
+    name are summed. ``placed``: their ``stacked_columns``, where they are known.
     """
     names = aligned_rows(parts, rows, canon)
     # Further columns of a feature come from the first part that has it.
@@ -55,24 +72,12 @@ def stack(parts: list[SparseMatrix], tags: list[str], rows: str = "union", colum
     more = described.groupBy("name").agg(F.min_by(F.struct(F.lit(0).alias("_"), *others), F.struct("backend", "row_id")).alias("more"))
     features = names.join(more, "name").select(F.col("pos").alias("row_id"), F.col("name").alias("row_name"), *[F.col(f"more.`{c}`") for c in others])
     row_map = named_rows(parts, canon).join(names, "name").select("backend", "row_id", F.col("pos").alias("to_row"))
-    tag = F.element_at(F.array(*map(F.lit, tags)), F.col("backend") + 1)
-    cells = _union([m.cells.select(F.lit(b).alias("backend"), "col_id", barcode(F.col("col_name")).alias("barcode")) for b, m in enumerate(parts)])
-    if columns == "union":
-        if cells.groupBy("backend", "barcode").count().filter("count > 1").first():
-            raise MatrixError("a barcode is given twice in one part")
-        named = cells.withColumn("col_name", F.col("barcode"))
-    else:
-        named = cells.withColumn("col_name", F.concat_ws("@", "barcode", tag) if len(parts) > 1 else F.col("barcode"))
-    key = "col_name" if columns == "union" else "_key"
-    named = named.withColumn("_key", F.struct("backend", "col_id"))
-    first = named.groupBy(key).agg(F.min("_key").alias("at"), F.first("col_name").alias("name"))
-    ids = first.join(dense_ids(first, "at"), "at").select(key, "name", F.col("pos").alias("to_col"))
-    col_map = named.join(ids, key).select("backend", "col_id", "to_col")
+    col_map = placed if placed is not None else stacked_columns(parts, tags, columns, barcode)
     entries = _union([m.entries.withColumn("backend", F.lit(b)) for b, m in enumerate(parts)])
     moved = entries.join(row_map, ["backend", "row_id"]).join(col_map, ["backend", "col_id"])
     summed = moved.groupBy(F.col("to_row").alias("row_id"), F.col("to_col").alias("col_id")).agg(F.sum("val").alias("val"))
-    batch = named.join(ids, key).groupBy("to_col").agg(F.min(F.struct("backend", tag.alias("tag"))).alias("b"))
-    out_cells = ids.join(batch, "to_col").select(F.col("to_col").alias("col_id"), F.col("name").alias("col_name"), F.col("b.tag").alias("batch"))
+    of = col_map.groupBy("to_col").agg(F.first("name").alias("col_name"), F.min(F.struct("backend", "tag")).alias("b"))
+    out_cells = of.select(F.col("to_col").alias("col_id"), "col_name", F.col("b.tag").alias("batch"))
     return SparseMatrix(summed, features, out_cells, common_meta([m.meta for m in parts]))
 
 

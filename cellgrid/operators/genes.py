@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
@@ -66,6 +66,28 @@ def fisher_weights(stats: DataFrame, n_columns: int | None = None, sums: str = "
     return c.select("row_id", (1 / (1 + scaled)).alias("weight"))
 
 
+def contrast_features(loadings: DataFrame, sums: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
+    """``(split, side, rank, row_id, loading, lfc, weight)``: the ``k`` strongest rows on either side of each split.
+
+    ``loadings(split, row_id, loading)``; rows above zero stand on the right,
+    those below on the left. ``sums(split, row_id, of_left, of_right)`` are the
+    counts of both sides, ``lfc`` the logarithm of their shares' ratio, right
+    over left, with half a count added. ``weights(split, row_id, weight)``: 1 where there is none. Ties
+    go to the lower row on the right and to the higher one on the left.
+    """
+    total = sums.groupBy("split").agg(F.greatest(F.sum("of_left"), F.lit(1.0)).alias("_l"), F.greatest(F.sum("of_right"), F.lit(1.0)).alias("_r"))
+    right = F.col("loading") > 0
+    signed = F.when(right, F.col("row_id")).otherwise(-F.col("row_id"))
+    order = Window.partitionBy("split", "side").orderBy(F.desc(F.abs("loading")), signed)
+    sided = loadings.filter("loading <> 0 and not isnan(loading)").withColumn("side", F.when(right, "right").otherwise("left"))
+    top = sided.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = top.join(sums, ["split", "row_id"], "left").fillna(0.0, ["of_left", "of_right"]).join(total, "split", "left")
+    lfc = F.log((F.col("of_right") + 0.5) / F.coalesce("_r", F.lit(1.0))) - F.log((F.col("of_left") + 0.5) / F.coalesce("_l", F.lit(1.0)))
+    out = out.withColumn("lfc", lfc)
+    out = out.join(weights, ["split", "row_id"], "left").fillna(1.0, ["weight"]) if weights is not None else out.withColumn("weight", F.lit(1.0))
+    return out.select("split", "side", "rank", "row_id", "loading", "lfc", "weight")
+
+
 def informative_features(m: SparseMatrix, z: float = 5.0) -> DataFrame:
     """``(row_id, deviance, z, informative)``: Poisson deviance against the columns' depths; a zero place adds twice its expectation."""
     depth = m.entries.groupBy("col_id").agg(F.sum("val").alias("depth"))

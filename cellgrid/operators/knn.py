@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import width
+
 #: Query vectors in one pass.
 BLOCK_QUERIES = 20_000
 
@@ -33,24 +35,23 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, skip_same_batch: b
         q = np.stack(some["vec"].to_numpy()).astype(np.float64) if len(some) else np.zeros((0, 1))
 
         def run(parts: Iterator[pd.DataFrame], ids=ids, batches=batches, q=q) -> Iterator[pd.DataFrame]:
-            best: dict = {}
+            best: dict = {}  # of each batch the k best so far, arrays of queries by k
             for part in parts:
-                for batch, own in part.groupby("batch"):
+                for batch, own in part.sort_values("id", kind="stable").groupby("batch"):
+                    asked = np.flatnonzero(batches != batch) if skip_same_batch else np.arange(len(q))
+                    if batch not in best:
+                        best[batch] = np.full((len(q), k), np.inf), np.zeros((len(q), k), ids.dtype)
+                    dist, match = best[batch]
                     r, r_ids = np.stack(own["vec"].to_numpy()).astype(np.float64), own["id"].to_numpy()
-                    for i in range(0, len(q), 512):
+                    for i in range(0, len(asked), 512):
+                        at = asked[i : i + 512]
                         for j in range(0, len(r), 4096):
-                            d = _distances(q[i : i + 512], r[j : j + 4096])
-                            d[ids[i : i + 512, None] == r_ids[None, j : j + 4096]] = np.inf
-                            if skip_same_batch:
-                                d[batches[i : i + 512] == batch] = np.inf
-                            wide = min(k + 8, d.shape[1])
-                            near = np.argpartition(d, wide - 1, axis=1)[:, :wide]
-                            for row in range(len(d)):
-                                c = near[row][np.isfinite(d[row, near[row]])]
-                                exact = np.sqrt(((r[j + c] - q[i + row]) ** 2).sum(axis=1))
-                                best[i + row, batch] = sorted([*best.get((i + row, batch), ()), *zip(exact.tolist(), r_ids[j + c].tolist(), strict=True)])[:k]
-            rows = [(ids[i], batch, m, d) for (i, batch), found in best.items() for d, m in found]
-            yield pd.DataFrame(rows, columns=["source", "batch", "match", "dist"])
+                            found = _nearest_rows(q[at], ids[at], r[j : j + 4096], r_ids[j : j + 4096], k)
+                            dist[at], match[at] = _smallest(np.hstack([dist[at], found[0]]), np.hstack([match[at], found[1]]), k)
+            rows = [(ids, batch, match, dist) for batch, (dist, match) in best.items()]
+            for of, batch, match, dist in rows:
+                at, place = np.nonzero(np.isfinite(dist))
+                yield pd.DataFrame({"source": of[at], "batch": batch, "match": match[at, place], "dist": dist[at, place]})
 
         kinds = {f.name: f.dataType.simpleString() for f in reference.schema}
         found = reference.select("id", "batch", "vec").mapInPandas(run, f"source {kinds['id']}, batch {kinds['batch']}, match {kinds['id']}, dist double")
@@ -59,8 +60,44 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, skip_same_batch: b
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
+def _nearest_rows(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the ``k`` nearest rows of ``r`` (ids ascending) for each query; infinite where there are fewer."""
+    size = (q**2).sum(1)[:, None] + (r**2).sum(1)[None, :]
+    about = size - 2 * q @ r.T  # candidates only, since it cancels
+    about[q_ids[:, None] == r_ids[None, :]] = np.inf
+    wide = min(k, len(r))
+    limit = np.partition(about, wide - 1, axis=1)[:, wide - 1] + 1e-11 * size.max(axis=1, initial=0)
+    inside = (about <= limit[:, None]) & np.isfinite(about)
+    dist, match = np.full((len(q), k), np.inf), np.zeros((len(q), k), r_ids.dtype)
+    for row in range(len(q)):
+        c = np.flatnonzero(inside[row])
+        exact = np.sqrt(((r[c] - q[row]) ** 2).sum(axis=1))
+        order = np.argsort(exact, kind="stable")[:k]  # ids ascend, so ties go to the smaller one
+        dist[row, : len(order)], match[row, : len(order)] = exact[order], r_ids[c[order]]
+    return dist, match
+
+
+def _smallest(dist: np.ndarray, match: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` smallest distances of each row with their ids; ties go to the smaller id."""
+    by_id = np.argsort(match, axis=1, kind="stable")
+    dist, match = np.take_along_axis(dist, by_id, 1), np.take_along_axis(match, by_id, 1)
+    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(dist, near, 1), np.take_along_axis(match, near, 1)
+
+
+def nearest_to(vec: list[float], reference: DataFrame, k: int) -> DataFrame:
+    """``(batch, match, dist, rank)``: the ``k`` nearest of each batch to one given vector; ties go to the smaller id.
+
+    Every batch is sorted in parts first, so none is gathered in one task.
+    """
+    from ..functions.numeric import squared_distance
+
+    at = F.array(*[F.lit(float(x)) for x in vec])
+    near = reference.select("batch", F.col("id").alias("match"), F.sqrt(squared_distance(F.col("vec"), at)).alias("dist"))
+    some = near.withColumn("_part", F.pmod(F.xxhash64("match"), F.lit(width(reference.sparkSession))))
+    part = Window.partitionBy("batch", "_part").orderBy("dist", "match")
+    kept = some.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= k).drop("_part", "_r")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("batch").orderBy("dist", "match"))).filter(F.col("rank") <= k)
 
 
 def matched_columns(matches: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, sign_code
-from ..matrix import SparseMatrix
+from ..matrix import MatrixError, SparseMatrix
+from ..plans.storage import stored
 
 
 def basis(features: DataFrame, dims: int, seed: int, weights: DataFrame | None = None) -> DataFrame:
@@ -100,6 +102,34 @@ def centred_batches(vecs: DataFrame, dims: int, batches: DataFrame, rounds: int
     return cur.select("col_id", "vec")
 
 
+def adjusted(m: SparseMatrix, dims: int, batches: DataFrame, seed: int = 42, weights: DataFrame | None = None) -> DataFrame:
+    """``(col_id, vec)``: the projection with batches shifted onto each other within like columns.
+
+    Where a column has no batch in ``batches(col_id, batch)`` a warning is given and nothing is shifted.
+    """
+    vecs = stored(project(m, dims, seed, weights), "projection")  # every round reads it
+    if vecs.join(batches, "col_id", "left_anti").first():
+        warnings.warn("columns without a batch: batches are not adjusted", stacklevel=2)
+        return vecs
+    return centred_batches(vecs, dims, batches)
+
+
+def mixed_groups(vecs: DataFrame, dims: int, batches: DataFrame, bits: int | None = None, min_batches: int = 2, levels: int = 3) -> DataFrame:
+    """``(col_id, batch, code, grp)``: sign-code groups, those with fewer batches than asked for merged with their siblings.
+
+    Only which batches a code holds comes to the driver, at most 2^bits x batches rows.
+    """
+    of = batches.select("col_id", "batch")
+    if vecs.join(of, "col_id", "left_anti").first():
+        raise MatrixError("a column has no batch")
+    bits = min(bits or dims, dims)
+    coded = stored(sign_groups(vecs, dims, bits).join(of, "col_id"), "codes")
+    counts = [(r.code, r.batch, r.n) for r in coded.groupBy("code", "batch").agg(F.count("*").alias("n")).collect()]
+    need = min(min_batches, len({b for _, b, _ in counts}))
+    to = coded.sparkSession.createDataFrame(list(merged_codes(counts, bits, need, levels).items()) or [(0, 0)], "code long, grp long")
+    return coded.join(F.broadcast(to), "code").select("col_id", "batch", "code", "grp")
+
+
 def merged_codes(counts: list[tuple[int, str, int]], bits: int, min_batches: int, levels: int) -> dict[int, int]:
     """Group codes of which those with too few batches fall together with their siblings, low bit last, up to ``levels`` bits."""
     to = {c: c for c, _, _ in counts}

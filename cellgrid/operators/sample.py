@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..matrix import MatrixError
+from ..matrix import MatrixError, SparseMatrix
+from .select import keep_columns, keep_rows
 
 
 def draw(key: str, seed: int = 42) -> Column:
@@ -24,6 +25,11 @@ def uniform(axis: DataFrame, key: str, n: int | None = None, fraction: float | N
     return axis.select(key).orderBy(draw(key, seed), key).limit(n)
 
 
+def both(m: SparseMatrix, cells: int, rows: int, seed: int = 42) -> SparseMatrix:
+    """The matrix of so many columns and rows, drawn on their own, with their ids."""
+    return keep_rows(keep_columns(m, uniform(m.cells, "col_id", cells, seed=seed)), uniform(m.features, "row_id", rows, seed=seed + 1))
+
+
 def by_group(groups: DataFrame, key: str = "col_id", n: int | None = None, fraction: float | None = None, seed: int = 42) -> DataFrame:
     """``(key, grp)``: up to ``n`` ids of each group, or a rounded fraction of at least one; short groups are taken whole."""
     w = Window.partitionBy("grp")

@@ -133,6 +133,12 @@ def keep_rows(m: SparseMatrix, kept: DataFrame) -> SparseMatrix:
     return m.with_(entries=m.entries.join(k, "row_id", "left_semi"), features=m.features.join(k, "row_id", "left_semi"))
 
 
+def keep_sides(kept: DataFrame, key: str, *sides: DataFrame) -> list[DataFrame]:
+    """Side tables of an axis under its mask ``kept(key)``: each keeps its own columns and repeated rows."""
+    k = kept.select(key).distinct()
+    return [s.join(k, key, "left_semi") for s in sides]
+
+
 def dense_ids(axis: DataFrame, key: str) -> DataFrame:
     """``(key, pos)``: ids 0, 1, ... in order of the old ones.
 

@@ -35,6 +35,24 @@ def row_stats(m: SparseMatrix) -> DataFrame:
     return _finish(sums, F.col("axis")).select("row_id", "nnz", "tot", "mu", "sig")
 
 
+def fixed_order_sums(values: DataFrame, key: str, order: str, value: str = "val", block: int = 4096) -> DataFrame:
+    """``(key, tot)``: sums whose additions have one order, so every run and partitioning gives the same last bit.
+
+    Values of a key are dealt to blocks by the whole number ``order``, each
+    added up in that order; the blocks' sums are dealt again until one is
+    left. Nulls count as zero. No task gathers more than twice a block's
+    values of a key, as long as a place is taken once.
+    """
+    cur = values.select(key, F.col(order).cast("long").alias("_o"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
+    far = cur.agg(F.max(F.abs("_o"))).first()[0] or 0
+    while True:
+        add = F.aggregate(F.sort_array(F.collect_list(F.struct("_o", "_v"))), F.lit(0.0), lambda s, x: s + x["_v"])
+        cur = cur.groupBy(key, F.expr(f"_o div {block}").alias("_o")).agg(add.alias("_v"))
+        far //= block
+        if far == 0:
+            return cur.select(key, F.col("_v").alias("tot"))
+
+
 def both_stats(m: SparseMatrix) -> DataFrame:
     """``(axis, id, nnz, tot)`` of rows and columns with entries from one scan."""
     e = m.entries.groupingSets([[F.col("row_id")], [F.col("col_id")]], "row_id", "col_id").agg(F.grouping("row_id").alias("g"), *_sums())

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import align, annotate, collapse, genes, graph, knn, qc, sample, select, stats
-from .plans.datasets import CELLS, FEATURES, orders_matrix, orders_sql, supply_matrix, table
+from .operators import align, annotate, collapse, genes, graph, knn, project, qc, sample, select, stats
+from .plans.datasets import CELLS, FEATURES, orders_matrix, orders_sql, supply_matrix, table, vectors
 from .plans.storage import run_dir
-from .queries import _METRICS, query, r6
-from .sources import fragments, mtx, store, tables
+from .queries import ORACLE_SQL, _METRICS, query, r6
+from .sources import fragments, loading, mtx, store, tables
 
 # -- graphs -----------------------------------------------------------------
 
@@ -324,3 +324,98 @@ def q_statistics_file(spark: SparkSession, d: str) -> DataFrame:
     own = stats.column_stats(m).filter("nnz > 0").join(m.cells, "col_id").select(F.col("col_name").alias("cell"), "nnz")
     tables.write_statistics(own, path)
     return spark.read.option("sep", "\t").option("header", True).schema("cell string, nnz long").csv(path)
+
+
+# -- shared rows, contrasts, fixed-order sums -------------------------------
+
+_SUPPLY = "supply AS (SELECT l_partkey AS row_id, l_suppkey AS sup, sum(l_quantity) AS val FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1, 2)"
+_LOADED = f"""{_SUPPLY}, a AS (SELECT col_name || '@' || batch || '@orders' AS col_name, batch, count(val) AS n, coalesce(sum(val), 0) AS tot FROM cells LEFT JOIN entries USING (col_id) GROUP BY 1, 2), b AS (SELECT s_name || '@supply' AS col_name, 'supply' AS batch, count(val) AS n, coalesce(sum(val), 0) AS tot FROM supplier LEFT JOIN supply ON s_suppkey = sup GROUP BY 1, 2), c AS (SELECT *, n >= 2 AND tot < 60 AS bad FROM (SELECT *, false AS free FROM a UNION ALL SELECT *, true FROM b))"""
+
+
+@query(f"{orders_sql()}, {_LOADED} SELECT col_name, batch, n AS n_genes, free OR n >= 2 AS emitted FROM c WHERE free OR NOT bad")
+def q_shared_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers tagged with their region and suppliers without a tag, on all parts; suppliers are not judged."""
+    m = orders_matrix(spark, d)
+    tagged = m.with_(cells=m.cells.withColumn("col_name", F.concat_ws("@", "col_name", "batch")))
+    got = loading.shared_rows([tagged, supply_matrix(spark, d)], ["orders", "supply"], keep_empty=True, exempt=[False, True], rules=qc.QcRules(min_counts=60, mads_on=()))
+    n = got.matrix.entries.groupBy("col_id").agg(F.count("*").alias("n_genes"))
+    out = got.matrix.cells.join(n, "col_id", "left").join(got.emitted.withColumn("_e", F.lit(True)), "col_id", "left")
+    return out.select("col_name", "batch", F.coalesce("n_genes", F.lit(0)).cast("long").alias("n_genes"), F.coalesce("_e", F.lit(False)).alias("emitted"))
+
+
+@query(f"{orders_sql()} SELECT col_id, CASE WHEN grp = 'BUILDING' THEN 'all' ELSE grp END AS batch, coalesce(sum(val), 0) * 2 AS tot, count(DISTINCT row_id) * 2 AS n_rows FROM cells LEFT JOIN entries USING (col_id) GROUP BY 1, 2")
+def q_folded_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The same customers in two parts whose rows are kept apart: each is one column with the values of both; segments are tags but for one."""
+    m = orders_matrix(spark, d)
+    name = F.when(F.col("grp") == "BUILDING", F.col("col_name")).otherwise(F.concat_ws("@", "col_name", "grp"))
+    m = m.with_(cells=m.cells.withColumn("col_name", name))
+    got = loading.shared_rows([m, m], ["a", "b"], columns="union", row_suffixes=["plain", "again"], keep_empty=True).matrix
+    sums = got.entries.groupBy("col_id").agg(F.sum("val").alias("tot"), F.count("*").alias("n_rows"))
+    out = got.cells.join(sums, "col_id", "left").join(m.cells.select("col_name", F.col("col_id").alias("_id")), "col_name")
+    return out.select(F.col("_id").alias("col_id"), "batch", F.coalesce("tot", F.lit(0.0)).alias("tot"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+
+
+@query(f"{orders_sql()} SELECT col_id, col_name, grp FROM cells WHERE batch = 'ASIA'")
+def q_kept_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Names and groups of the cells under one mask."""
+    c = orders_matrix(spark, d).cells
+    names_, groups = select.keep_sides(c.filter("batch = 'ASIA'"), "col_id", c.select("col_id", "col_name"), c.select("col_id", "grp"))
+    return names_.join(groups, "col_id")
+
+
+@query(f"{orders_sql()} SELECT row_id, round(sum(val / 3), 6) AS tot FROM entries GROUP BY 1")
+def q_fixed_order_sums(spark: SparkSession, d: str) -> DataFrame:
+    e = orders_matrix(spark, d).entries.withColumn("val", F.col("val") / 3)
+    return stats.fixed_order_sums(e, "row_id", "col_id", block=64).select("row_id", *r6("tot"))
+
+
+@query(f"{orders_sql()}, s AS (SELECT batch AS split, row_id, coalesce(sum(val) FILTER (grp <> 'BUILDING'), 0) AS l, coalesce(sum(val) FILTER (grp = 'BUILDING'), 0) AS r FROM entries JOIN cells USING (col_id) GROUP BY 1, 2), t AS (SELECT split, greatest(sum(l), 1) AS nl, greatest(sum(r), 1) AS nr FROM s GROUP BY 1), o AS (SELECT *, CASE WHEN r * 4 > l THEN 'right' ELSE 'left' END AS side, r * 4 - l AS loading FROM s JOIN t USING (split) WHERE r * 4 <> l), k AS (SELECT *, row_number() OVER (PARTITION BY split, side ORDER BY abs(loading) DESC, CASE side WHEN 'right' THEN row_id ELSE -row_id END) AS rank FROM o) SELECT split, side, rank, row_id, loading, round(ln((r + 0.5) / nr) - ln((l + 0.5) / nl), 6) AS lfc, CAST(1 AS DOUBLE) AS weight FROM k WHERE rank <= 20")
+def q_contrast_features(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that tell one segment from the rest within each region."""
+    m = orders_matrix(spark, d)
+    own = F.col("grp") == "BUILDING"
+    sums = m.entries.join(m.cells, "col_id").groupBy(F.col("batch").alias("split"), "row_id").agg(F.sum(F.when(own, 0.0).otherwise(F.col("val"))).alias("of_left"), F.sum(F.when(own, F.col("val")).otherwise(0.0)).alias("of_right"))
+    loadings = sums.select("split", "row_id", (F.col("of_right") * 4 - F.col("of_left")).alias("loading"))
+    return genes.contrast_features(loadings, sums, 20).select("split", "side", "rank", "row_id", "loading", *r6("lfc"), "weight")
+
+
+@query("WITH k AS (SELECT CAST(label AS VARCHAR) AS batch, vec_id AS match, sqrt(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) - 0.125) * (CAST(x AS DOUBLE) - 0.125)))) AS dist FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY dist, match) AS rank FROM k) SELECT batch, match, round(dist, 5) AS dist, rank FROM r WHERE rank <= 3")
+def q_nearest_to_vector(spark: SparkSession, d: str) -> DataFrame:
+    return knn.nearest_to([0.125] * 64, vectors(spark, d), 3).select("batch", "match", F.round("dist", 5).alias("dist"), "rank")
+
+
+@query("SELECT (SELECT least(count(*), 40) FROM customer) AS cells, (SELECT least(count(*), 60) FROM part) AS features, true AS inside")
+def q_sampled_both(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of a draw of 40 columns and 60 rows, and whether the entries lie on both."""
+    m = sample.both(orders_matrix(spark, d), 40, 60)
+    off = m.entries.join(m.cells, "col_id", "left_anti").union(m.entries.join(m.features, "row_id", "left_anti"))
+    return m.cells.agg(F.count("*").alias("cells")).crossJoin(m.features.agg(F.count("*").alias("features"))).crossJoin(off.agg((F.count("*") == 0).alias("inside")))
+
+
+@query(ORACLE_SQL["fisher_weights"])
+def q_weights_file(spark: SparkSession, d: str) -> DataFrame:
+    """Weights written by name and read back."""
+    import uuid
+
+    m = orders_matrix(spark, d)
+    path = f"{run_dir(spark)}/weights-{uuid.uuid4().hex}"
+    tables.write_weights(m.features, genes.fisher_weights(stats.row_stats(m), m.cells.count()), path)
+    return tables.read_weights(m.features, path).select("row_id", *r6("weight"))
+
+
+@query("SELECT p_partkey AS row_id, p_type AS feature_type FROM part")
+def q_types_file(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    m = orders_matrix(spark, d)
+    path = f"{run_dir(spark)}/types-{uuid.uuid4().hex}"
+    tables.write_types(m.features, path)
+    return tables.read_types(m.features.select("row_id", "row_name"), path).select("row_id", "feature_type")
+
+
+@query()
+def q_mixed_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-code groups of the adjusted projection, of three regions each at least."""
+    m = orders_matrix(spark, d)
+    of = m.cells.select("col_id", "batch")
+    return project.mixed_groups(project.adjusted(m, 8, of), 8, of, bits=5, min_batches=3)

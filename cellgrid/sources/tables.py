@@ -76,6 +76,31 @@ def pair_table(edges: DataFrame, cells: DataFrame) -> DataFrame:
     return edges.join(a, "left").join(b, "right").select("left_cell", "right_cell", *extra, "weight")
 
 
+def write_weights(features: DataFrame, weights: DataFrame, path: str, coarse: DataFrame | None = None) -> None:
+    """``(row_name, weight)`` of every feature, 1 where none is given, and the weights ``(grp, weight)`` of coarser features beside them."""
+    features.select("row_id", "row_name").join(weights, "row_id", "left").select("row_name", F.coalesce("weight", F.lit(1.0)).alias("weight")).write.parquet(f"{path}/fine")
+    if coarse is not None:
+        coarse.select("grp", "weight").write.parquet(f"{path}/coarse")
+
+
+def read_weights(features: DataFrame, path: str, part: str = "fine") -> DataFrame:
+    """``(row_id, weight)`` of ``features`` by name; unknown names get 1. ``part="coarse"`` gives ``(grp, weight)``."""
+    found = features.sparkSession.read.parquet(f"{path}/{part}")
+    if part == "coarse":
+        return found
+    return features.select("row_id", "row_name").join(found, "row_name", "left").select("row_id", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
+def write_types(features: DataFrame, path: str) -> None:
+    """``(row_name, feature_type)``."""
+    features.select("row_name", "feature_type").write.parquet(path)
+
+
+def read_types(features: DataFrame, path: str) -> DataFrame:
+    """``features`` with the ``feature_type`` of their name, null where unknown."""
+    return features.drop("feature_type").join(features.sparkSession.read.parquet(path), "row_name", "left")
+
+
 def exported_axis(axis: DataFrame, frame: DataFrame, name: str) -> DataFrame:
     """``axis`` with the columns of ``frame(key, donor?, ...)`` by name, else by ``name@donor``; ambiguous keys give nulls."""
     once = frame.groupBy("key").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in frame.columns if c != "key"]).filter("_n = 1").drop("_n")
