@@ -24,6 +24,8 @@ CONTROLS = ("<s>", CLOSE, OPEN, ROLE_END)
 #: A control string with any number of backslashes after its first character.
 _PLAIN = r"([<\[])(\\*)(/?s>|/?INST\])"
 _ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\])"
+#: Tokens of a variant's shape: a name, an opening, a closing, a scalar type.
+_SHAPE_TOKEN = r"(?:`(?:[^`]|``)*`|[A-Za-z0-9_]+): |OBJECT<|ARRAY<|>|[A-Z][A-Z_ ]*(?:\([0-9,]+\))?"
 TURNS = "array<struct<role:string,text:string>>"
 
 _message = lambda items, role, text: f"transform(${items}, m -> named_struct('role', cast(m.{role} as string), 'text', cast(m.{text} as string)))"
@@ -71,26 +73,52 @@ def canonical(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumn("turns", F.expr(MAPPINGS[mark].replace("$", "")).cast(TURNS))
 
 
+def record_paths(shape: Column) -> Column:
+    """Sorted paths of the leaves of a variant's shape (``schema_of_variant``), as ``field_paths`` gives them.
+
+    The shape is read token by token with a stack of the objects and arrays
+    that are open. Names with other characters than letters, digits and ``_``
+    keep their backquotes, so no name looks like a path.
+    """
+    tokens = F.regexp_extract_all(shape, F.lit(_SHAPE_TOKEN), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        above = F.coalesce(F.element_at(s["open"], -1), F.lit(""))
+        state = lambda **new: F.struct(*[new.get(k, s[k]).alias(k) for k in ("open", "at", "found")])
+        named = state(at=F.concat(above, F.regexp_replace(t, ": $", "")))
+        inside = F.when(s["at"] == "", F.lit("")).otherwise(F.concat(s["at"], F.lit(".")))
+        return (
+            F.when(t.endswith(": "), named)
+            .when(t == "OBJECT<", state(open=F.array_append(s["open"], inside)))
+            .when(t == "ARRAY<", state(open=F.array_append(s["open"], F.lit("")), at=F.concat(s["at"], F.lit("[]"))))
+            .when(t == ">", state(open=F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)))
+            .otherwise(state(found=F.array_append(s["found"], s["at"])))
+        )
+
+    return F.array_sort(F.aggregate(tokens, start, step, lambda s: s["found"]))
+
+
 def canonical_records(df: DataFrame, column: str = "record") -> DataFrame:
     """``df`` with ``layout`` (fingerprint) and ``turns`` of JSON records, each of a layout of its own.
 
-    A record's own shape gives its field paths: its variant schema without the
-    types of the values. Records of unknown layouts, and what is not a JSON
-    object, get null turns; they stay as rows.
+    A record's own field paths are hashed, and the hash selects the mapping.
+    Records of unknown layouts keep their fingerprint, so they can be counted,
+    and get null turns; what is not a JSON object gets nulls in both. All stay
+    as rows.
     """
     shape = F.schema_of_variant(F.try_parse_json(column))
-    kind = "[A-Z]+(\\([0-9,]+\\))?"
-    layout, turns, parsed = F.lit(None).cast("string"), F.lit(None).cast(TURNS), {}
+    mark = F.when(shape.startswith("OBJECT<"), F.sha2(F.array_join(record_paths(shape), "\n"), 256))
+    out = df.withColumn("layout", mark)
+    turns, parsed = F.lit(None).cast(TURNS), {}
     for i, (paths, mapping) in enumerate(LAYOUTS.items()):
         nested = sorted(p.split("].")[1] for p in paths if "]." in p)
-        inner = ", ".join(f"`?{p}`?: {kind}" for p in nested or sorted(paths))
         top = paths[0].split("[")[0]
-        known = shape.rlike(f"^OBJECT<`?{top}`?: ARRAY<OBJECT<{inner}>>>$" if nested else f"^OBJECT<{inner}>$")
         schema = f"`{top}` array<struct<{', '.join(f'`{p}`: string' for p in nested)}>>" if nested else ", ".join(f"`{p}` string" for p in paths)
+        known = F.col("layout") == fingerprint(paths)
         parsed[f"_parsed{i}"] = F.when(known, F.from_json(column, schema))
-        layout = F.when(known, F.lit(fingerprint(paths))).otherwise(layout)
         turns = F.when(known, F.expr(mapping.replace("$", f"_parsed{i}.")).cast(TURNS)).otherwise(turns)
-    return df.withColumns(parsed).withColumns({"layout": layout, "turns": turns}).drop(*parsed)
+    return out.withColumns(parsed).withColumn("turns", turns).drop(*parsed)
 
 
 def escaped(text: Column) -> Column:
@@ -131,13 +159,29 @@ def format_turn_rows(rows: DataFrame) -> DataFrame:
     """``(conv_id, formatted)`` from a table with a row for each turn: ``conv_id, turn, role, text``.
 
     Turns are in order of ``turn``, ties by role and text; null roles and texts
-    are empty, a null ``conv_id`` is a conversation of its own, repeated rows
-    are turns. Other columns are ignored; an empty table gives no rows.
+    are empty, repeated rows are turns. A row without ``conv_id`` is a
+    conversation of its own, since nothing says that two of them belong
+    together. Other columns are ignored; an empty table gives no rows.
     """
     one = canonical(rows.select("conv_id", "turn", "role", "text"), ["role", "text"])
     filled = F.transform("turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    grouped = one.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), filled.alias("turns")))).alias("all"))
-    return grouped.select("conv_id", rendered(F.flatten(F.transform("all", lambda x: x["turns"]))).alias("formatted"))
+    numbered = one.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), filled.alias("turns")))).alias("all"))
+    grouped = numbered.select("conv_id", F.flatten(F.transform("all", lambda x: x["turns"])).alias("turns"))
+    alone = one.filter("conv_id is null").select("conv_id", filled.alias("turns"))
+    return grouped.unionByName(alone).select("conv_id", rendered(F.col("turns")).alias("formatted"))
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``conversations`` as a JSON record of one of the layouts in turn, made canonical by its fingerprint."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    record = F.lit('{"other": 1}')
+    for i, paths in enumerate(LAYOUTS):
+        value = lambda p: F.col("role").alias(p) if p in ("role", "from") else F.col("text").alias(p)
+        nested = [p.split("].")[1] for p in paths if "]." in p]
+        one = F.struct(F.array(F.struct(*map(value, nested)), F.struct(*map(value, nested))).alias(paths[0].split("[")[0])) if nested else F.struct(*map(value, paths))
+        record = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(LAYOUTS) + 1)) == i, F.to_json(one)).otherwise(record)
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return canonical_records(c.withColumn("record", record)).select("conv_id", "turn", "layout", F.size("turns").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

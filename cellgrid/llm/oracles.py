@@ -11,14 +11,34 @@ _CONTROL = r"'[<\[]\\*(?:/?s>|/?INST\])'"
 _escaped = lambda c: f"length({c}) + len(regexp_extract_all({c}, {_CONTROL}))"
 
 CHAT = f"""WITH r AS (
-  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]', NULL), (-1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(OPEN + ROLE_END + CLOSE)} + {_escaped('role')} + {_escaped('text')}) AS BIGINT) AS formatted_chars
-FROM r GROUP BY conv_id"""
+FROM r GROUP BY conv_id, alone"""
+
+#: What each layout makes of a role ``r`` and a text ``t``, in the order of the mappings; hashes of the sorted paths are in it as text.
+_SAYS = (
+    (("role", "text"), "r || chr(10) || t || chr(10)", 1),
+    (("content", "role"), "r || chr(10) || t || chr(10)", 1),
+    (("messages[].content", "messages[].role"), "repeat(r || chr(10) || t || chr(10), 2)", 2),
+    (("messages[].role", "messages[].text"), "repeat(r || chr(10) || t || chr(10), 2)", 2),
+    (("conversations[].from", "conversations[].value"), "repeat(CASE r WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE r END || chr(10) || t || chr(10), 2)", 2),
+    (("completion", "prompt"), "'user' || chr(10) || t || chr(10) || 'assistant' || chr(10) || t || chr(10)", 2),
+    (("prompt", "response"), "'user' || chr(10) || t || chr(10) || 'assistant' || chr(10) || t || chr(10)", 2),
+    (("instruction", "output"), "'user' || chr(10) || t || chr(10) || 'assistant' || chr(10) || t || chr(10)", 2),
+    (("input", "instruction", "output"), "'user' || chr(10) || t || CASE WHEN t = '' THEN '' ELSE chr(10) || chr(10) || t END || chr(10) || 'assistant' || chr(10) || t || chr(10)", 2),
+    (("answer", "question"), "'user' || chr(10) || t || chr(10) || 'assistant' || chr(10) || t || chr(10)", 2),
+    (("question", "response", "system_prompt"), "'system' || chr(10) || t || chr(10) || 'user' || chr(10) || t || chr(10) || 'assistant' || chr(10) || t || chr(10)", 3),
+)
+_case = lambda place: " ".join(f"WHEN {i} THEN {place(x)}" for i, x in enumerate(_SAYS))
+LAYOUTS = f"""WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS r, coalesce(text, '') AS t, (CAST(conv_id AS BIGINT) + CAST(turn AS BIGINT)) % {len(_SAYS) + 1} AS k FROM conversations)
+SELECT conv_id, turn, sha256(CASE k {_case(lambda x: "'" + "' || chr(10) || '".join(x[0]) + "'")} ELSE 'other' END) AS layout,
+  CASE k {_case(lambda x: str(x[2]))} END AS n_turns, sha256(CASE k {_case(lambda x: x[1])} END) AS turns_sha256
+FROM c"""
 
 
 def quality() -> str:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from .chat import op7_chat
+from .chat import chat_layouts, op7_chat
 from .decontaminate import op9_decontamination
 from .html_text import op8_html_text
 from .licenses import op1_licenses
 from .minhash import op5_near_duplicates
-from .oracles import CHAT, NEAR, licenses, quality
+from .oracles import CHAT, LAYOUTS, NEAR, licenses, quality
 from .packing import op4_packing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op3_quality_rules
@@ -24,6 +24,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_files": op6_token_files,
     "op7_chat": op7_chat,
+    "chat_layouts": chat_layouts,
     "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
@@ -34,4 +35,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality(),
     "op5_near_duplicates": NEAR,
     "op7_chat": CHAT,
+    "chat_layouts": LAYOUTS,
 }

@@ -352,6 +352,31 @@ def test_chat_round_trip(spark):
     assert chat.format_turn_rows(df.limit(0)).count() == 0
 
 
+def test_turns_without_a_conversation_stay_apart(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", None), (1, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    out = chat.format_turn_rows(df).select("conv_id", chat.read_back(F.col("formatted")).alias("back")).collect()
+    assert sorted((r.conv_id or 0, [(t.role, t.text) for t in r.back.turns]) for r in out) == [(0, [("assistant", "")]), (0, [("user", "a")]), (0, [("user", "a")]), (1, [("user", "b")])]
+
+
+def plain_paths(value, at=""):
+    if isinstance(value, dict):
+        return [p for k, v in value.items() for p in plain_paths(v, f"{at}.{k}" if at else k)]
+    if isinstance(value, list) and value:
+        return plain_paths(value[0], f"{at}[]")
+    return [f"{at}[]" if isinstance(value, list) else at]
+
+
+def test_record_paths_equal_a_walk(spark):
+    records = [{"a": {"b": [{"c": 1, "d": {"e": None}}], "f": 1.5}, "g": True, "STRING": "x"}, {"m": []}, {"m": [[{"x": "y"}]], "n": [1]}, {"z": {"y": {"x": {"w": 10**30}}}}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, record string")
+    got = df.select(chat.record_paths(F.schema_of_variant(F.try_parse_json("record"))).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got] == [sorted(plain_paths(r)) for r in records]
+    odd = spark.createDataFrame([('{"messages[].role": "a", "messages[].content": "b"}',), ("5",), ("{}",)], "record string")
+    rows = chat.canonical_records(odd).collect()
+    assert rows[0].turns is None and rows[0].layout != chat.fingerprint(["messages[].role", "messages[].content"])
+    assert rows[1].layout is None and rows[2].layout == hashlib.sha256(b"").hexdigest()
+
+
 def test_chat_layouts(spark):
     records = [{"messages": [{"role": "user", "content": "a"}]}, {"prompt": "p", "response": "r"}, {"instruction": "i", "input": "z", "output": "o"}, {"conversations": [{"from": "gpt", "value": "w"}]}, {"other": 1}]
     df = spark.createDataFrame([(json.dumps(r),) for r in records] + [("{",), (None,)], "record string")
@@ -359,5 +384,6 @@ def test_chat_layouts(spark):
     got = [[(t.role, t.text) for t in r.turns] if r.turns else None for r in rows]
     assert got == [[("user", "a")], [("user", "p"), ("assistant", "r")], [("user", "i\n\nz"), ("assistant", "o")], [("assistant", "w")], None, None, None]
     assert rows[0].layout == chat.fingerprint(["messages[].role", "messages[].content"]) == hashlib.sha256(b"messages[].content\nmessages[].role").hexdigest()
+    assert rows[4].layout == chat.fingerprint(["other"]) and rows[5].layout is rows[6].layout is None
     with pytest.raises(ValueError, match="no mapping"):
         chat.canonical(df, ["record"])
