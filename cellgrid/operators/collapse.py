@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from .knn import softmax_weights
 
 A0 = B0 = 1.0
 ITERATIONS = 100
@@ -130,6 +131,29 @@ def collapsed(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: D
     return rows.groupBy(block.alias("block")).applyInPandas(run, f"row_id long, grp {kind}, mu double, observed double, residual double, imputed double")
 
 
+def matched_stat(m: SparseMatrix, matches: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(row_id, grp, val)`` and ``(batch, grp, w)``: imputed sums, and from which batches their mass comes.
+
+    ``matches(source, batch, match, dist)`` are neighbours in other batches, ``cells(col_id, grp)`` the groups of
+    the sources. Each source is imputed as the mean of its matches under weights ``exp(-dist)`` that sum
+    up to one. Weights are added up by match and group first, so entries are
+    joined once for each group that needs them, not once for each source.
+    """
+    own = softmax_weights(matches).join(cells.select(F.col("col_id").alias("source"), "grp"), "source")
+    need = own.groupBy("match", "grp").agg(F.sum("w").alias("w"))
+    sums = m.entries.join(need.withColumnRenamed("match", "col_id"), "col_id").groupBy("row_id", "grp").agg(F.sum(F.col("w") * F.col("val")).alias("val"))
+    return sums, own.groupBy("batch", "grp").agg(F.sum("w").alias("w"))
+
+
+def collapsed_columns(m: SparseMatrix, matches: DataFrame, cells: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """``(row_id, grp, mu, observed, residual, imputed)`` of ``cells(col_id, batch, grp)`` with what their matches in other batches impute."""
+    sums, _ = group_sums(m, cells)
+    by_batch, n = batch_sums(m, cells)
+    imputed, w = matched_stat(m, matches, cells)
+    sizes = n.join(w, ["batch", "grp"], "full").fillna(0.0, ["n", "w"])
+    return collapsed(sums, imputed, by_batch, sizes, m.features, iterations)
+
+
 def merged_levels(sums: DataFrame, mapping: DataFrame) -> DataFrame:
     """Sums of coarser groups, ``mapping(grp, coarse)``."""
     return sums.join(mapping, "grp").groupBy("row_id", F.col("coarse").alias("grp")).agg(F.sum("val").alias("val"))

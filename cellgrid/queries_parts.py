@@ -9,7 +9,8 @@ from .functions import names
 from .operators import align, annotate, collapse, genes, graph, knn, project, qc, sample, select, stats
 from .plans.datasets import CELLS, FEATURES, orders_matrix, orders_sql, supply_matrix, table, vectors
 from .plans.storage import run_dir
-from .queries import ORACLE_SQL, _METRICS, query, r6
+from .matrix import SparseMatrix
+from .queries import _KNN, _METRICS, ORACLE_SQL, _matches, query, r6
 from .sources import fragments, loading, mtx, store, tables
 
 # -- graphs -----------------------------------------------------------------
@@ -384,6 +385,28 @@ def q_nearest_to_vector(spark: SparkSession, d: str) -> DataFrame:
     return knn.nearest_to([0.125] * 64, vectors(spark, d), 3).select("batch", "match", F.round("dist", 5).alias("dist"), "rank")
 
 
+_WEIGHED = f"WITH {_KNN}, b AS (SELECT *, min(dist) OVER (PARTITION BY source) AS low FROM k WHERE rank <= 3), x AS (SELECT source, batch, match, exp(low - dist) AS w FROM b), n AS (SELECT source % 4 AS grp, batch, match, w / sum(w) OVER (PARTITION BY source) AS w FROM x)"
+
+
+def _vector_stat(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = vectors(spark, d)
+    e = v.select(F.posexplode("vec").alias("row_id", "val"), F.col("id").alias("col_id")).select(F.col("row_id").cast("long").alias("row_id"), "col_id", F.col("val").cast("double").alias("val"))
+    cells = v.select(F.col("id").alias("col_id"), (F.col("id") % 4).alias("grp"))
+    return collapse.matched_stat(SparseMatrix(e, e.select("row_id").distinct(), cells), _matches(spark, d, 3), cells)
+
+
+@query(f"{_WEIGHED}, e AS (SELECT vec_id AS match, unnest(range(0, 64)) AS row_id, unnest(embedding) AS val FROM embeddings) SELECT row_id, grp, round(sum(w * val), 5) AS val FROM n JOIN e USING (match) GROUP BY 1, 2")
+def q_matched_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the vectors imputed for the sources, by group."""
+    return _vector_stat(spark, d)[0].select("row_id", "grp", F.round("val", 5).alias("val"))
+
+
+@query(f"{_WEIGHED} SELECT batch, grp, round(sum(w), 5) AS w FROM n GROUP BY 1, 2")
+def q_matched_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Batches from which each group's imputed mass comes."""
+    return _vector_stat(spark, d)[1].select("batch", "grp", F.round("w", 5).alias("w"))
+
+
 @query("SELECT (SELECT least(count(*), 40) FROM customer) AS cells, (SELECT least(count(*), 60) FROM part) AS features, true AS inside")
 def q_sampled_both(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of a draw of 40 columns and 60 rows, and whether the entries lie on both."""

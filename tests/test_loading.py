@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.functions import numeric
 from cellgrid.matrix import MatrixError, SparseMatrix
-from cellgrid.operators import genes, knn, project, sample, stats
+from cellgrid.operators import collapse, genes, knn, project, sample, stats
 from cellgrid.operators.qc import QcRules
 from cellgrid.sources import loading
 
@@ -157,3 +157,29 @@ def test_special_functions_equal_the_library(spark):
     for r in got[: len(p)]:
         assert r.c == pytest.approx(r.p, rel=1e-9) and r.q == pytest.approx(r.x, rel=1e-9, abs=1e-12)
     assert [(r.c, r.q) for r in got[len(p) :]] == [(None, None), (None, None), (1.0, None)]
+
+
+def test_collapsed_columns_equal_dense_sums(spark):
+    rng = np.random.default_rng(9)
+    y = rng.poisson(2, size=(6, 30)).astype(float)
+    batch, grp = [f"b{i % 3}" for i in range(30)], [i % 4 for i in range(30)]
+    m = matrix(spark, [f"g{i}" for i in range(6)], [f"c{i}" for i in range(30)], [(int(r), int(c), float(y[r, c])) for r, c in zip(*np.nonzero(y), strict=True)])
+    cells = spark.createDataFrame([(i, batch[i], grp[i]) for i in range(30)], "col_id long, batch string, grp long")
+    pairs = [(i, batch[j], j, float(rng.random())) for i in range(30) for j in rng.choice(30, 5, replace=False).tolist() if batch[j] != batch[i]]
+    obs, imp = np.zeros((6, 4)), np.zeros((6, 4))
+    by, n, w = np.zeros((6, 3)), np.zeros((3, 4)), np.zeros((3, 4))
+    for i in range(30):
+        obs[:, grp[i]] += y[:, i]
+        by[:, i % 3] += y[:, i]
+        n[i % 3, grp[i]] += 1
+        own = [(j, math.exp(-d)) for s, _, j, d in pairs if s == i]
+        for j, e in own:
+            share = e / sum(x for _, x in own)
+            imp[:, grp[i]] += share * y[:, j]
+            w[j % 3, grp[i]] += share
+    want = collapse.batch_model(obs, imp, by, n, w, 20)
+    got = collapse.collapsed_columns(m, spark.createDataFrame(pairs, "source long, batch string, match long, dist double"), cells, 20).collect()
+    assert len(got) == 24
+    for r in got:
+        for k in ("mu", "observed", "residual", "imputed"):
+            assert r[k] == pytest.approx(want[k][r.row_id, r.grp], rel=1e-9)
