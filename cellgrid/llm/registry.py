@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import collocations, mixing
+from . import collocations, mixing, treaps
 from .chat import chat_layouts, op7_chat
 from .decontaminate import op9_decontamination
 from .html_text import op8_html_text
@@ -29,6 +29,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ranked_search": treaps.op11_ranked_search,
     "op12_collocations": collocations.op12_collocations,
     "op13_mixing": mixing.op13_mixing,
     "pipeline": corpus_pipeline.run,
@@ -39,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_duplicates": NEAR,
     "op7_chat": CHAT,
     "chat_layouts": LAYOUTS,
+    "op11_ranked_search": treaps.SQL,
     "op12_collocations": collocations.SQL,
 }
