@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from ..plans.storage import stored
 from .knn import softmax_weights
 
 A0 = B0 = 1.0
@@ -261,7 +262,8 @@ def batch_factors(obs: DataFrame, rounds: int = 4, prior: float = 10.0, bound: f
     for _ in range(rounds):
         rate = cur.groupBy("row_id", "stratum").agg((F.sum("val") / F.sum(F.col("size") * F.col("factor"))).alias("rate"))
         o = obs.join(rate, ["row_id", "stratum"]).groupBy("row_id", "batch").agg(F.sum("val").alias("o"), F.sum(F.col("size") * F.col("rate")).alias("e"))
-        out = o.select("row_id", "batch", F.least(F.greatest((F.col("o") + prior) / (F.col("e") + prior), F.lit(1 / bound)), F.lit(bound)).alias("factor"))
+        factor = F.least(F.greatest((F.col("o") + prior) / (F.col("e") + prior), F.lit(1 / bound)), F.lit(bound))
+        out = stored(o.select("row_id", "batch", factor.alias("factor")), "factors")
         cur = obs.join(out, ["row_id", "batch"])
     return out
 
