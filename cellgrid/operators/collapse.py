@@ -70,41 +70,47 @@ def labelled_groups(cells: DataFrame, label: str, cap: int | None = None, seed:
     return out.withColumn("_r", rank).filter(F.col("_r") <= cap).drop("_r")
 
 
-def batch_model(obs: np.ndarray, imp: np.ndarray, by_batch: np.ndarray, n_bs: np.ndarray, w_bs: np.ndarray, iterations: int = ITERATIONS) -> dict[str, np.ndarray]:
+def batch_model(obs: np.ndarray, imp: np.ndarray, by_batch: np.ndarray, n_bs: np.ndarray, w_bs: np.ndarray, iterations: int = ITERATIONS, frame: np.ndarray | None = None, seen: np.ndarray | None = None, counted: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Rates of a block of features by alternating closed forms.
 
     ``obs, imp``: features x groups, observed and imputed sums; ``by_batch``:
     features x batches; ``n_bs, w_bs``: batches x groups, cells and imputed
-    mass. Batch factors are pinned to a weighted geometric mean of one.
+    mass. Batch factors are pinned to a geometric mean of one, weighted by ``frame`` (the mass of each
+    batch). ``seen``: features x batches, 0 where a batch does not measure a feature: its mass
+    counts neither for a rate nor for a factor. ``counted``: groups that count for the factors.
     """
     mass = n_bs + w_bs
-    by_mass = mass.sum(axis=1)
+    frame = mass.sum(axis=1) if frame is None else frame
+    seen = np.ones_like(by_batch) if seen is None else seen
+    counted = np.ones(mass.shape[1]) if counted is None else counted
     delta = np.ones_like(by_batch)
     for _ in range(iterations):
-        mu = (A0 + obs + imp) / (B0 + delta @ mass)
-        part = delta @ w_bs
-        num = by_batch + delta * ((imp / np.where(part > 0, part, 1) * (part > 0)) @ w_bs.T)
-        den = mu @ mass.T
+        mu = (A0 + obs + imp) / (B0 + (delta * seen) @ mass)
+        part = (delta * seen) @ w_bs
+        num = by_batch + delta * seen * ((imp * counted / np.where(part > 0, part, 1) * (part > 0)) @ w_bs.T)
+        den = seen * ((mu * counted) @ mass.T)
         ratio = np.log((A0 + num) / (B0 + den))
-        pin = np.exp((ratio * by_mass).sum(axis=1) / max(by_mass.sum(), 1e-300))
+        weight = frame * seen
+        pin = np.exp((ratio * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-300))
         den = np.maximum((B0 + den) * pin[:, None] - B0, 0)
-        delta = (A0 + num) / (B0 + den)
-    size = n_bs.sum(axis=0)
+        delta = np.where(seen > 0, (A0 + num) / (B0 + den), 1.0)
+    size = seen @ n_bs
     return {
         "mu": mu,
         "delta": delta,
         "residual": (A0 + obs) / (B0 + mu * size),
-        "imputed": (A0 + imp) / (B0 + mu * w_bs.sum(axis=0)),
+        "imputed": (A0 + imp) / (B0 + mu * (seen @ w_bs)),
         "observed": (A0 + obs) / (B0 + size),
     }
 
 
-def collapsed(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: DataFrame, features: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """``(row_id, grp, mu, observed, residual, imputed)`` of the batch model.
+def collapsed_fit(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: DataFrame, features: DataFrame, iterations: int = ITERATIONS, anchors: tuple[str, ...] = (), seen: DataFrame | None = None, private: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(row_id, grp, mu, observed, residual, imputed)`` and ``(row_id, batch, delta)`` of the batch model.
 
     ``sums, imputed (row_id, grp, val)``, ``by_batch(row_id, batch, val)``,
     ``sizes(batch, grp, n, w)``. Features are independent, so they are dealt to
-    blocks of a bounded size; the table of batches and groups goes to each.
+    blocks of a bounded size; the table of batches and groups goes to each. ``seen(row_id, batch)``: where a
+    feature is measured; ``private``: groups without imputed mass do not count for the factors.
     """
     table = sizes.toPandas()
     batches, groups = sorted(table["batch"].unique()), sorted(table["grp"].unique())
@@ -112,24 +118,37 @@ def collapsed(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: D
     n_bs, w_bs = np.zeros((len(batches), len(groups))), np.zeros((len(batches), len(groups)))
     for b, g, n, w in table[["batch", "grp", "n", "w"]].itertuples(index=False):
         n_bs[at_b[b], at_g[g]], w_bs[at_b[b], at_g[g]] = n, w
-    kind = dict(sums.dtypes)["grp"]
+    frame = np.array([float(b in anchors) for b in batches]) if anchors else None
+    counted = (w_bs.sum(axis=0) > 0).astype(float) if private else None
+    kinds = {"grp": dict(sums.dtypes)["grp"], "batch": dict(by_batch.dtypes)["batch"]}
     tagged = lambda df, what, key: df.select("row_id", F.lit(what).alias("what"), F.col(key).cast("string").alias("key"), F.col("val").cast("double").alias("val"))
     rows = tagged(sums, "obs", "grp").unionByName(tagged(imputed, "imp", "grp")).unionByName(tagged(by_batch, "batch", "batch"))
     rows = rows.unionByName(features.select("row_id", F.lit("row").alias("what"), F.lit("").alias("key"), F.lit(0.0).alias("val")))
-    name_g, name_b = {str(g): i for g, i in at_g.items()}, {str(b): i for b, i in at_b.items()}
+    if seen is not None:
+        rows = rows.unionByName(tagged(seen.withColumn("val", F.lit(1.0)), "seen", "batch"))
+    name_g, name_b, masked = {str(g): i for g, i in at_g.items()}, {str(b): i for b, i in at_b.items()}, seen is not None
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(part["row_id"])
         at = np.searchsorted(ids, part["row_id"])
-        planes = {"obs": np.zeros((len(ids), len(groups))), "imp": np.zeros((len(ids), len(groups))), "batch": np.zeros((len(ids), len(batches)))}
-        for what, names in (("obs", name_g), ("imp", name_g), ("batch", name_b)):
+        planes = {what: np.zeros((len(ids), len(names))) for what, names in (("obs", groups), ("imp", groups), ("batch", batches), ("seen", batches))}
+        for what, names in (("obs", name_g), ("imp", name_g), ("batch", name_b), ("seen", name_b)):
             own = (part["what"] == what).to_numpy()
             np.add.at(planes[what], (at[own], part["key"][own].map(names).to_numpy(int)), part["val"][own])
-        fit = batch_model(planes["obs"], planes["imp"], planes["batch"], n_bs, w_bs, iterations)
-        return pd.DataFrame({"row_id": np.repeat(ids, len(groups)), "grp": np.tile(np.array(groups), len(ids)), **{k: fit[k].ravel() for k in ("mu", "observed", "residual", "imputed")}})
+        fit = batch_model(planes["obs"], planes["imp"], planes["batch"], n_bs, w_bs, iterations, frame, planes["seen"] if masked else None, counted)
+        long = lambda keys, names: {"row_id": np.repeat(ids, len(names)), keys: np.tile(np.array(names), len(ids))}
+        by_group = pd.DataFrame(long("grp", groups) | {k: fit[k].ravel() for k in ("mu", "observed", "residual", "imputed")})
+        return pd.concat([by_group, pd.DataFrame(long("batch", batches) | {"delta": fit["delta"].ravel()})], ignore_index=True).assign(of_group=lambda d: d["mu"].notna())
 
     block = F.pmod(F.xxhash64("row_id"), F.greatest(F.lit(1), F.lit(-(-features.count() // BLOCK_FEATURES))))
-    return rows.groupBy(block.alias("block")).applyInPandas(run, f"row_id long, grp {kind}, mu double, observed double, residual double, imputed double")
+    schema = f"row_id long, grp {kinds['grp']}, mu double, observed double, residual double, imputed double, batch {kinds['batch']}, delta double, of_group boolean"
+    fit = stored(rows.groupBy(block.alias("block")).applyInPandas(run, schema), "fit")
+    return fit.filter("of_group").select("row_id", "grp", "mu", "observed", "residual", "imputed"), fit.filter("NOT of_group").select("row_id", "batch", "delta")
+
+
+def collapsed(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: DataFrame, features: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """The profiles of ``collapsed_fit``."""
+    return collapsed_fit(sums, imputed, by_batch, sizes, features, iterations)[0]
 
 
 def matched_stat(m: SparseMatrix, matches: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -40,7 +40,7 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, skip_same_batch: b
                 for batch, own in part.sort_values("id", kind="stable").groupby("batch"):
                     asked = np.flatnonzero(batches != batch) if skip_same_batch else np.arange(len(q))
                     if batch not in best:
-                        best[batch] = np.full((len(q), k), np.inf), np.zeros((len(q), k), ids.dtype)
+                        best[batch] = np.full((len(q), k), np.inf), np.full((len(q), k), own["id"].iloc[0], own["id"].to_numpy().dtype)
                     dist, match = best[batch]
                     r, r_ids = np.stack(own["vec"].to_numpy()).astype(np.float64), own["id"].to_numpy()
                     for i in range(0, len(asked), 512):
@@ -68,7 +68,7 @@ def _nearest_rows(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.nda
     wide = min(k, len(r))
     limit = np.partition(about, wide - 1, axis=1)[:, wide - 1] + 1e-11 * size.max(axis=1, initial=0)
     inside = (about <= limit[:, None]) & np.isfinite(about)
-    dist, match = np.full((len(q), k), np.inf), np.zeros((len(q), k), r_ids.dtype)
+    dist, match = np.full((len(q), k), np.inf), np.full((len(q), k), r_ids[0], r_ids.dtype)
     for row in range(len(q)):
         c = np.flatnonzero(inside[row])
         exact = np.sqrt(((r[c] - q[row]) ** 2).sum(axis=1))
