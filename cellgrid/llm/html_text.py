@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -36,6 +38,8 @@ ENOUGH_PAGES = 100
 LOOSE = 10
 #: The subtrees of one host are dealt to so many groups where its count of pages meets them.
 SALTS = 32
+#: Without an article, a container whose text stands in links to this share is a menu.
+MENU_LINKS = 0.8
 #: Elements nest so deep; what goes deeper stands beside, as in browsers.
 MAX_DEPTH = 512
 
@@ -57,7 +61,18 @@ _FURNITURE = frozenset("nav footer aside form button select input datalist field
 _MARKS = frozenset(
     "nav navbar navigation menu menubar sidebar side aside footer foot masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser comment comments commentlist disqus discussion reply replies respond widget pagination pager toolbar skip search tags complementary contentinfo search form".split()
 )
+#: Words that stand beside a mark in a compound name (``site-footer``, ``comment-list``) without making it a subject.
+_BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons col column content container desktop div fixed global group head header home icon icons inner item items js label layout left link links list lists main mobile more outer page panel post posts article articles primary region right row secondary section site slot small stories sub top trigger unit user view widget widgets wide wrap wrapper".split()
+)
+#: Marks that also name subjects; a block so named stays if it is long prose with few links and holds no comments.
+_AMBIGUOUS = frozenset("side alert notice notices search form menu discussion reply replies respond skip tags related share social recommended teaser promotion".split())
+#: Characters of text outside links from which a block is long prose, and the greatest share of links in it.
+PROSE_CHARS, PROSE_LINKS = 200, 0.25
 _HEADS = frozenset({"header", "head", "heading"})
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of what readers write.
+_TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Kinds whose ids name their subject.
 _NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: A section's id marks furniture if it has a mark and nothing but these beside; its subject may be one of the last.
@@ -136,7 +151,17 @@ class Page:
                 return
 
     def _measure(self) -> None:
-        """Asides, and for each element its characters: all, outside asides, in links; and its first headings."""
+        """Asides, and for each element its characters: all, outside asides, in links; and its headings."""
+        total, linked, heads, links = [0], [0], [0], 0
+        for t in self.tokens:
+            size, head = (len(t), 0) if isinstance(t, str) else (0, 0)
+            if not isinstance(t, str):
+                links += (1 if t >= 0 else -1) * (self.tags[t if t >= 0 else -t - 1] == "a")
+                head = t >= 0 and self.tags[t] in _HEADINGS
+            total.append(total[-1] + size)
+            linked.append(linked[-1] + (size if links > 0 else 0))
+            heads.append(heads[-1] + head)
+        self._sums = {"all": total, "links": linked, "heads": heads}
         self.aside = [False] * len(self.tags)
         for n, tag in enumerate(self.tags):
             up = self.up[n]
@@ -144,19 +169,12 @@ class Page:
             if not own and self.attrs[n]:
                 own = not self.classes(n).isdisjoint(_MARKS) if tag == "article" else tag not in ("html", "body", "main") and self.marked(n)
             self.aside[n] = own or (up >= 0 and self.aside[up])
-        total, plain, linked, heads, links, now = [0], [0], [0], [0], 0, -1
+        plain, now = [0], -1
         for t in self.tokens:
-            size, head = (len(t), 0) if isinstance(t, str) else (0, 0)
             if not isinstance(t, str):
-                n = t if t >= 0 else -t - 1
-                now = t if t >= 0 else self.up[n]
-                links += (1 if t >= 0 else -1) * (self.tags[n] == "a")
-                head = t >= 0 and self.tags[n] in ("h1", "h2")
-            total.append(total[-1] + size)
-            plain.append(plain[-1] + (0 if now >= 0 and self.aside[now] else size))
-            linked.append(linked[-1] + (size if links > 0 else 0))
-            heads.append(heads[-1] + head)
-        self._sums = {"all": total, "plain": plain, "links": linked, "heads": heads}
+                now = t if t >= 0 else self.up[-t - 1]
+            plain.append(plain[-1] + (len(t) if isinstance(t, str) and not (now >= 0 and self.aside[now]) else 0))
+        self._sums["plain"] = plain
 
     def size(self, n: int, what: str = "all") -> int:
         sums = self._sums[what]
@@ -166,6 +184,11 @@ class Page:
         """At least half of the text stands in links."""
         return 2 * self.size(n, "links") >= self.size(n) > 0
 
+    def menu(self, n: int) -> bool:
+        """A container that is nothing but links, or a short list of them."""
+        tag = self.tags[n]
+        return tag in _BLOCK and tag not in _PROSE and tag not in ("body", "html", "main", "article") and self.size(n) > 0 and self.size(n, "links") >= MENU_LINKS * self.size(n)
+
     def values(self, n: int) -> dict[str, str]:
         return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _VALUE.finditer(self.attrs[n])}
 
@@ -174,18 +197,40 @@ class Page:
         return set(self.values(n).get("class", "").split()) if self.attrs[n] else set()
 
     def marks(self, n: int) -> set[str]:
-        """Words of class and role, and of the id where that is no subject."""
+        """Furniture that class, role and id name: whole names, and compounds of nothing but marks and layout words.
+
+        So ``site-footer`` is a footer and ``side-effects`` is a subject. An id that names a subject counts for nothing.
+        """
         if not self.attrs[n]:
             return set()
         values = self.values(n)
-        words = lambda k: {w for w in re.split(r"[^a-z0-9]+", values.get(k, "")) if w}
-        out, own = words("class") | words("role"), words("id")
-        if self.tags[n] in _NAMED or (self.tags[n] == "section" and (own <= _SUBJECTS or not own <= _MARKS | _AROUND)):
+        names = lambda k: {x for name in values.get(k, "").split() if (x := _named(name))}
+        out, own = names("class") | names("role"), names("id")
+        words = {w for w in re.split(r"[^a-z0-9]+", values.get("id", "")) if w}
+        if self.tags[n] in _NAMED or (self.tags[n] == "section" and (words <= _SUBJECTS or not words <= _MARKS | _AROUND)):
             return out
         return out | own
 
     def marked(self, n: int) -> bool:
-        return not self.marks(n).isdisjoint(_MARKS)
+        own = self.marks(n) & _MARKS
+        return bool(own) and not (own <= _AMBIGUOUS and self.prose(n))
+
+    def prose(self, n: int) -> bool:
+        """Long text in paragraphs, few links, and nothing inside that is named as a comment, a reply or a form."""
+        size = self.size(n)
+        if size - self.size(n, "links") < PROSE_CHARS or self.size(n, "links") > PROSE_LINKS * size:
+            return False
+        inside = range(n + 1, self._after(n))
+        return any(self.tags[i] == "p" for i in inside) and not any(self.tags[i] in ("form", "input", "textarea", "nav") or self.marks(i) & _TALK for i in inside)
+
+    def _after(self, n: int) -> int:
+        """The first element after ``n`` and all inside it."""
+        return bisect_left(self.first, self.last[n])
+
+    def named(self, n: int) -> set[str]:
+        """Words of class, role and id."""
+        values = self.values(n) if self.attrs[n] else {}
+        return {w for k in ("class", "role", "id") for w in re.split(r"[^a-z0-9]+", values.get(k, "")) if w}
 
     def main(self) -> list[int]:
         """The article: the fullest ``article`` outside furniture and those beside it, or the ``main`` around if that says more.
@@ -206,7 +251,7 @@ class Page:
         if articles:
             most = max(articles, key=plain)
             return [n for n in articles if n == most or (self.up[n] == self.up[most] and not self.linked(n))]
-        found = [n for n in range(len(self.tags)) if self.attrs[n] and not self.aside[n] and self.tags[n] in ("div", "section") and self.marks(n) & {"main", "article", "content", "post", "entry", "story"}]
+        found = [n for n in range(len(self.tags)) if self.attrs[n] and not self.aside[n] and self.tags[n] in ("div", "section") and self.named(n) & {"main", "article", "content", "post", "entry", "story"}]
         if found:
             return [max(found, key=plain)]
         return [n for n, t in enumerate(self.tags) if t == "body"][:1]
@@ -220,8 +265,8 @@ class Page:
             return not self.size(n, "heads")
         if not self.attrs[n]:
             return False
-        words = self.marks(n)
-        return not words.isdisjoint(_MARKS) or bool(_HIDDEN.search(_QUOTED.sub("", self.attrs[n])) or _UNSEEN.search(self.attrs[n])) or (not words.isdisjoint(_HEADS) and not self.size(n, "heads") and tag not in ("h1", "h2"))
+        unseen = bool(_HIDDEN.search(_QUOTED.sub("", self.attrs[n])) or _UNSEEN.search(self.attrs[n]))
+        return unseen or self.marked(n) or (not self.marks(n).isdisjoint(_HEADS) and not self.size(n, "heads") and tag not in _HEADINGS and not self.prose(n))
 
     def blocks(self, main: list[int]) -> tuple[list[str], dict[int, tuple[int, int]]]:
         """Texts of the main elements by block, white space as one blank, and the blocks of each block element inside."""
@@ -236,6 +281,7 @@ class Page:
                     out.append(clean)
                 now.clear()
 
+        whole = not any(self.tags[n] != "body" for n in main)  # no article: containers of links are menus
         for i, stop in [(self.first[n] + 1, self.last[n]) for n in main] or [(0, len(self.tokens))]:
             while i < stop:
                 t = self.tokens[i]
@@ -249,7 +295,7 @@ class Page:
                     if t < 0:
                         if block:
                             spans[n] = (begin[n], len(out))
-                    elif self.furniture(n):
+                    elif self.furniture(n) or (whole and self.menu(n)):
                         i = self.last[n]
                     elif block:
                         begin[n] = len(out)
@@ -291,6 +337,14 @@ class Page:
         return out
 
 
+@lru_cache(1 << 16)
+def _named(name: str) -> str | None:
+    """The mark or heading word that a whole class name stands for."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+    found = [w for w in words if w in _MARKS or w in _HEADS]
+    return found[0] if found and all(w in _MARKS or w in _HEADS or w in _BESIDE for w in words) else None
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
@@ -349,7 +403,12 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     found = rows.select("id", F.shiftright("id", 33).alias("part"), F.explode("subtrees").alias("s")).select("id", "part", "s.key", "s.a", "s.b")
     # Each partition asks once for each key, so one that a third of all pages hold meets its template in few rows.
     asked = found.select("key", "part").distinct().join(templates(rows, min_pages, min_share, enough).hint("merge"), "key")
-    gone = found.join(asked.hint("merge"), ["key", "part"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", F.col("b") - 1)))).alias("gone"))
+    ranges = found.join(asked.hint("merge"), ["key", "part"]).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("a", (-F.col("b")).alias("nb")))).alias("r"))
+    # The outermost first: a range within those before adds nothing.
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<a:int,b:int>>").alias("kept"))
+    add = lambda acc, r: F.struct((-r["nb"]).alias("end"), F.concat(acc["kept"], F.array(F.struct(F.greatest(r["a"], acc["end"]).alias("a"), (-r["nb"]).alias("b")))).alias("kept"))
+    outer = F.aggregate("r", none, lambda acc, r: F.when(-r["nb"] <= acc["end"], acc).otherwise(add(acc, r)), lambda acc: acc["kept"])
+    gone = ranges.select("id", F.flatten(F.transform(outer, lambda r: F.sequence(r["a"], r["b"] - 1))).alias("gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("blocks") - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.array_join("blocks", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get("blocks", i)), "\n"))
     # Only pages with a subtree that may be a template meet the join.

@@ -54,14 +54,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int
 
 
 def subset(length: np.ndarray, count: np.ndarray, budget: int, reach: int = REACH) -> np.ndarray:
-    """How many of each length (ascending, positive) to take so that their sum comes as near to ``budget`` as found."""
+    """How many of each length (ascending, positive) to take so that their sum comes as near to ``budget`` as found.
+
+    What fits below the budget is compared with a choice that goes over it by one document, the rest filled anew.
+    """
+    best = filled(length, count, budget, reach)
+    rest = budget - int((length * best).sum())
+    over = np.flatnonzero((best < count) & (length > rest))
+    if rest > 0 and len(over):
+        one = np.zeros(len(length), np.int64)
+        one[over[0]] = 1
+        other = one + filled(length, count - one, budget - int(length[over[0]]), reach)
+        if abs(budget - int((length * other).sum())) < rest:
+            return other
+    return best
+
+
+def filled(length: np.ndarray, count: np.ndarray, budget: int, reach: int = REACH) -> np.ndarray:
+    """A choice of at most ``budget``: an equal share of each length, then the longest that fit, then the last ``reach`` exactly."""
     take = np.zeros(len(length), np.int64)
     total = int((length * count).sum())
     if budget <= 0 or not len(length):
         return take
     if budget >= total:
         return count.copy()
-    # An equal share of each length; counts and budget may be large, so in integers.
+    # Counts and budget may be large, so in whole numbers without bound.
     take += np.array([int(c) * budget // total for c in count.tolist()], np.int64)
     rest = budget - int((length * take).sum())
     for i in np.argsort(-length, kind="stable"):
@@ -70,14 +87,7 @@ def subset(length: np.ndarray, count: np.ndarray, budget: int, reach: int = REAC
         more = min(int(count[i] - take[i]), (rest - reach + int(length[i]) - 1) // int(length[i]), rest // int(length[i]))
         take[i] += more
         rest -= more * int(length[i])
-    if rest <= reach:
-        more = bounded_knapsack(length, count - take, rest)
-        take += more
-        rest -= int((length * more).sum())
-    over = np.flatnonzero((take < count) & (length > rest))
-    if len(over) and length[over[0]] - rest < rest:  # one document too many is nearer than what is left
-        take[over[0]] += 1
-    return take
+    return take + bounded_knapsack(length, count - take, rest) if rest <= reach else take
 
 
 def bounded_knapsack(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
@@ -153,8 +163,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = P
     ``docs(doc_id, text, source, ...)``; other columns are ignored. Null and empty texts have size 0
     and give nothing; null is a source of its own, the last. Documents without
     ``doc_id`` are drawn by their text, repeated rows apart from each other; of equal rows it does not
-    matter which is taken. A source's taken words miss its target only by what no
-    documents fill: less than half its shortest document that is left. Without rows the result is empty.
+    matter which is taken. Documents are taken whole, so a source misses its target by what no
+    choice found of them fills: nothing where there are short ones enough, up to half a document where one is longer than what is left. Without rows the result is empty.
     """
     kind = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
     h = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")))

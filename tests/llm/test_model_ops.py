@@ -398,3 +398,47 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(d)).columns == df.columns
         assert stage(spark, df.limit(0), str(d)).count() == 0
+
+
+_LONG = "<p>" + "The treatment was stopped after several weeks because patients reported problems with sleep. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("inside", "stays"),
+    [
+        (f'<div class="side-effects">{_LONG}</div>', True),
+        ('<div class="search-algorithms"><p>Short.</p></div>', True),
+        ('<div class="form-factor"><p>Short.</p></div>', True),
+        ('<div class="menu-of-the-day"><p>Soup.</p></div>', True),
+        ('<div class="alert-free"><p>Short.</p></div>', True),
+        (f'<section class="discussion"><h2>Discussion</h2>{_LONG}</section>', True),
+        (f'<div id="discussion">{_LONG}</div>', True),
+        ("<header><h3>A heading</h3><p>Its text.</p></header>", True),
+        ('<div class="comment-list"><p>I like it.</p></div>', False),
+        ('<div class="site-footer">Foot</div>', False),
+        ('<div class="side-bar"><p>Links</p></div>', False),
+        ('<div class="cookie-banner">We use cookies</div>', False),
+        (f'<section class="discussion"><div class="comment">{_LONG}</div></section>', False),
+        (f'<div class="user-comments">{_LONG}</div>', False),
+        ('<div class="related-posts"><a>More</a></div>', False),
+        ('<div class="ad">Buy</div>', False),
+    ],
+)
+def test_whole_names_mark_furniture(inside, stays):
+    def text(x):
+        page = html_text.Page(f"<body><nav>Menu</nav><article><h1>Title</h1><p>The first words.</p>{x}</article></body>")
+        return page.blocks(page.main())[0]
+
+    assert (text(inside) != text("")) == stays
+
+
+def test_menus_of_pages_without_an_article_go():
+    page = html_text.Page('<body><div class="hdr"><a>Home</a> <a>About</a></div><p>Prose with a <a>link</a>.</p><ul><li><a>One</a></li></ul></body>')
+    assert page.blocks(page.main())[0] == ["Prose with a link."]
+
+
+def test_nested_templates_count_once(spark):
+    deep = "<div class='x'>" * 60 + "<div>same on all</div>" + "</div>" * 60
+    rows = [(i, "http://h/", f"<body><p>page {i} alone</p>{deep}</body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"page {i} alone" for i in range(8)}
