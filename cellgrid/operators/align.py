@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..matrix import MatrixError, SparseMatrix, common_meta
 from ..plans.storage import stored
@@ -148,21 +152,48 @@ def annotated(m: SparseMatrix, table: DataFrame, column: str) -> DataFrame:
 def islands(loci: DataFrame) -> DataFrame:
     """``loci(chrom, start, stop, ...)`` with ``lo, hi`` of their cluster: transitive overlaps, touching ones stay apart.
 
-    Empty intervals belong to no cluster and are left out.
+    Empty intervals and those without a chromosome belong to no cluster and are left out. Ranges of starts
+    find their own clusters in one pass; a row a cluster then tells which go on over the border of a range.
     """
-    # Dealt to ranges of starts; what reaches a range from those before is one row a range and chromosome.
-    real = stored(loci.filter("stop > start").repartitionByRange("chrom", "start").withColumn("_part", F.spark_partition_id()), "loci")
-    inside = Window.partitionBy("chrom", "_part").orderBy("start", "stop")
+    kinds = dict(loci.dtypes)
+    sorted_ = loci.filter("stop > start AND chrom IS NOT NULL").repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "stop").withColumn("_part", F.spark_partition_id())
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chrom, lo, reach = None, 0, 0  # of the cluster that the last batch ended in
+        for part in parts:
+            if not part.num_rows:
+                continue
+            names = part.column("chrom").dictionary_encode()
+            code = names.indices.to_numpy(zero_copy_only=False)
+            start, stop = (part.column(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+            out = np.empty(len(start), start.dtype)
+            edges = [0, *(np.flatnonzero(np.diff(code)) + 1), len(code)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                name = names.dictionary[code[a]].as_py()
+                far = np.maximum.accumulate(stop[a:b])
+                before = np.concatenate([[start[a]], far[:-1]])
+                if name == chrom:
+                    before = np.maximum(before, reach)
+                    far = np.maximum(far, reach)
+                begins = start[a:b] >= before
+                if name != chrom:
+                    begins[0], lo = True, start[a]
+                at = np.maximum.accumulate(np.where(begins, np.arange(b - a), -1))
+                out[a:b] = np.where(at >= 0, start[a:b][np.maximum(at, 0)], lo)
+                chrom, lo, reach = name, out[b - 1], far[-1]
+            yield part.append_column("lo", pa.array(out))
+
+    rows = stored(sorted_.mapInArrow(run, T.StructType([*sorted_.schema.fields, T.StructField("lo", sorted_.schema["start"].dataType)])), "loci")
+    # Clusters of single ranges, and what reaches them from ranges before.
+    own = rows.groupBy("chrom", "_part", "lo").agg(F.max("stop").alias("hi"))
     over = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = real.groupBy("chrom", "_part").agg(F.max("stop").alias("far")).select("chrom", "_part", F.max("far").over(over).alias("_far"))
-    reach = F.greatest(F.max("stop").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
-    begun = real.join(ends, ["chrom", "_part"]).withColumn("_begin", F.when(reach.isNull() | (F.col("start") >= reach), F.col("start")))
-    begun = stored(begun, "loci")
-    last = begun.groupBy("chrom", "_part").agg(F.max("_begin").alias("at")).select("chrom", "_part", F.max("at").over(over).alias("_before"))
-    lo = F.coalesce(F.max("_begin").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
-    named = begun.join(last, ["chrom", "_part"]).withColumn("lo", lo)
-    hi = named.groupBy("chrom", "lo").agg(F.max("stop").alias("hi"))
-    return named.join(hi, ["chrom", "lo"]).select(*loci.columns, "lo", "hi")
+    parts = stored(own.groupBy("chrom", "_part").agg(F.max("hi").alias("far")).withColumn("far", F.max("far").over(over)), "ranges")
+    met = own.join(parts, ["chrom", "_part"]).withColumn("begin", F.when(F.col("far").isNull() | (F.col("lo") >= F.col("far")), F.col("lo")))
+    last = met.groupBy("chrom", "_part").agg(F.max("begin").alias("last")).withColumn("before", F.max("last").over(over)).drop("last")
+    named = stored(met.join(last, ["chrom", "_part"]).select("chrom", "_part", "lo", "hi", F.coalesce("begin", "before").alias("whole")), "clusters")
+    ends = named.groupBy("chrom", "whole").agg(F.max("hi").alias("_hi"))
+    clusters = named.join(ends, ["chrom", "whole"]).select("chrom", "_part", "lo", F.col("whole").alias("_lo"), "_hi")
+    return rows.join(clusters, ["chrom", "_part", "lo"]).select(*loci.columns, F.col("_lo").cast(kinds["start"]).alias("lo"), F.col("_hi").cast(kinds["stop"]).alias("hi"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, bin_width: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import looked_up, stored
+from .select import dense_ids
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,7 +35,8 @@ def sized_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = nodes.select("node").distinct().join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     found = stored(found, "components")
     sizes = found.groupBy("comp").agg(F.count("*").alias("size"))
-    numbered = sizes.withColumn("part", F.row_number().over(Window.orderBy("comp")) - 1)  # a narrow row a component
+    sizes = stored(sizes, "sizes")
+    numbered = sizes.join(dense_ids(sizes, "comp").withColumnRenamed("pos", "part"), "comp")
     return looked_up(found, "comp", "node", numbered).select("node", F.col("part").cast("long").alias("part"), "size")
 
 

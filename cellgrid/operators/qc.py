@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from ..plans.storage import stored
 from .select import keep_columns, keep_rows
-from .stats import upto
+from .stats import middles
 
 MAD_SCALE = 1.4826
 
@@ -61,28 +61,32 @@ def stacked_metrics(parts: list[DataFrame]) -> DataFrame:
 
 
 def upper_median(values: DataFrame, column: str) -> float | None:
-    """The element ``n div 2`` of the sorted values, found over counts of equal values; None without values."""
-    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    held = upto(counts, "v")
-    n = held.agg(F.max("upto")).first()[0] or 0
-    return held.filter(F.col("upto") > n // 2).agg(F.min("v")).first()[0]
+    """The element ``n div 2`` of the sorted values; None without values."""
+    two = middles(values, {column: F.col(column)})[column]
+    return two[1] if two else None
+
+
+def bands(values: DataFrame, columns: list[str], n_mads: float = 5.0, log1p: bool = True) -> dict[str, tuple[float, float] | None]:
+    """``median +- n_mads * MAD * 1.4826`` of each column on the transformed scale; None where the MAD is not positive or nothing is finite.
+
+    Medians are the elements ``n div 2``. All columns are read together.
+    """
+    t = {c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) if log1p else F.col(c).cast("double") for c in columns}
+    # What is not a number or infinite before the transformation counts for nothing.
+    t = {c: F.when(F.abs(F.nanvl(F.col(c).cast("double"), F.lit(float("inf")))) < F.lit(float("inf")), x) for c, x in t.items()}
+    mid = {c: m[1] for c, m in middles(values, t).items() if m}
+    mad = {c: m[1] for c, m in middles(values, {c: F.abs(t[c] - x) for c, x in mid.items()}).items()} if mid else {}
+    return {c: (mid[c] - n_mads * MAD_SCALE * mad[c], mid[c] + n_mads * MAD_SCALE * mad[c]) if mad.get(c, 0) > 0 else None for c in columns}
 
 
 def band_edges(values: DataFrame, column: str, n_mads: float = 5.0, log1p: bool = True) -> tuple[float, float] | None:
-    """``median +- n_mads * MAD * 1.4826`` on the transformed scale; None where the MAD is not positive or nothing is finite."""
-    v = F.col(column).cast("double")
-    t = F.log1p(F.greatest(v, F.lit(0.0))) if log1p else v
-    finite = values.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))).select(t.alias("t"))
-    mid = upper_median(finite, "t")
-    if mid is None:
-        return None
-    mad = upper_median(finite.select(F.abs(F.col("t") - mid).alias("d")), "d")
-    return (mid - n_mads * MAD_SCALE * mad, mid + n_mads * MAD_SCALE * mad) if mad > 0 else None
+    """The band of one column."""
+    return bands(values, [column], n_mads, log1p)[column]
 
 
 def band(values: DataFrame, column: str, n_mads: float = 5.0, log1p: bool = True) -> DataFrame:
     """One row ``(lo, hi)`` of the band; nulls where there is none."""
-    return values.sparkSession.createDataFrame([band_edges(values, column, n_mads, log1p) or (None, None)], "lo double, hi double")
+    return values.sparkSession.createDataFrame([band_edges(stored(values.select(column), "values"), column, n_mads, log1p) or (None, None)], "lo double, hi double")
 
 
 def within(value: Column, lo: Column, hi: Column, tail: str = "both", log1p: bool = True) -> Column:
@@ -99,7 +103,7 @@ def verdicts(cells: DataFrame, rules: QcRules = QcRules(), exempt: Column | None
     verdict. If every cell would go, all stay.
     """
     free = exempt if exempt is not None else F.lit(False)
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)  # bands, verdicts and the guard all read the metrics
+    cells = stored(cells, "metrics")  # bands, verdicts and the guard all read them
     c = cells.withColumns({"exempt": free, "near_empty": ~free & (F.col("n_genes") < rules.min_nnz)})
     bad = F.col("total_counts") < rules.min_counts
     if rules.mito_cap is not None:
@@ -108,8 +112,7 @@ def verdicts(cells: DataFrame, rules: QcRules = QcRules(), exempt: Column | None
         bad = bad | (F.col("ribo_frac") > rules.ribo_cap)
     if rules.min_genes is not None:
         bad = bad | (F.col("n_genes") < rules.min_genes)
-    for x in rules.mads_on:
-        edges = band_edges(c.filter(~F.col("near_empty") & ~F.col("exempt")), x, rules.n_mads)
+    for x, edges in bands(c.filter(~F.col("near_empty") & ~F.col("exempt")), list(rules.mads_on), rules.n_mads).items():
         if edges:
             bad = bad | ~within(F.col(x), F.lit(edges[0]), F.lit(edges[1]))
     out = ~F.col("exempt") & ~F.col("near_empty") & bad
@@ -207,20 +210,29 @@ def trough(counts: list[tuple[int, int]]) -> int | None:
 
 
 def auto_cutoff(cells: DataFrame, column: str = "n_genes") -> int | None:
-    """The trough of a metric; only its distinct values with their counts come to the driver, rounded to bins where there are many."""
+    """The trough of a metric."""
+    return auto_cutoffs(cells.select(F.lit(0).alias("backend"), column), column).get(0)
+
+
+def auto_cutoffs(cells: DataFrame, column: str = "n_genes") -> dict:
+    """The trough of a metric for each ``backend``, from one grouped histogram: counts by value, by bins above 1,000."""
     v = F.col(column).cast("double")
     coarse = F.when(v < 1000, F.floor(v)).otherwise(F.floor(F.expm1(F.floor(F.log1p(v) / (BIN / 4)) * (BIN / 4))))
-    return trough([(int(r[0]), r[1]) for r in cells.groupBy(coarse).agg(F.count("*")).collect()])
+    counts: dict = {}
+    for r in cells.groupBy("backend", coarse.alias("v")).agg(F.count("*").alias("n")).collect():  # some 3,000 rows a backend
+        counts.setdefault(r["backend"], []).append((int(r["v"]), r["n"]))
+    return {b: trough(c) for b, c in counts.items()}
 
 
-def empty_barcode_gate(cells: DataFrame, seen_in: DataFrame) -> DataFrame:
-    """``(col_id, keep)`` from ``cells(backend, col_id, n_genes)`` with a cutoff for each backend: a cell passes if one backend lets it."""
-    cuts = {r.backend: auto_cutoff(cells.filter(F.col("backend") == r.backend)) for r in seen_in.select("backend").distinct().collect()}
-    passed = F.lit(True)
-    for b, cut in cuts.items():
-        if cut is not None:
-            passed = F.when(F.col("backend") == b, F.col("n_genes") >= cut).otherwise(passed)
-    gate = cells.withColumn("_p", passed).groupBy("col_id").agg(F.max("_p").alias("keep"))
+def empty_barcode_gate(cells: DataFrame, seen_in: DataFrame | None = None) -> DataFrame:
+    """``(col_id, keep)`` from ``cells(backend, col_id, n_genes)`` with a cutoff for each backend: a cell passes if one backend lets it.
+
+    ``seen_in(backend)``: only cutoffs of these backends.
+    """
+    cuts = auto_cutoffs(cells if seen_in is None else cells.join(seen_in.select("backend").distinct(), "backend", "left_semi"))
+    table = cells.sparkSession.createDataFrame([(b, c) for b, c in cuts.items() if c is not None], f"backend {dict(cells.dtypes)['backend']}, cut long")
+    passed = cells.join(F.broadcast(table), "backend", "left").withColumn("_p", F.col("cut").isNull() | (F.col("n_genes") >= F.col("cut")))
+    gate = passed.groupBy("col_id").agg(F.max("_p").alias("keep"))
     some = gate.agg(F.coalesce(F.max("keep"), F.lit(False)).alias("_some"))
     return gate.crossJoin(F.broadcast(some)).select("col_id", (F.col("keep") | ~F.col("_some")).alias("keep"))
 
@@ -229,8 +241,10 @@ def depth_scales(m: SparseMatrix, ignored: DataFrame | None = None) -> DataFrame
     """``(col_id, depth, scale)``: depth over the rows not ignored, divided by the median of the positive depths; 1 where there is none."""
     e = m.entries if ignored is None else m.entries.join(ignored.select("row_id"), "row_id", "left_anti")
     depth = m.cells.select("col_id").join(e.groupBy("col_id").agg(F.sum("val").alias("depth")), "col_id", "left").fillna(0.0, ["depth"])
-    mid = depth.filter("depth > 0").agg(F.percentile("depth", 0.5).alias("mid"))
-    return depth.crossJoin(F.broadcast(mid)).select("col_id", "depth", F.when((F.col("depth") > 0) & (F.col("mid") > 0), F.col("depth") / F.col("mid")).otherwise(F.lit(1.0)).alias("scale"))
+    depth = stored(depth, "depths")
+    two = middles(depth.filter("depth > 0"), {"depth": F.col("depth")})["depth"]
+    mid = F.lit(sum(two) / 2 if two else None).cast("double")
+    return depth.select("col_id", "depth", F.when(F.col("depth") > 0, F.col("depth") / mid).otherwise(F.lit(1.0)).alias("scale"))
 
 
 def broad_rows(m: SparseMatrix, groups: DataFrame, share: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..matrix import MatrixError, SparseMatrix
+from ..plans.storage import stored
 
 
 def parse_indices(spec: str, n: int) -> list[int]:
@@ -144,7 +145,8 @@ def dense_ids(axis: DataFrame, key: str) -> DataFrame:
 
     Numbered in ranges: counts of ranges are summed up, no range meets another.
     """
-    ranged = axis.select(key).repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    # Stored, since ranges must be the same wherever they are read.
+    ranged = stored(axis.select(key).repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "ranges")
     before = ranged.groupBy("_part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).drop("n")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
     return ranged.withColumn("_in", inside).join(F.broadcast(before), "_part").select(key, (F.col("_in") + F.col("before")).cast("long").alias("pos"))

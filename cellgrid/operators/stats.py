@@ -115,3 +115,55 @@ def quantiles(values: DataFrame, column: str, points: tuple[float, ...] = (0.0,
 def top(stats: DataFrame, by: str = "tot", n: int = 20, key: str = "row_id") -> DataFrame:
     """The ``n`` rows with the largest ``by``, those that are no numbers last."""
     return stats.orderBy(F.nanvl(F.col(by), F.lit(None).cast("double")).desc_nulls_last(), key).limit(n)
+
+
+#: Values that are collected, as distinct ones with their counts, to find a rank among them.
+EXACT_VALUES = 50_000
+
+
+def middles(values: DataFrame, columns: dict[str, Column]) -> dict[str, tuple[float, float] | None]:
+    """The elements ``(n - 1) div 2`` and ``n div 2`` of the sorted finite values of each column; None without values.
+
+    Exact, in a few scans for all columns together: approximate ranks bracket the middle, then
+    rows below and inside the bracket are counted, and a bracket with few values is read. ``values`` is read
+    several times and should be a stored table.
+    """
+    if not columns:
+        return {}
+    finite = {k: F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v) for k, v in ((k, v.cast("double")) for k, v in columns.items())}
+    one = values.agg(*[x for k, v in finite.items() for x in (F.count(v).alias(f"n_{k}"), F.min(v).alias(f"lo_{k}"), F.max(v).alias(f"hi_{k}"), F.percentile_approx(v, [0.498, 0.502], 10_000).alias(f"p_{k}"))]).first()
+    out: dict[str, tuple[float, float] | None] = {k: None for k in columns if not one[f"n_{k}"]}
+    held = {k: ((one[f"lo_{k}"], one[f"hi_{k}"]) if one[f"n_{k}"] <= EXACT_VALUES else tuple(one[f"p_{k}"])) for k in columns if k not in out}
+    below = {k: 0 for k in held}
+    wanted = {k: ((one[f"n_{k}"] - 1) // 2, one[f"n_{k}"] // 2) for k in held}
+    sized = {k: one[f"n_{k}"] for k in held if one[f"n_{k}"] <= EXACT_VALUES}
+    while open_ := {k: b for k, b in held.items() if k not in sized and k not in out}:
+        # A quarter of the bracket on either side of the rank, should it still hold too many.
+        inside = {k: F.when(finite[k].between(*b), finite[k]) for k, b in open_.items()}
+        got = values.agg(*[x for k, (lo, _) in open_.items() for x in (F.count_if(finite[k] < lo).alias(f"b_{k}"), F.count(inside[k]).alias(f"n_{k}"), F.percentile_approx(inside[k], [i / 64 for i in range(65)], 10_000).alias(f"p_{k}"))]).first()
+        for k, (lo, hi) in open_.items():
+            b, n, cuts = got[f"b_{k}"], got[f"n_{k}"], got[f"p_{k}"]
+            if not b <= wanted[k][0] <= wanted[k][1] < b + n:  # the approximation missed: from the whole range again
+                held[k] = (one[f"lo_{k}"], one[f"hi_{k}"])
+                continue
+            below[k] = b
+            if lo == hi:
+                out[k] = (lo, hi)
+            elif n <= EXACT_VALUES:
+                sized[k] = n
+            else:
+                at = (wanted[k][0] - b) * 64 // n
+                near = cuts[max(at - 1, 0)], cuts[min(at + 2, 64)]
+                if near == (lo, hi):  # few distinct values, each of many rows
+                    sized[k] = n
+                held[k] = near
+    if some := {k: held[k] for k in sized}:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(finite[k].between(*b), finite[k]).alias("v")) for k, b in some.items()]))
+        counts = values.select(each.alias("x")).select("x.*").filter("v is not null").groupBy("k", "v").agg(F.count("*").alias("n")).orderBy("k", "v").collect()
+        for k in some:
+            upto, found = below[k], []
+            for r in (r for r in counts if r.k == k):
+                found += [r.v for rank in wanted[k] if upto <= rank < upto + r.n]
+                upto += r.n
+            out[k] = found[0], found[-1]
+    return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +15,12 @@ from .sources import fragments, mtx, tables
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Line items of the thinned matrix, which has empty rows and columns. Each query over it is also registered over all line items, as ``NAME_whole``.
-THIN = "l_quantity > 49"
-
-
 def query(sql: str | None = None):
     def put(f):
         name = f.__name__.removeprefix("q_")
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = sql
-        if sql and sql.startswith(orders_sql(THIN)):  # the same over all line items
-            QUERIES[f"{name}_whole"] = partial(f, lines=None)
-            ORACLE_SQL[f"{name}_whole"] = orders_sql() + sql.removeprefix(orders_sql(THIN))
         return f
 
     return put
@@ -48,21 +39,21 @@ def q_column_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.column_stats(orders_matrix(spark, d)).select("col_id", "nnz", "tot", *r6("mu", "sig"))
 
 
-@query(f"{orders_sql(THIN)}, s AS (SELECT row_id, {_SUM} FROM entries GROUP BY 1), a AS (SELECT count(*) AS n FROM cells) SELECT row_id, {_STAT} FROM features LEFT JOIN s USING (row_id) CROSS JOIN a")
-def q_row_stats(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return stats.row_stats(orders_matrix(spark, d, lines)).select("row_id", "nnz", "tot", *r6("mu", "sig"))
+@query(f"{orders_sql()}, s AS (SELECT row_id, {_SUM} FROM entries GROUP BY 1), a AS (SELECT count(*) AS n FROM cells) SELECT row_id, {_STAT} FROM features LEFT JOIN s USING (row_id) CROSS JOIN a")
+def q_row_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.row_stats(orders_matrix(spark, d)).select("row_id", "nnz", "tot", *r6("mu", "sig"))
 
 
-@query(f"{orders_sql(THIN)}, f AS (SELECT * FROM features WHERE regexp_matches(row_name, 'brand#1', 'i')), s AS (SELECT col_id, {_SUM} FROM entries WHERE row_id IN (SELECT row_id FROM f) GROUP BY 1), a AS (SELECT count(*) AS n FROM f) SELECT col_id, {_STAT} FROM cells LEFT JOIN s USING (col_id) CROSS JOIN a")
-def q_column_stats_subset(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    m = orders_matrix(spark, d, lines)
+@query(f"{orders_sql()}, f AS (SELECT * FROM features WHERE regexp_matches(row_name, 'brand#1', 'i')), s AS (SELECT col_id, {_SUM} FROM entries WHERE row_id IN (SELECT row_id FROM f) GROUP BY 1), a AS (SELECT count(*) AS n FROM f) SELECT col_id, {_STAT} FROM cells LEFT JOIN s USING (col_id) CROSS JOIN a")
+def q_column_stats_subset(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
     rows = m.features.filter(select.name_matches(F.col("row_name"), "brand#1"))
     return stats.column_stats(m, rows).select("col_id", "nnz", "tot", *r6("mu", "sig"))
 
 
-@query(f"{orders_sql(THIN)}, g AS (SELECT grp, count(*) AS n FROM cells GROUP BY 1), s AS (SELECT grp, row_id, {_SUM} FROM entries JOIN cells USING (col_id) GROUP BY 1, 2) SELECT grp, row_id, {_STAT} FROM g CROSS JOIN features LEFT JOIN s USING (grp, row_id)")
-def q_row_stats_by_group(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    m = orders_matrix(spark, d, lines)
+@query(f"{orders_sql()}, g AS (SELECT grp, count(*) AS n FROM cells GROUP BY 1), s AS (SELECT grp, row_id, {_SUM} FROM entries JOIN cells USING (col_id) GROUP BY 1, 2) SELECT grp, row_id, {_STAT} FROM g CROSS JOIN features LEFT JOIN s USING (grp, row_id)")
+def q_row_stats_by_group(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
     return stats.row_stats_by_group(m, m.cells).select("grp", "row_id", "nnz", "tot", *r6("mu", "sig"))
 
 
@@ -87,14 +78,14 @@ def q_validate(spark: SparkSession, d: str) -> DataFrame:
     return faults(SparseMatrix(e, f, c))
 
 
-@query(f"{orders_sql(THIN)}, p(pos, col_id) AS (VALUES (0, 7), (1, 3), (2, 7), (3, 12)) SELECT row_id, pos, coalesce(val, 0) AS val FROM features CROSS JOIN p LEFT JOIN entries USING (row_id, col_id)")
-def q_take_columns(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return select.dense_columns(orders_matrix(spark, d, lines), select.selection(spark, [7, 3, 7, 12], "col_id"))
+@query(f"{orders_sql()}, p(pos, col_id) AS (VALUES (0, 7), (1, 3), (2, 7), (3, 12)) SELECT row_id, pos, coalesce(val, 0) AS val FROM features CROSS JOIN p LEFT JOIN entries USING (row_id, col_id)")
+def q_take_columns(spark: SparkSession, d: str) -> DataFrame:
+    return select.dense_columns(orders_matrix(spark, d), select.selection(spark, [7, 3, 7, 12], "col_id"))
 
 
-@query(f"{orders_sql(THIN)}, p(pos, row_id) AS (VALUES (0, 5), (1, 2), (2, 9)) SELECT col_id, pos, coalesce(val, 0) AS val FROM cells CROSS JOIN p LEFT JOIN entries USING (row_id, col_id)")
-def q_take_rows(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return select.dense_rows(orders_matrix(spark, d, lines), select.selection(spark, [5, 2, 9], "row_id"))
+@query(f"{orders_sql()}, p(pos, row_id) AS (VALUES (0, 5), (1, 2), (2, 9)) SELECT col_id, pos, coalesce(val, 0) AS val FROM cells CROSS JOIN p LEFT JOIN entries USING (row_id, col_id)")
+def q_take_rows(spark: SparkSession, d: str) -> DataFrame:
+    return select.dense_rows(orders_matrix(spark, d), select.selection(spark, [5, 2, 9], "row_id"))
 
 
 @query(f"{orders_sql()}, p AS (SELECT range AS col_id, range - 10 AS pos FROM range(10, 21)) SELECT row_id, pos AS col_id, val FROM entries JOIN p USING (col_id)")
@@ -127,9 +118,9 @@ def q_reorder_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.features.select("row_id").join(sums, "row_id", "left").fillna(0, ["nnz", "tot"])
 
 
-@query(f"{orders_sql(THIN)}, r AS (SELECT row_id FROM entries GROUP BY 1 HAVING count(*) >= 12), c AS (SELECT col_id FROM entries GROUP BY 1 HAVING count(*) >= 2) SELECT row_id, col_id, val FROM entries WHERE (row_id IN (SELECT row_id FROM r) OR NOT EXISTS (SELECT 1 FROM r)) AND (col_id IN (SELECT col_id FROM c) OR NOT EXISTS (SELECT 1 FROM c))")
-def q_squeeze(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return qc.squeeze(orders_matrix(spark, d, lines), 12, 2).entries
+@query(f"{orders_sql()}, r AS (SELECT row_id FROM entries GROUP BY 1 HAVING count(*) >= 12), c AS (SELECT col_id FROM entries GROUP BY 1 HAVING count(*) >= 2) SELECT row_id, col_id, val FROM entries WHERE (row_id IN (SELECT row_id FROM r) OR NOT EXISTS (SELECT 1 FROM r)) AND (col_id IN (SELECT col_id FROM c) OR NOT EXISTS (SELECT 1 FROM c))")
+def q_squeeze(spark: SparkSession, d: str) -> DataFrame:
+    return qc.squeeze(orders_matrix(spark, d), 12, 2).entries
 
 
 @query(f"""{orders_sql()}, s AS (SELECT col_id, count(*) AS v FROM entries GROUP BY 1), x AS (SELECT min(v) AS lo, CASE WHEN max(v) <= min(v) THEN min(v) + greatest(min(v), 1) ELSE max(v) END AS hi FROM s), y AS (SELECT *, CASE WHEN hi >= 20 THEN 1.0 ELSE least(greatest(lo / 2, hi * 1e-4), 1) END AS shift FROM x)
@@ -156,9 +147,9 @@ def _metrics(m: SparseMatrix) -> DataFrame:
     return qc.metrics(m, F.col("p_brand").startswith("Brand#1"), F.col("feature_type") == "SMALL")
 
 
-@query(f"{orders_sql(THIN)}, {_METRICS} SELECT col_id, n_genes, total_counts, round(mito_frac, 6) AS mito_frac, round(ribo_frac, 6) AS ribo_frac FROM q")
-def q_qc_metrics(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return _metrics(orders_matrix(spark, d, lines)).select("col_id", "n_genes", "total_counts", *r6("mito_frac", "ribo_frac"))
+@query(f"{orders_sql()}, {_METRICS} SELECT col_id, n_genes, total_counts, round(mito_frac, 6) AS mito_frac, round(ribo_frac, 6) AS ribo_frac FROM q")
+def q_qc_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(orders_matrix(spark, d)).select("col_id", "n_genes", "total_counts", *r6("mito_frac", "ribo_frac"))
 
 
 def _band_sql(source: str, column: str, name: str) -> str:
@@ -176,46 +167,46 @@ v AS (SELECT col_id, near_empty, out_ AND (SELECT bool_or(NOT out_) FROM o) AS o
 _RULES = qc.QcRules(min_counts=60, mito_cap=0.8)
 
 
-@query(f"{orders_sql(THIN)}, {_VERDICTS} SELECT col_id, near_empty, outlier, train_keep, emitted FROM w")
-def q_qc_verdicts(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return qc.verdicts(_metrics(orders_matrix(spark, d, lines)), _RULES).select("col_id", "near_empty", "outlier", "train_keep", "emitted")
+@query(f"{orders_sql()}, {_VERDICTS} SELECT col_id, near_empty, outlier, train_keep, emitted FROM w")
+def q_qc_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return qc.verdicts(_metrics(orders_matrix(spark, d)), _RULES).select("col_id", "near_empty", "outlier", "train_keep", "emitted")
 
 
-@query(f"{orders_sql(THIN)}, {_VERDICTS} SELECT 'cells' AS key, count(*) AS value FROM w UNION ALL SELECT 'near_empty', count(*) FILTER (near_empty) FROM w UNION ALL SELECT 'outliers', count(*) FILTER (outlier) FROM w UNION ALL SELECT 'emitted', count(*) FILTER (emitted) FROM w")
-def q_qc_summary(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return qc.summary(qc.verdicts(_metrics(orders_matrix(spark, d, lines)), _RULES))
+@query(f"{orders_sql()}, {_VERDICTS} SELECT 'cells' AS key, count(*) AS value FROM w UNION ALL SELECT 'near_empty', count(*) FILTER (near_empty) FROM w UNION ALL SELECT 'outliers', count(*) FILTER (outlier) FROM w UNION ALL SELECT 'emitted', count(*) FILTER (emitted) FROM w")
+def q_qc_summary(spark: SparkSession, d: str) -> DataFrame:
+    return qc.summary(qc.verdicts(_metrics(orders_matrix(spark, d)), _RULES))
 
 
 def _rules() -> dict[str, Column]:
     return {"few": F.col("n_genes") < 3, "shallow": F.col("total_counts") < 120, "mito": F.col("mito_frac") > 0.6}
 
 
-@query(f"{orders_sql(THIN)}, {_METRICS}, r AS (SELECT n_genes < 3 AS a, total_counts < 120 AS b, mito_frac > 0.6 AS c FROM q) SELECT concat_ws('+', CASE WHEN a THEN 'few' END, CASE WHEN b THEN 'shallow' END, CASE WHEN c THEN 'mito' END) AS failed, CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) AS n_rules, count(*) AS n FROM r GROUP BY 1, 2")
-def q_qc_rule_overlap(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return qc.rule_overlap(_metrics(orders_matrix(spark, d, lines)), _rules())
+@query(f"{orders_sql()}, {_METRICS}, r AS (SELECT n_genes < 3 AS a, total_counts < 120 AS b, mito_frac > 0.6 AS c FROM q) SELECT concat_ws('+', CASE WHEN a THEN 'few' END, CASE WHEN b THEN 'shallow' END, CASE WHEN c THEN 'mito' END) AS failed, CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) AS n_rules, count(*) AS n FROM r GROUP BY 1, 2")
+def q_qc_rule_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return qc.rule_overlap(_metrics(orders_matrix(spark, d)), _rules())
 
 
-@query(f"{orders_sql(THIN)}, {_METRICS}, r AS (SELECT n_genes < 3 AS a, total_counts < 120 AS b, mito_frac > 0.6 AS c FROM q) SELECT 'few' AS rule, count(*) FILTER (a) AS removes, count(*) FILTER (a AND NOT b AND NOT c) AS only_it_removes FROM r UNION ALL SELECT 'shallow', count(*) FILTER (b), count(*) FILTER (b AND NOT a AND NOT c) FROM r UNION ALL SELECT 'mito', count(*) FILTER (c), count(*) FILTER (c AND NOT a AND NOT b) FROM r")
-def q_qc_rule_effects(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return qc.rule_effects(_metrics(orders_matrix(spark, d, lines)), _rules())
+@query(f"{orders_sql()}, {_METRICS}, r AS (SELECT n_genes < 3 AS a, total_counts < 120 AS b, mito_frac > 0.6 AS c FROM q) SELECT 'few' AS rule, count(*) FILTER (a) AS removes, count(*) FILTER (a AND NOT b AND NOT c) AS only_it_removes FROM r UNION ALL SELECT 'shallow', count(*) FILTER (b), count(*) FILTER (b AND NOT a AND NOT c) FROM r UNION ALL SELECT 'mito', count(*) FILTER (c), count(*) FILTER (c AND NOT a AND NOT b) FROM r")
+def q_qc_rule_effects(spark: SparkSession, d: str) -> DataFrame:
+    return qc.rule_effects(_metrics(orders_matrix(spark, d)), _rules())
 
 
-@query(f"{orders_sql(THIN)}, k AS (SELECT row_id, count(val) AS n_cells FROM features LEFT JOIN entries USING (row_id) GROUP BY 1) SELECT row_id, n_cells, n_cells >= 12 OR NOT (SELECT bool_or(n_cells >= 12) FROM k) AS keep FROM k")
-def q_feature_verdicts(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return qc.feature_verdicts(qc.cells_per_feature(orders_matrix(spark, d, lines)), 12)
+@query(f"{orders_sql()}, k AS (SELECT row_id, count(val) AS n_cells FROM features LEFT JOIN entries USING (row_id) GROUP BY 1) SELECT row_id, n_cells, n_cells >= 12 OR NOT (SELECT bool_or(n_cells >= 12) FROM k) AS keep FROM k")
+def q_feature_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return qc.feature_verdicts(qc.cells_per_feature(orders_matrix(spark, d)), 12)
 
 
 _DEPTH = "dd AS (SELECT col_id, coalesce(sum(val), 0) AS depth FROM cells LEFT JOIN entries USING (col_id) GROUP BY 1), mm AS (SELECT quantile_cont(depth, 0.5) AS mid FROM dd WHERE depth > 0), sc AS (SELECT col_id, depth, CASE WHEN depth > 0 AND mid > 0 THEN depth / mid ELSE 1.0 END AS scale FROM dd CROSS JOIN mm)"
 
 
-@query(f"{orders_sql(THIN)}, {_DEPTH} SELECT col_id, depth, round(scale, 6) AS scale FROM sc")
-def q_depth_scales(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    return qc.depth_scales(orders_matrix(spark, d, lines)).select("col_id", "depth", *r6("scale"))
+@query(f"{orders_sql()}, {_DEPTH} SELECT col_id, depth, round(scale, 6) AS scale FROM sc")
+def q_depth_scales(spark: SparkSession, d: str) -> DataFrame:
+    return qc.depth_scales(orders_matrix(spark, d)).select("col_id", "depth", *r6("scale"))
 
 
-@query(f"{orders_sql(THIN)}, {_DEPTH} SELECT col_id, round(sum(val / scale), 6) AS tot FROM entries JOIN sc USING (col_id) GROUP BY 1")
-def q_scaled_column_sums(spark: SparkSession, d: str, lines: str | None = THIN) -> DataFrame:
-    m = orders_matrix(spark, d, lines)
+@query(f"{orders_sql()}, {_DEPTH} SELECT col_id, round(sum(val / scale), 6) AS tot FROM entries JOIN sc USING (col_id) GROUP BY 1")
+def q_scaled_column_sums(spark: SparkSession, d: str) -> DataFrame:
+    m = orders_matrix(spark, d)
     scales = qc.depth_scales(m).select("col_id", "scale")
     return select.scaled(m.with_(cells=m.cells.join(scales, "col_id"))).groupBy("col_id").agg(F.round(F.sum("val"), 6).alias("tot"))
 
@@ -410,34 +401,12 @@ def q_uniform_sample(spark: SparkSession, d: str) -> DataFrame:
     return drawn.agg(F.count("*").alias("n"), F.countDistinct("col_id").alias("distinct_n"), F.min(F.col("col_id").isNotNull()).alias("inside"))
 
 
-@query(f"{orders_sql()}, asked AS (SELECT upper(row_name) AS query FROM features WHERE row_id % 7 = 0) SELECT query, min(row_id) AS row_id, 1 AS tier FROM asked JOIN features ON query = upper(row_name) GROUP BY 1")
-def q_gene_name_match(spark: SparkSession, d: str) -> DataFrame:
-    m = orders_matrix(spark, d)
-    asked = m.features.filter("row_id % 7 = 0").select(F.upper("row_name").alias("query"))
-    return names.reconciled(asked, m.features)
-
-
 @query(f"{orders_sql()}, asked AS (SELECT upper(row_name) AS query FROM features) SELECT query, min(row_id) AS row_id, 1 AS tier FROM asked JOIN features ON query = upper(row_name) GROUP BY 1")
-def q_gene_name_match_whole(spark: SparkSession, d: str) -> DataFrame:
+def q_gene_name_match(spark: SparkSession, d: str) -> DataFrame:
     m = orders_matrix(spark, d)
     return names.reconciled(m.features.select(F.upper("row_name").alias("query")), m.features)
 
 
-@query(f"{orders_sql()}, f AS (SELECT col_name AS n, col_id FROM cells), q AS (SELECT col_name || '@x' AS query FROM cells WHERE col_id < 40 UNION ALL SELECT col_name FROM cells WHERE col_id BETWEEN 40 AND 80) SELECT query, col_id, CASE WHEN query = n THEN 0 ELSE 2 END AS tier FROM q JOIN f ON split_part(query, '@', 1) = n")
-def q_membership_match(spark: SparkSession, d: str) -> DataFrame:
-    c = orders_matrix(spark, d).cells.select("col_id", "col_name")
-    asked = c.filter("col_id < 40").select(F.concat("col_name", F.lit("@x")).alias("query")).union(c.filter("col_id between 40 and 80").select("col_name"))
-    # Base keys of the queries are names themselves, so the second tier finds them.
-    return select.membership_matches(c, "col_name", asked).select("query", "col_id", F.when(F.col("tier") == 1, 2).otherwise(F.col("tier")).alias("tier"))
-
-
-@query(f"{orders_sql()}, f AS (SELECT col_name AS n, col_id FROM cells), q AS (SELECT col_name || '@x' AS query FROM cells UNION ALL SELECT col_name FROM cells) SELECT query, col_id, CASE WHEN query = n THEN 0 ELSE 2 END AS tier FROM q JOIN f ON split_part(query, '@', 1) = n")
-def q_membership_match_whole(spark: SparkSession, d: str) -> DataFrame:
-    c = orders_matrix(spark, d).cells.select("col_id", "col_name")
-    asked = c.select(F.concat("col_name", F.lit("@x")).alias("query")).union(c.select("col_name"))
-    return select.membership_matches(c, "col_name", asked).select("query", "col_id", F.when(F.col("tier") == 1, 2).otherwise(F.col("tier")).alias("tier"))
-
-
 _ONTO = "ed AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region)"
 
 
@@ -499,14 +468,8 @@ def _molecules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("feature"), F.col("o_custkey").alias("barcode"), (F.col("l_linenumber") % 2).alias("gem"), F.col("l_quantity").alias("reads"), F.when(F.col("l_returnflag") != "N", 1).otherwise(0).alias("umi_type"), (F.col("l_tax") < 0.05).alias("pass_filter"))
 
 
-@query(f"WITH {CELLS}, m AS (SELECT l_partkey AS feature, o_custkey AS barcode, l_linenumber % 2 AS gem, l_quantity, l_returnflag, l_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT feature, barcode, gem, CAST(count(*) AS DOUBLE) AS val FROM m WHERE l_returnflag <> 'N' AND l_tax < 0.05 AND barcode % 4 = 1 GROUP BY 1, 2, 3")
-def q_molecule_counts(spark: SparkSession, d: str) -> DataFrame:
-    m = _molecules(spark, d)
-    return tables.molecule_counts(m, m.filter("barcode % 4 = 1").select("barcode", "gem"))
-
-
 @query(f"WITH {CELLS}, m AS (SELECT l_partkey AS feature, o_custkey AS barcode, l_linenumber % 2 AS gem, l_quantity, l_returnflag, l_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT feature, barcode, gem, CAST(count(*) AS DOUBLE) AS val FROM m WHERE l_returnflag <> 'N' AND l_tax < 0.05 GROUP BY 1, 2, 3")
-def q_molecule_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+def q_molecule_counts(spark: SparkSession, d: str) -> DataFrame:
     m = _molecules(spark, d)
     return tables.molecule_counts(m, m.select("barcode", "gem"))
 
@@ -529,21 +492,6 @@ def q_sketch_sample(spark: SparkSession, d: str) -> DataFrame:
     return sample.sketch(project.sign_groups(project.project(orders_matrix(spark, d), 8), 8, 4), 100)
 
 
-@query()
-def q_multilevel_collapse(spark: SparkSession, d: str) -> DataFrame:
-    m = orders_matrix(spark, d)
-    return collapse.multilevel(m, project.project(m, 6), 6, 4, coarsest=2)[0]
-
-
-@query()
-def q_collapse_batches(spark: SparkSession, d: str) -> DataFrame:
-    m = orders_matrix(spark, d)
-    cells = m.cells.select("col_id", "batch", "grp")
-    sums, _ = collapse.group_sums(m, cells)
-    by_batch, sizes = collapse.batch_sums(m, cells)
-    return collapse.collapsed(sums, sums.withColumn("val", F.lit(0.0)), by_batch, sizes.withColumn("w", F.lit(0.0)), m.features, 20)
-
-
 @query()
 def q_coarsen_features(spark: SparkSession, d: str) -> DataFrame:
     m = orders_matrix(spark, d)
@@ -560,4 +508,4 @@ def q_hierarchical_merges(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(int(a), int(b), float(f)) for a, b, f in merges], "a long, b long, log_factor double")
 
 
-from . import queries_parts  # noqa: E402,F401  registers its queries here
+from . import queries_models, queries_parts  # noqa: E402,F401  register their queries here
