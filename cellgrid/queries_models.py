@@ -73,7 +73,7 @@ def q_multilevel_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Groups of two levels after refinement of the samples of 6-bit codes, with batch-corrected rates of each."""
     m = orders_matrix(spark, d)
     vecs = stored(project.project(m, 8), "projection")
-    how = Levels(bits=6, levels=2, coarsest=3, neighbours=3, iterations=30, refine=Refinement(gibbs=1, greedy=1))
+    how = Levels(bits=6, levels=2, coarsest=3, neighbours=3, iterations=30, refine=Refinement(gibbs=0, greedy=1))
     return multilevel.collapse_levels([m], project.sign_groups(vecs, 8, 6), vecs, 8, how).profiles
 
 

@@ -5,7 +5,7 @@ from cellgrid import commands
 from cellgrid.matrix import MatrixError
 from cellgrid.operators import sim
 from cellgrid.sources import store
-from tests.test_matrix import SMALL, dense, matrix
+from tests.test_matrix import COLS, ROWS, SMALL, dense, matrix, places
 
 
 @pytest.fixture(scope="module")
@@ -16,37 +16,38 @@ def path(spark, tmp_path_factory):
 
 
 def test_reading_commands(spark, path):
-    a = dense(SMALL, 5, 6)
-    assert {r.key: r.value for r in commands.info_of(spark, path).collect()} == {"nrow": "5", "ncol": "6", "nnz": "9"}
-    assert [r.row_name for r in commands.row_names(spark, path).collect()] == [f"r{i}" for i in range(5)]
+    a = dense()
+    assert {r.key: r.value for r in commands.info_of(spark, path).collect()} == {"nrow": str(ROWS), "ncol": str(COLS), "nnz": str(len(SMALL))}
+    assert [r.row_name for r in commands.row_names(spark, path).collect()] == [f"feat{i}" for i in range(ROWS)]
     rows = commands.take_columns(spark, path, "4,0").collect()
-    assert [(r.row_name, r.c4, r.c0) for r in rows] == [(f"r{i}", a[i, 4], a[i, 0]) for i in range(5)]
-    rows = commands.take_rows(spark, path, "3-4").collect()
-    assert [(r.column_name, r.r3, r.r4) for r in rows] == [(f"c{j}", 0, a[4, j]) for j in range(6)]
+    assert [(r.row_name, r.cell4, r.cell0) for r in rows] == [(f"feat{i}", a[i, 4], a[i, 0]) for i in range(ROWS)]
+    rows = commands.take_rows(spark, path, "2-3").collect()
+    assert [(r.column_name, r.feat2, r.feat3) for r in rows] == [(f"cell{j}", a[2, j], a[3, j]) for j in range(COLS)]
     got = {r.name: r.tot for r in commands.statistics(spark, path, "row").collect()}
-    assert got == {f"r{i}": a[i].sum() for i in range(5)}
-    assert sum(r.n for r in commands.histogram(spark, path).collect()) == 6
+    assert got == {f"feat{i}": a[i].sum() for i in range(ROWS)}
+    assert sum(r.n for r in commands.histogram(spark, path).collect()) == COLS
     assert commands.list_contents(spark, path).filter("part = 'features'").count() == 2
 
 
 def test_writing_commands(spark, path, tmp_path):
-    commands.subset(spark, path, str(tmp_path / "s"), columns="1-3", row_pattern="R[04]$")
+    commands.subset(spark, path, str(tmp_path / "s"), columns="1-3", row_pattern="FEAT[04]$")
     m = store.read(spark, str(tmp_path / "s"))
-    assert sorted(map(tuple, m.entries.collect())) == [(0, 2, 6.0), (1, 0, 5.0)]
+    assert set(map(tuple, m.entries.collect())) == places(dense()[[0, 4], 1:4])
     with pytest.raises(MatrixError):
         commands.subset(spark, path, str(tmp_path / "x"), column_pattern="nothing")
     with pytest.raises(MatrixError, match="input"):
         commands.convert(spark, path, path)
     commands.subsample(spark, path, str(tmp_path / "d"), n=3)
     assert store.read(spark, str(tmp_path / "d")).cells.count() == 3
-    (tmp_path / "g.tsv").write_text("".join(f"c{i}\t{'xy'[i % 2]}\n" for i in range(6)))
+    (tmp_path / "g.tsv").write_text("".join(f"cell{i}\t{'xy'[i % 2]}\n" for i in range(COLS)))
     commands.split(spark, path, str(tmp_path / "k"), str(tmp_path / "g.tsv"), folds=2)
     sizes = [store.read(spark, str(tmp_path / "k" / f"fold={f}" / p)).cells.count() for f in (0, 1) for p in ("train", "test")]
-    assert sizes == [3, 3, 3, 3]
+    assert sorted(sizes) == [3, 3, 4, 4] and sizes[0] + sizes[1] == COLS
     commands.merge(spark, [path, path], str(tmp_path / "m"))
-    assert store.read(spark, str(tmp_path / "m")).cells.count() == 12
+    assert store.read(spark, str(tmp_path / "m")).cells.count() == 2 * COLS
     out = {r.key: r.value for r in commands.quality_control(spark, [path], str(tmp_path / "q")).collect()}
-    assert out["cells"] == 6 and out["near_empty"] == 3 and store.read(spark, str(tmp_path / "q")).cells.count() == out["emitted"]
+    few = int(((dense() > 0).sum(axis=0) < 2).sum())
+    assert out["cells"] == COLS and out["near_empty"] == few and store.read(spark, str(tmp_path / "q")).cells.count() == out["emitted"]
 
 
 def test_simulated_counts_do_not_depend_on_partitions(spark):

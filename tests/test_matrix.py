@@ -5,24 +5,43 @@ from pyspark.sql import functions as F
 from cellgrid.matrix import MatrixError, SparseMatrix, common_meta, from_dense, from_triplets, info
 from cellgrid.operators import align, qc, sample, select, stats
 
-#: A 5 x 6 matrix with an empty row (3) and an empty column (2).
-SMALL = [(0, 0, 1.0), (4, 0, 2.0), (1, 1, 3.0), (2, 1, 4.0), (4, 1, 5.0), (0, 3, 6.0), (1, 4, 7.0), (2, 4, 8.0), (2, 5, 9.0)]
+ROWS, COLS, NO_ROW, NO_COL = 6, 7, 2, 5
 
 
-def matrix(spark, entries=SMALL, rows=5, cols=6):
-    e = spark.createDataFrame(entries, "row_id long, col_id long, val double")
-    f = spark.createDataFrame([(i, f"r{i}") for i in range(rows)], "row_id long, row_name string")
-    c = spark.createDataFrame([(i, f"c{i}") for i in range(cols)], "col_id long, col_name string")
+def drawn():
+    """Counts of a seeded draw with an empty row and an empty column; the other rows and columns have some."""
+    rng = np.random.default_rng(20)
+    a = rng.integers(1, 60, (ROWS, COLS)) * (rng.random((ROWS, COLS)) < 0.45)
+    a[NO_ROW], a[:, NO_COL] = 0, 0
+    return [(int(r), int(c), float(a[r, c])) for r, c in np.argwhere(a)]
+
+
+SMALL = drawn()
+
+
+def matrix(spark, entries=None, rows=ROWS, cols=COLS):
+    e = spark.createDataFrame(SMALL if entries is None else entries, "row_id long, col_id long, val double")
+    f = spark.createDataFrame([(i, f"feat{i}") for i in range(rows)], "row_id long, row_name string")
+    c = spark.createDataFrame([(i, f"cell{i}") for i in range(cols)], "col_id long, col_name string")
     return from_triplets(e, f, c)
 
 
-def dense(entries, rows, cols):
+def dense(entries=None, rows=ROWS, cols=COLS):
     a = np.zeros((rows, cols))
-    for r, c, v in entries:
+    for r, c, v in SMALL if entries is None else entries:
         a[r, c] = v
     return a
 
 
+def places(a):
+    return {(int(r), int(c), float(a[r, c])) for r, c in np.argwhere(a)}
+
+
+def test_the_drawn_matrix_has_one_empty_row_and_column():
+    a = dense() > 0
+    assert [i for i in range(ROWS) if not a[i].any()] == [NO_ROW] and [j for j in range(COLS) if not a[:, j].any()] == [NO_COL]
+
+
 def test_faulty_entries_are_refused(spark):
     with pytest.raises(MatrixError, match="given twice"):
         matrix(spark, [(0, 0, 1.0), (0, 0, 2.0)])
@@ -33,7 +52,7 @@ def test_faulty_entries_are_refused(spark):
 
 
 def test_statistics_count_zeros(spark):
-    m, a = matrix(spark), dense(SMALL, 5, 6)
+    m, a = matrix(spark), dense()
     for r in stats.row_stats(m).collect():
         x = a[r.row_id]
         assert (r.nnz, r.tot) == ((x > 0).sum(), x.sum())
@@ -44,14 +63,19 @@ def test_statistics_count_zeros(spark):
     for r in stats.column_stats(m, some).collect():
         assert r.mu == pytest.approx(a[1:3, r.col_id].mean())
     both = {(r.axis, r.id): r.tot for r in stats.both_stats(m).collect()}
-    assert both["row", 4] == 7 and both["column", 4] == 15 and ("row", 3) not in both
+    assert both["row", 4] == a[4].sum() and both["column", 4] == a[:, 4].sum() and ("row", NO_ROW) not in both
 
 
 def test_grouped_statistics_cover_empty_pairs(spark):
     m = matrix(spark)
     g = spark.createDataFrame([(i, "a") for i in range(3)] + [(3, "b")], "col_id long, grp string")
     out = {(r.grp, r.row_id): r for r in stats.row_stats_by_group(m, g).collect()}
-    assert len(out) == 15 and out["", 1].tot == 7 and out["b", 1].nnz == 0 and out["a", 4].mu == pytest.approx(7 / 3)
+    a = dense()
+    assert len(out) == 3 * ROWS
+    for name, own in (("a", [0, 1, 2]), ("b", [3]), ("", [4, 5, 6])):
+        for i in range(ROWS):
+            x = a[i, own]
+            assert (out[name, i].tot, out[name, i].nnz) == (x.sum(), (x > 0).sum()) and out[name, i].mu == pytest.approx(x.mean())
 
 
 def test_selection(spark):
@@ -59,25 +83,28 @@ def test_selection(spark):
     assert select.parse_indices("0,2-3,9", 5) == [0, 2, 3]
     with pytest.raises(MatrixError):
         select.parse_indices("7", 5)
+    a = dense()
     picked = select.selection(spark, [4, 0, 4], "col_id")
-    assert {tuple(r) for r in select.read_columns(m, picked).collect()} == {(1, 0, 7.0), (2, 0, 8.0), (0, 1, 1.0), (4, 1, 2.0), (1, 2, 7.0), (2, 2, 8.0)}
+    assert {tuple(r) for r in select.read_columns(m, picked).collect()} == places(a[:, [4, 0, 4]])
     with pytest.raises(MatrixError, match="repeats"):
         select.subset_columns(m, picked)
     with pytest.raises(MatrixError, match="out of range"):
         select.subset_columns(m, select.selection(spark, [0, 77], "col_id"))
     sub = select.subset_rows(m, select.selection(spark, [4, 0], "row_id"))
-    assert {tuple(r) for r in sub.entries.collect()} == {(0, 0, 2.0), (0, 1, 5.0), (1, 0, 1.0), (1, 3, 6.0)}
-    assert [r.row_name for r in sub.features.orderBy("row_id").collect()] == ["r4", "r0"]
-    d = select.dense_columns(m, select.selection(spark, [2], "col_id")).collect()
-    assert len(d) == 5 and all(r.val == 0 for r in d)
+    assert {tuple(r) for r in sub.entries.collect()} == places(a[[4, 0]])
+    assert [r.row_name for r in sub.features.orderBy("row_id").collect()] == ["feat4", "feat0"]
+    d = select.dense_columns(m, select.selection(spark, [NO_COL], "col_id")).collect()
+    assert len(d) == ROWS and all(r.val == 0 for r in d)
 
 
 def test_reorder_keeps_missing_rows_empty(spark):
-    order = spark.createDataFrame([(0, "r4"), (1, "nope"), (2, "r0")], "pos long, row_name string")
+    order = spark.createDataFrame([(0, "feat4"), (1, "nope"), (2, "feat0")], "pos long, row_name string")
     out = select.reorder_rows(matrix(spark), order)
-    assert {tuple(r) for r in out.entries.collect()} == {(0, 0, 2.0), (0, 1, 5.0), (2, 0, 1.0), (2, 3, 6.0)} and out.features.count() == 3
+    want = np.zeros((3, COLS))
+    want[[0, 2]] = dense()[[4, 0]]
+    assert {tuple(r) for r in out.entries.collect()} == places(want) and out.features.count() == 3
     with pytest.raises(MatrixError):
-        select.reorder_rows(matrix(spark), spark.createDataFrame([(0, "r4"), (1, "r4")], "pos long, row_name string"))
+        select.reorder_rows(matrix(spark), spark.createDataFrame([(0, "feat4"), (1, "feat4")], "pos long, row_name string"))
 
 
 def test_unique_names_skip_taken(spark):
@@ -96,8 +123,8 @@ def test_dense_and_info(spark):
 def test_squeeze_counts_once_and_keeps_an_axis(spark):
     m = matrix(spark)
     out = qc.squeeze(m, 1, 1)
-    assert out.features.count() == 4 and out.cells.count() == 5
-    assert qc.squeeze(m, 99, 1).features.count() == 5
+    assert out.features.count() == ROWS - 1 and out.cells.count() == COLS - 1
+    assert qc.squeeze(m, 99, 1).features.count() == ROWS
 
 
 def test_upper_median_and_band(spark):
@@ -125,29 +152,31 @@ def test_trough_between_two_modes():
 
 def test_depth_scales_use_an_averaged_median(spark):
     got = {r.col_id: r.scale for r in qc.depth_scales(matrix(spark)).collect()}
-    depth = dense(SMALL, 5, 6).sum(axis=0)
+    depth = dense().sum(axis=0)
     mid = np.median(depth[depth > 0])
-    assert got[2] == 1 and got[0] == pytest.approx(depth[0] / mid)
+    assert got[NO_COL] == 1 and got[0] == pytest.approx(depth[0] / mid)
 
 
 def test_broad_rows_need_every_group(spark):
     m = matrix(spark)
-    g = spark.createDataFrame([(i, "a" if i < 3 else "b") for i in range(6)], "col_id long, grp string")
-    assert {r.row_id for r in qc.broad_rows(m, g, 0.3).collect()} == {0, 1, 2}
+    g = spark.createDataFrame([(i, "a" if i < 3 else "b") for i in range(COLS)], "col_id long, grp string")
+    a = dense() > 0
+    want = {i for i in range(ROWS) if a[i, :3].mean() > 0.3 and a[i, 3:].mean() > 0.3}
+    assert want and {r.row_id for r in qc.broad_rows(m, g, 0.3).collect()} == want
 
 
 def test_row_alignment_and_stack(spark):
     a = matrix(spark, [(0, 0, 1.0), (1, 1, 2.0)], 2, 2)
-    b = a.with_(features=spark.createDataFrame([(0, "r1"), (1, "r9")], "row_id long, row_name string"))
-    assert [r.name for r in align.aligned_rows([a, b]).orderBy("pos").collect()] == ["r0", "r1", "r9"]
-    assert [r.name for r in align.aligned_rows([a, b], "intersect").collect()] == ["r1"]
+    b = a.with_(features=spark.createDataFrame([(0, "feat1"), (1, "feat9")], "row_id long, row_name string"))
+    assert [r.name for r in align.aligned_rows([a, b]).orderBy("pos").collect()] == ["feat0", "feat1", "feat9"]
+    assert [r.name for r in align.aligned_rows([a, b], "intersect").collect()] == ["feat1"]
     side = align.stack([a, b], ["x", "y"])
-    assert {r.col_name for r in side.cells.collect()} == {"c0@x", "c1@x", "c0@y", "c1@y"}
+    assert {r.col_name for r in side.cells.collect()} == {"cell0@x", "cell1@x", "cell0@y", "cell1@y"}
     one = align.stack([a, b], ["x", "y"], columns="union")
     assert one.cells.count() == 2 and {(r.row_id, r.col_id): r.val for r in one.entries.collect()} == {(0, 0): 1.0, (1, 1): 2.0, (1, 0): 1.0, (2, 1): 2.0}
     with pytest.raises(MatrixError):
         align.merge([a, b], ["x", "y"])
-    assert {(r.row_name) for r in align.merge([a, b], ["x", "y"], True).features.collect()} == {"r1"}
+    assert {(r.row_name) for r in align.merge([a, b], ["x", "y"], True).features.collect()} == {"feat1"}
 
 
 def test_islands_keep_touching_apart(spark):
@@ -182,4 +211,4 @@ def test_batch_names_differ():
 
 def test_transposed(spark):
     t = matrix(spark).transposed()
-    assert isinstance(t, SparseMatrix) and t.features.count() == 6
+    assert isinstance(t, SparseMatrix) and t.features.count() == COLS
