@@ -187,10 +187,10 @@ def islands(loci: DataFrame) -> DataFrame:
     # Clusters of single ranges, and what reaches them from ranges before.
     own = rows.groupBy("chrom", "_part", "lo").agg(F.max("stop").alias("hi"))
     over = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = stored(own.groupBy("chrom", "_part").agg(F.max("hi").alias("far")).withColumn("far", F.max("far").over(over)), "ranges")
+    parts = own.groupBy("chrom", "_part").agg(F.max("hi").alias("far")).withColumn("far", F.max("far").over(over))
     met = own.join(parts, ["chrom", "_part"]).withColumn("begin", F.when(F.col("far").isNull() | (F.col("lo") >= F.col("far")), F.col("lo")))
     last = met.groupBy("chrom", "_part").agg(F.max("begin").alias("last")).withColumn("before", F.max("last").over(over)).drop("last")
-    named = stored(met.join(last, ["chrom", "_part"]).select("chrom", "_part", "lo", "hi", F.coalesce("begin", "before").alias("whole")), "clusters")
+    named = met.join(last, ["chrom", "_part"]).select("chrom", "_part", "lo", "hi", F.coalesce("begin", "before").alias("whole"))
     ends = named.groupBy("chrom", "whole").agg(F.max("hi").alias("_hi"))
     clusters = named.join(ends, ["chrom", "whole"]).select("chrom", "_part", "lo", F.col("whole").alias("_lo"), "_hi")
     return rows.join(clusters, ["chrom", "_part", "lo"]).select(*loci.columns, F.col("_lo").cast(kinds["start"]).alias("lo"), F.col("_hi").cast(kinds["stop"]).alias("hi"))
