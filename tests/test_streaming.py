@@ -2,7 +2,7 @@ from cellgrid.operators import project
 from cellgrid.sources.fragments import parse_lines, tile_counts
 from cellgrid.streaming import fragments as stream
 from pyspark.sql import functions as F
-from tests.test_matrix import matrix
+from tests.test_matrix import COLS, NO_COL, ROWS, matrix
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -21,8 +21,8 @@ def test_projection_is_seeded_and_weighted(spark):
     m = matrix(spark)
     a = {r.col_id: r.vec for r in project.project(m, 4).collect()}
     assert a == {r.col_id: r.vec for r in project.project(m.with_(entries=m.entries.repartition(3)), 4).collect()} or all(max(abs(x - y) for x, y in zip(a[k], v)) < 1e-12 for k, v in a.items())
-    assert a[2] == [0.0] * 4 and len(a) == 6
-    none = spark.createDataFrame([(i, 0.0) for i in range(5)], "row_id long, weight double")
+    assert a[NO_COL] == [0.0] * 4 and len(a) == COLS
+    none = spark.createDataFrame([(i, 0.0) for i in range(ROWS)], "row_id long, weight double")
     assert all(not any(r.vec) for r in project.project(m, 4, weights=none).collect())
     codes = project.sign_groups(project.project(m, 4), 4, 3)
     assert codes.agg(F.max("code")).first()[0] < 8
