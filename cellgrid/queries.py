@@ -457,11 +457,15 @@ def q_sign_codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", sign_code(F.slice("embedding", 1, 16)).alias("code"))
 
 
-@query("SELECT 'x' AS key, 'y' AS value WHERE false UNION ALL SELECT 'content', 'quantity'")
+@query("SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey IN (SELECT s_nationkey FROM supplier)")
 def q_common_meta(spark: SparkSession, d: str) -> DataFrame:
+    """What the metadata of two matrices have in common: the regions of the nations of their columns."""
     from .matrix import common_meta
 
-    return spark.createDataFrame(sorted(common_meta([orders_matrix(spark, d).meta, supply_matrix(spark, d).meta]).items()), "key string, value string")
+    nation = table(spark, d, "nation")
+    regions = lambda side, key: {r[0]: str(r[1]) for r in nation.join(table(spark, d, side), F.col("n_nationkey") == F.col(key), "left_semi").select("n_name", "n_regionkey").collect()}
+    both = common_meta([orders_matrix(spark, d).meta | regions("customer", "c_nationkey"), {"producer": "supply"} | regions("supplier", "s_nationkey")])
+    return spark.createDataFrame(sorted(both.items()), "key string, value string")
 
 
 def _molecules(spark: SparkSession, d: str) -> DataFrame:
