@@ -62,8 +62,9 @@ def group_means(m: SparseMatrix, groups: DataFrame) -> DataFrame:
 
 def labelled_groups(cells: DataFrame, label: str, cap: int | None = None, seed: int = 42) -> DataFrame:
     """``(col_id, grp)``: labels numbered in string order; up to ``cap`` columns of each, drawn by hash."""
-    ids = cells.select(label).distinct().withColumn("grp", (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
-    out = cells.join(F.broadcast(ids), label).select("col_id", "grp")
+    named = cells.select("col_id", F.col(label).alias("_label"))
+    ids = named.select("_label").distinct().withColumn("grp", (F.row_number().over(Window.orderBy("_label")) - 1).cast("long"))
+    out = named.join(F.broadcast(ids), "_label").select("col_id", "grp")
     if cap is None:
         return out
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(seed), "col_id"), "col_id"))
@@ -287,40 +288,6 @@ def batch_factors(obs: DataFrame, rounds: int = 4, prior: float = 10.0, bound: f
     return out
 
 
-def two_way_split(profiles: pd.DataFrame, floor: float = 5.0, features: int = 2000) -> tuple[np.ndarray, float, float]:
-    """Sides (0 or 1) of a node's members, its leading singular value and the noise edge ``sigma (sqrt n + sqrt p)``.
-
-    Pearson residuals of the counts (rows: members) are split at the sign of
-    the leading component.
-    """
-    y = profiles.to_numpy(dtype=float)
-    y = y[:, y.sum(axis=0) >= floor]
-    y = y[:, np.argsort(-y.sum(axis=0), kind="stable")[:features]]
-    if y.size == 0 or len(y) < 2:
-        return np.zeros(len(profiles), int), 0.0, 0.0
-    mean = np.outer(y.sum(axis=1), y.sum(axis=0)) / max(y.sum(), 1e-300)
-    r = (y - mean) / np.sqrt(np.maximum(mean, 1e-12))
-    u, s, _ = np.linalg.svd(r, full_matrices=False)
-    lead = u[:, 0] * (np.sign(u[np.abs(u[:, 0]).argmax(), 0]) or 1)
-    edge = np.sqrt(np.mean(r**2)) * (np.sqrt(r.shape[0]) + np.sqrt(r.shape[1]))
-    return (lead > 0).astype(int), float(s[0]), float(edge)
-
-
-def tree(profiles: pd.DataFrame, depth: int = 6, leaf: int = 8, margin: float = 1.1) -> list[dict]:
-    """Nodes ``(node, parent, members, value, edge, clear)`` of repeated two-way splits of samples (rows)."""
-    out: list[dict] = []
-
-    def grow(members: np.ndarray, node: int, parent: int | None, level: int) -> None:
-        side, value, edge = two_way_split(profiles.iloc[members])
-        out.append({"node": node, "parent": parent, "members": members.tolist(), "value": value, "edge": edge, "clear": value > margin * edge})
-        if level < depth and len(members) >= leaf and 0 < side.sum() < len(side):
-            for k in (0, 1):
-                grow(members[side == k], 2 * node + 1 + k, node, level + 1)
-
-    grow(np.arange(len(profiles)), 0, None, 0)
-    return out
-
-
 def visit_groups(df: DataFrame, key: str, run, schema: str) -> DataFrame:
     """A visitor over groups as pandas frames."""
     return df.groupBy(key).applyInPandas(run, schema)

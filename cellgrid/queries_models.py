@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import collapse, index, multilevel, poisson, project
+from .operators import coarsen, collapse, genes, index, multilevel, poisson, project, tree
 from .operators.multilevel import Levels
 from .operators.poisson import Refinement
+from .operators.tree import Growth
 from .plans.datasets import orders_matrix, orders_sql, table, vectors
 from .plans.storage import stored
 from .queries import query
@@ -91,3 +92,96 @@ def q_indexed_knn(spark: SparkSession, d: str) -> DataFrame:
     """The two nearest vectors of every other label for every vector, over the index."""
     v = vectors(spark, d)
     return index.searched(index.built(v), v, 2)[0].withColumn("dist", F.round("dist", 5))
+
+
+# Residuals of every place, empty ones too, of customers in their segment against the rates of segment and region.
+_DENSE = f"""{orders_sql()}, dep AS (SELECT col_id, sum(val) AS depth FROM entries GROUP BY 1),
+c AS (SELECT grp AS leaf, batch, col_id, coalesce(depth, 0) AS depth FROM cells LEFT JOIN dep USING (col_id)),
+o AS (SELECT leaf, batch, count(*) >= 8 AND sum(depth) > 0 AS own FROM c GROUP BY 1, 2),
+k AS (SELECT leaf, col_id, depth, CASE WHEN own THEN batch ELSE '' END AS bk FROM c JOIN o USING (leaf, batch)),
+n AS (SELECT leaf, count(*) AS n, sum(depth) AS whole FROM k GROUP BY 1), m AS (SELECT leaf, bk, sum(depth) AS mass FROM k GROUP BY 1, 2),
+e AS (SELECT leaf, bk, col_id, row_id, val FROM entries JOIN k USING (col_id)), y AS (SELECT leaf, bk, row_id, sum(val) AS y FROM e GROUP BY 1, 2, 3),
+t AS (SELECT leaf, row_id, sum(val) AS tot FROM e GROUP BY 1, 2 HAVING sum(val) >= 5),
+q AS (SELECT leaf, bk, row_id, CASE WHEN bk = '' THEN tot / whole ELSE y / mass END AS rate FROM m JOIN n USING (leaf) JOIN t USING (leaf) LEFT JOIN y USING (leaf, bk, row_id)),
+d AS (SELECT k.leaf, k.col_id, q.row_id, e.val, CASE WHEN e.val IS NULL THEN -sqrt(depth * rate) ELSE least(greatest((e.val - depth * rate) / sqrt(depth * rate), -sqrt(n)), sqrt(n)) END AS r FROM k JOIN q ON k.leaf = q.leaf AND k.bk = q.bk AND q.rate > 0 JOIN n ON n.leaf = k.leaf LEFT JOIN e ON e.col_id = k.col_id AND e.row_id = q.row_id),
+g AS (SELECT leaf, row_id, sum(r * r) AS square FROM d GROUP BY 1, 2)"""
+
+
+def _segments(spark: SparkSession, d: str):
+    m = orders_matrix(spark, d)
+    return m, tree.residuals(m, m.cells.select(F.col("grp").alias("leaf"), "col_id", "batch"), Growth())
+
+
+@query(f"{_DENSE} SELECT leaf, row_id, tot, round(square, 4) AS square FROM t JOIN g USING (leaf, row_id)")
+def q_node_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """Sums and squared residuals of parts in every segment."""
+    return _segments(spark, d)[1].rows.select("leaf", "row_id", "tot", F.round("square", 4).alias("square"))
+
+
+_PART = lambda y, n: f"CASE WHEN {y} > 0 THEN {y} * ln({y} / {n}) ELSE 0 END"
+
+
+@query(f"""{_DENSE}, s AS (SELECT leaf, row_id, coalesce(sum(val) FILTER (col_id % 2 = 0), 0) AS l, coalesce(sum(val) FILTER (col_id % 2 = 1), 0) AS r FROM d GROUP BY 1, 2),
+w AS (SELECT *, sum(l) OVER (PARTITION BY leaf) AS nl, sum(r) OVER (PARTITION BY leaf) AS nr FROM s), a AS (SELECT leaf, sum({_PART('l', 'nl')} + {_PART('r', 'nr')} - {_PART('(l + r)', '(nl + nr)')}) AS llr FROM w GROUP BY 1),
+b AS (SELECT leaf, col_id % 2 AS lab, count(*) AS nb FROM k GROUP BY 1, 2), h AS (SELECT leaf, row_id, col_id % 2 AS lab, sum(r) AS x FROM d GROUP BY 1, 2, 3),
+j AS (SELECT leaf, row_id, sum(x) AS x, sum(x * x / nb) AS xb FROM h JOIN b USING (leaf, lab) GROUP BY 1, 2),
+v AS (SELECT leaf, row_id, n, square - x * x / n AS total, xb - x * x / n AS between_ FROM j JOIN g USING (leaf, row_id) JOIN n USING (leaf)),
+z AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY total DESC, row_id) AS rk FROM v)
+SELECT leaf, round(llr, 3) AS llr, round(ratio, 5) AS ve_ratio FROM a JOIN (SELECT leaf, avg(between_ / total * (n - 1)) AS ratio FROM z WHERE rk <= 200 AND total > 0 GROUP BY 1) USING (leaf)""")
+def q_split_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """How much better two halves of every segment, by the parity of the customer, explain the counts than one."""
+    _, x = _segments(spark, d)
+    sides = x.cells.select("leaf", "col_id", (F.col("col_id") % 2).cast("int").alias("lab"))
+    llr = tree.likelihood_ratio(tree.side_sums(x, sides))
+    return llr.join(tree.explained(x, sides), "leaf").select("leaf", F.round("llr", 3).alias("llr"), F.round("ratio", 5).alias("ve_ratio"))
+
+
+@query()
+def q_cell_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of every customer in the tree that grows from the segments to 8 and 12 leaves."""
+    m = orders_matrix(spark, d)
+    ids = collapse.labelled_groups(m.cells, "grp")
+    return tree.grown(m, ids.join(m.cells.select("col_id", "batch"), "col_id").select("col_id", "batch", F.col("grp").alias("leaf")), [8, 12]).labels
+
+
+_SKETCH = 16
+_SIGNED = ", ".join(f"sum(CASE WHEN substr(dg, {i + 1}, 1) >= '8' THEN r ELSE -r END)" for i in range(_SKETCH))
+
+
+@query(f"""{orders_sql()}, g AS (SELECT col_id AS grp, 1.0 / count(*) OVER () AS share, count(*) OVER () AS n, md5('42:0:' || col_id) AS dg FROM cells), t AS (SELECT row_id, sum(val) AS tot FROM entries GROUP BY 1),
+d AS (SELECT t.row_id, dg, least(greatest((coalesce(val, 0) - tot * share) / sqrt(tot * share), -sqrt(n)), sqrt(n)) AS r FROM t CROSS JOIN g LEFT JOIN entries e ON e.row_id = t.row_id AND e.col_id = g.grp),
+v AS (SELECT row_id, [{_SIGNED}] AS x FROM d GROUP BY 1), u AS (SELECT row_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm FROM v)
+SELECT row_id, i AS place, round(x[i + 1] / norm, 5) + 0.0 AS x FROM u CROSS JOIN range({_SKETCH}) AS k(i)""")
+def q_feature_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of what every part's customers order beyond their even share."""
+    m = orders_matrix(spark, d)
+    v = coarsen.sketched_profiles(m.entries.withColumnRenamed("col_id", "grp"), m.cells.select(F.col("col_id").alias("grp"), F.lit(1.0).alias("size")), _SKETCH)
+    return v.select("row_id", F.posexplode("vec").alias("place", "x")).select("row_id", F.col("place").cast("long").alias("place"), (F.round("x", 5) + F.lit(0.0)).alias("x"))
+
+
+def _segment_profiles(spark: SparkSession, d: str):
+    m = orders_matrix(spark, d)
+    sums, _ = collapse.group_sums(m, m.cells.select("col_id", "grp"))
+    r = genes.residual_profiles(sums).groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("grp", "r"))), lambda x: x["r"]).alias("vec"))  # a number a segment
+    return m, r
+
+
+@query(f"""{orders_sql()}, s AS (SELECT row_id, grp, sum(val) AS v FROM entries JOIN cells USING (col_id) GROUP BY 1, 2), a AS (SELECT row_id, sum(v) AS rt FROM s GROUP BY 1), b AS (SELECT grp, sum(v) AS ct FROM s GROUP BY 1), o AS (SELECT sum(v) AS tt, count(DISTINCT grp) AS n FROM s),
+f AS (SELECT row_id, grp, least(greatest((coalesce(v, 0) - rt * ct / tt) / sqrt(rt * ct / tt), -sqrt(n)), sqrt(n)) AS r FROM a CROSS JOIN b CROSS JOIN o LEFT JOIN s USING (row_id, grp)),
+u AS (SELECT row_id, grp, r / sqrt(sum(r * r) OVER (PARTITION BY row_id)) AS r FROM f), k AS (SELECT row_id, CAST(substr(p_brand, 7) AS BIGINT) AS coarse FROM features WHERE row_id % 4 <> 0),
+c AS (SELECT coarse, grp, sum(r) AS x FROM u JOIN k USING (row_id) GROUP BY 1, 2), l AS (SELECT coarse, grp, x / sqrt(sum(x * x) OVER (PARTITION BY coarse)) AS x FROM c),
+w AS (SELECT row_id, coarse, sum(r * x) AS cos FROM u JOIN l USING (grp) WHERE row_id % 4 = 0 GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY cos DESC, coarse DESC) AS rk FROM w)
+SELECT row_id, coarse FROM z WHERE rk = 1 UNION ALL SELECT row_id, coarse FROM k WHERE row_id IN (SELECT row_id FROM a)""")
+def q_grown_features(spark: SparkSession, d: str) -> DataFrame:
+    """Brands of every part that sells; each fourth part joins the brand whose profile over segments it resembles."""
+    m, r = _segment_profiles(spark, d)
+    known = m.features.filter("row_id % 4 <> 0").select("row_id", F.substring("p_brand", 7, 9).cast("long").alias("coarse"))
+    return coarsen.grown_groups(known, r, 5)
+
+
+@query()
+def q_coarse_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Nested groups of parts by their profiles over segments; the background is what one rate explains."""
+    m, r = _segment_profiles(spark, d)
+    told = stored(genes.informative_features(m).filter("informative").select("row_id"), "informative")
+    return coarsen.coarsened_levels(m.features, r.join(told, "row_id", "left_semi"), [4, 12])

@@ -112,13 +112,6 @@ def test_dispersion_of_constant_features(spark):
     assert genes.variable_features(s, 1).first().row_id == 1
 
 
-def test_tree_splits_two_blocks():
-    rng = np.random.default_rng(0)
-    a = np.vstack([rng.poisson([40, 5, 20], (12, 3)), rng.poisson([5, 40, 20], (12, 3))])
-    side, size, edge = collapse.two_way_split(pd.DataFrame(np.repeat(a, 4, axis=1)))
-    assert size > edge and len(set(side[:12])) == 1 and side[0] != side[12]
-
-
 def test_ontology_and_sets(spark):
     text = "format: 1\n\n[Term]\nid: A\nname: a\n\n[Term]\nid: B\nis_a: A ! a\n\n[Term]\nid: C\nis_a: B\nrelationship: part_of A\n\n[Term]\nid: D\nis_obsolete: true\n"
     terms, edges = annotate.parse_obo(text)
