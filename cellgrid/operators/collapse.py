@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,12 +107,20 @@ def batch_model(obs: np.ndarray, imp: np.ndarray, by_batch: np.ndarray, n_bs: np
 
 
 def collapsed_fit(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: DataFrame, features: DataFrame, iterations: int = ITERATIONS, anchors: tuple[str, ...] = (), seen: DataFrame | None = None, private: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(row_id, grp, mu, observed, residual, imputed)`` and ``(row_id, batch, delta)`` of the batch model.
+    """The profiles and factors of ``drawn_fits`` over all groups."""
+    profiles, factors = drawn_fits(sums, imputed, by_batch, sizes, features, iterations, anchors, seen, private)
+    return profiles.drop("draw"), factors.drop("draw")
+
+
+def drawn_fits(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: DataFrame, features: DataFrame, iterations: int = ITERATIONS, anchors: tuple[str, ...] = (), seen: DataFrame | None = None, private: bool = False, draws: int = 0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """``(draw, row_id, grp, mu, observed, residual, imputed)`` and ``(draw, row_id, batch, delta)`` of the batch model.
 
     ``sums, imputed (row_id, grp, val)``, ``by_batch(row_id, batch, val)``,
     ``sizes(batch, grp, n, w)``. Features are independent, so they are dealt to
     blocks of a bounded size; the table of batches and groups goes to each. ``seen(row_id, batch)``: where a
     feature is measured; ``private``: groups without imputed mass do not count for the factors.
+    ``draws``: so many fits, each over half of the groups by a seeded hash, with the batches' sums whole; a block
+    makes all of them, so what is summed is shuffled once.
     """
     table = sizes.toPandas()
     batches, groups = sorted(table["batch"].unique()), sorted(table["grp"].unique())
@@ -121,6 +130,7 @@ def collapsed_fit(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, size
         n_bs[at_b[b], at_g[g]], w_bs[at_b[b], at_g[g]] = n, w
     frame = np.array([float(b in anchors) for b in batches]) if anchors else None
     counted = (w_bs.sum(axis=0) > 0).astype(float) if private else None
+    halves = [half(groups, seed, i) for i in range(draws)] or [np.arange(len(groups))]
     kinds = {"grp": dict(sums.dtypes)["grp"], "batch": dict(by_batch.dtypes)["batch"]}
     tagged = lambda df, what, key: df.select("row_id", F.lit(what).alias("what"), F.col(key).cast("string").alias("key"), F.col("val").cast("double").alias("val"))
     rows = tagged(sums, "obs", "grp").unionByName(tagged(imputed, "imp", "grp")).unionByName(tagged(by_batch, "batch", "batch"))
@@ -136,15 +146,33 @@ def collapsed_fit(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, size
         for what, names in (("obs", name_g), ("imp", name_g), ("batch", name_b), ("seen", name_b)):
             own = (part["what"] == what).to_numpy()
             np.add.at(planes[what], (at[own], part["key"][own].map(names).to_numpy(int)), part["val"][own])
-        fit = batch_model(planes["obs"], planes["imp"], planes["batch"], n_bs, w_bs, iterations, frame, planes["seen"] if masked else None, counted)
         long = lambda keys, names: {"row_id": np.repeat(ids, len(names)), keys: np.tile(np.array(names), len(ids))}
-        by_group = pd.DataFrame(long("grp", groups) | {k: fit[k].ravel() for k in ("mu", "observed", "residual", "imputed")})
-        return pd.concat([by_group, pd.DataFrame(long("batch", batches) | {"delta": fit["delta"].ravel()})], ignore_index=True).assign(of_group=lambda d: d["mu"].notna())
+        out = []
+        for draw, own in enumerate(halves):
+            fit = batch_model(planes["obs"][:, own], planes["imp"][:, own], planes["batch"], n_bs[:, own], w_bs[:, own], iterations, frame, planes["seen"] if masked else None, None if counted is None else counted[own])
+            by_group = pd.DataFrame(long("grp", [groups[i] for i in own]) | {k: fit[k].ravel() for k in ("mu", "observed", "residual", "imputed")})
+            out += [by_group.assign(draw=draw), pd.DataFrame(long("batch", batches) | {"delta": fit["delta"].ravel()}).assign(draw=draw)]
+        return pd.concat(out, ignore_index=True).assign(of_group=lambda d: d["mu"].notna())
 
     block = F.pmod(F.xxhash64("row_id"), F.greatest(F.lit(1), F.lit(-(-features.count() // BLOCK_FEATURES))))
-    schema = f"row_id long, grp {kinds['grp']}, mu double, observed double, residual double, imputed double, batch {kinds['batch']}, delta double, of_group boolean"
+    schema = f"draw int, row_id long, grp {kinds['grp']}, mu double, observed double, residual double, imputed double, batch {kinds['batch']}, delta double, of_group boolean"
     fit = stored(rows.groupBy(block.alias("block")).applyInPandas(run, schema), "fit")
-    return fit.filter("of_group").select("row_id", "grp", "mu", "observed", "residual", "imputed"), fit.filter("NOT of_group").select("row_id", "batch", "delta")
+    return fit.filter("of_group").select("draw", "row_id", "grp", "mu", "observed", "residual", "imputed"), fit.filter("NOT of_group").select("draw", "row_id", "batch", "delta")
+
+
+def half(groups: list, seed: int, draw: int) -> np.ndarray:
+    """Places of half of the groups, by a hash of seed, draw and group."""
+    rank = sorted(range(len(groups)), key=lambda i: (zlib.crc32(f"{seed}:{draw}:{groups[i]}".encode()), i))
+    return np.array(sorted(rank[: max(len(groups) // 2, 1)]), dtype=int)
+
+
+def resampled(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: DataFrame, features: DataFrame, draws: int = 10, iterations: int = ITERATIONS, seed: int = 42) -> DataFrame:
+    """``(row_id, grp, n, mu, spread)``: number of draws that held a group, mean and deviation of its rate over them.
+
+    A group that no draw held has no row; a group of one draw has the spread 0.
+    """
+    fits, _ = drawn_fits(sums, imputed, by_batch, sizes, features, iterations, draws=draws, seed=seed)
+    return fits.groupBy("row_id", "grp").agg(F.count("*").alias("n"), F.avg("mu").alias("mu"), F.stddev_pop("mu").alias("spread"))
 
 
 def collapsed(sums: DataFrame, imputed: DataFrame, by_batch: DataFrame, sizes: DataFrame, features: DataFrame, iterations: int = ITERATIONS) -> DataFrame:

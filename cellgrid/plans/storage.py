@@ -35,8 +35,32 @@ def run_dir(spark: SparkSession) -> str:
 
 def discard(spark: SparkSession) -> None:
     """Delete all that this application has stored; results that still read from it must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    removed(spark, run_dir(spark))
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder; nothing happens where there is none."""
+    at, fs = _file(spark, path)
+    fs.delete(at, True)
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    at, fs = _file(spark, path)
+    return fs.exists(at)
+
+
+def published(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a finished folder to its place, in the same file system."""
+    (at, fs), (to, _) = _file(spark, staged), _file(spark, path)
+    if to.getParent() is not None:
+        fs.mkdirs(to.getParent())
+    if not fs.rename(at, to):
+        raise OSError(f"{staged} cannot be moved to {path}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

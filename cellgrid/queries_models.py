@@ -185,3 +185,13 @@ def q_coarse_levels(spark: SparkSession, d: str) -> DataFrame:
     m, r = _segment_profiles(spark, d)
     told = stored(genes.informative_features(m).filter("informative").select("row_id"), "informative")
     return coarsen.coarsened_levels(m.features, r.join(told, "row_id", "left_semi"), [4, 12])
+
+
+@query()
+def q_resampled_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Spread of the rates of parts in quarters of the customers of each segment, over ten halves of those groups."""
+    m = orders_matrix(spark, d)
+    of = m.cells.select("col_id", "batch", F.concat_ws(":", "grp", F.col("col_id") % 4).alias("grp"))
+    sums, _ = collapse.group_sums(m, of)
+    by_batch, n = collapse.batch_sums(m, of)
+    return collapse.resampled(sums, sums.limit(0), by_batch, n.withColumn("w", F.lit(0.0)), m.features, 10, 20)
