@@ -114,6 +114,18 @@ def test_every_rule_fires_in_every_spelling(spark):
         assert any((d.start, d.end) == (0, len(t.split()) - 1) for d in got[i]), (rules[i], t)
 
 
+TITLES = [
+    ("Eclipse Public License - v 2.0", "epl-2.0"), ("Apache License, v. 2.0", "apache-2.0"), ("GNU GPL v. 3", "gpl-3.0"), ("Artistic License v 2.0", "artistic-2.0"),
+    ("European Union Public Licence v. 1.2", "eupl-1.2"), ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa-4.0"), ("creativecommons.org/licenses/by/2.5", "cc-by-2.5"),
+    ("EPL-2.0", "epl-2.0"), ("SSPL", "sspl-1.0"), ("MIT licensed", "mit"), ("Dual licensed MIT/GPL", "gpl-any,mit"), ("Mozilla Public License, version 2.0", "mpl-2.0"), ("GPL v. 2 or later", "gpl-2.0-or-later"),
+]
+
+
+def test_titles_keep_their_version(spark):
+    got = {r.doc_id: sorted({d.label for d in r.detections}) for r in licenses.scanned(docs(spark, list(enumerate(t for t, _ in TITLES)))).collect()}
+    assert [",".join(got[i]) for i in range(len(TITLES))] == [w for _, w in TITLES]
+
+
 def test_license_sentences(spark):
     sentences = {
         "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution Share Alike"],
