@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import coarsen, collapse, genes, index, multilevel, poisson, project, tree
+from .operators import coarsen, collapse, genes, index, multilevel, poisson, project, refine, tree
 from .operators.multilevel import Levels
 from .operators.poisson import Refinement
 from .operators.tree import Growth
@@ -195,3 +195,36 @@ def q_resampled_rates(spark: SparkSession, d: str) -> DataFrame:
     sums, _ = collapse.group_sums(m, of)
     by_batch, n = collapse.batch_sums(m, of)
     return collapse.resampled(sums, sums.limit(0), by_batch, n.withColumn("w", F.lit(0.0)), m.features, 10, 20)
+
+
+def _fit_round(i: int) -> str:
+    """SQL of one round: rates of groups given the factors of batches, then the factors."""
+    return f"""u{i} AS (SELECT grp, row_id, (coalesce(yp, 0) + rate) / (sum(n * omega) + 1) AS mu FROM f JOIN w{i - 1} USING (row_id) JOIN np USING (batch) LEFT JOIN pg USING (grp, row_id) GROUP BY grp, row_id, yp, rate),
+w{i} AS (SELECT batch, row_id, (coalesce(yi, 0) + 1) / (sum(n * mu) + 1) AS omega FROM u{i} JOIN np USING (grp) LEFT JOIN ig USING (batch, row_id) GROUP BY batch, row_id, yi)"""
+
+
+@query(f"""{orders_sql()}, k AS (SELECT col_id, batch, col_id % 8 AS grp FROM cells), y AS (SELECT row_id, col_id, val, batch, grp FROM entries JOIN k USING (col_id) WHERE val > 0),
+np AS (SELECT grp, batch, sum(val) AS n FROM y GROUP BY 1, 2), pg AS (SELECT grp, row_id, sum(val) AS yp FROM y GROUP BY 1, 2), ig AS (SELECT batch, row_id, sum(val) AS yi FROM y GROUP BY 1, 2),
+f AS (SELECT row_id, sum(val) / (SELECT sum(val) FROM y) AS rate FROM y GROUP BY 1), w0 AS (SELECT batch, row_id, 1.0 AS omega FROM f CROSS JOIN (SELECT DISTINCT batch FROM k)),
+{_fit_round(1)}, {_fit_round(2)},
+a AS (SELECT grp, batch, sum(mu * omega) AS a FROM u2 JOIN w2 USING (row_id) GROUP BY 1, 2), o AS (SELECT grp AS was, xor(grp, b) AS grp FROM (SELECT DISTINCT grp FROM k) CROSS JOIN (VALUES (1), (2), (4)) AS t(b)),
+s AS (SELECT col_id, was, o.grp, batch, sum(val * (ln(t.mu) - ln(h.mu))) AS fit, sum(val) AS depth FROM y JOIN o ON o.was = y.grp JOIN u2 t ON t.grp = o.grp AND t.row_id = y.row_id JOIN u2 h ON h.grp = o.was AND h.row_id = y.row_id GROUP BY 1, 2, 3, 4)
+SELECT col_id, was, s.grp, round(fit - depth * (t.a - h.a), 3) + 0.0 AS gain FROM s JOIN a t ON t.grp = s.grp AND t.batch = s.batch JOIN a h ON h.grp = s.was AND h.batch = s.batch""")
+def q_mixed_gains(spark: SparkSession, d: str) -> DataFrame:
+    """What every customer would gain in the groups one bit away, with rates of groups and factors of regions after two rounds."""
+    m = orders_matrix(spark, d)
+    y = stored(m.entries.filter("val > 0").withColumn("val", F.col("val").cast("double")), "counts")
+    depth = y.groupBy("col_id").agg(F.sum("val").alias("depth"))
+    code = F.col("col_id") % 8
+    labels = stored(m.cells.select("col_id", "batch", code.alias("code"), code.alias("grp")).join(depth, "col_id", "left").fillna(0.0, ["depth"]), "labels")
+    out = refine.gains(y, labels, refine.candidates(labels, 3), refine.MixedRefinement(rounds=2, tolerance=0.0))
+    return out.select("col_id", "was", F.inline("options")).select("col_id", "was", "grp", (F.round("gain", 3) + F.lit(0.0)).alias("gain"))
+
+
+@query()
+def q_refined_mixed_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-code groups of three regions each at least, refined by what the customers order."""
+    m = orders_matrix(spark, d)
+    of = m.cells.select("col_id", "batch")
+    mixed = project.mixed_groups(project.adjusted(m, 8, of), 8, of, bits=5, min_batches=3)
+    return refine.refined_mixed(m, mixed, 5, 3)
