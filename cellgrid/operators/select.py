@@ -166,14 +166,32 @@ def scaled(m: SparseMatrix) -> DataFrame:
     return m.entries.join(m.cells.select("col_id", "scale"), "col_id").select("row_id", "col_id", (F.col("val") / F.col("scale")).alias("val"))
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], count: Column | None = None) -> DataFrame:
+    """``df`` with ``_n``: the sum of ``count`` (1 a row) over the rows of its keys up to and with its own, in order.
+
+    Ranges of keys and order are summed on their own, so a key may be in any number of tasks. What comes before
+    a range is told for the keys that go on over its border, at most one a border.
+    """
+    one = F.lit(1) if count is None else count
+    # Stored, since ranges must be the same wherever they are read.
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    total = ranged.groupBy("_part", *keys).agg(F.sum(one).alias("_before"))
+    upto = F.sum("_before").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_before")
+    before = total.withColumn("_before", upto).filter("_before > 0")
+    inside = F.sum(one).over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_n", inside).join(F.broadcast(before), ["_part", *keys], "left").withColumn("_n", F.col("_n") + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
+
+
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """``df`` with later equal names as ``x-1, x-2, ...``, skipping names that are taken."""
-    later = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    """``df`` with later equal names as ``x-1, x-2, ...``, skipping names that are taken; a null name stays null."""
+    rows = df.filter(F.col(name).isNotNull()).select(F.col(name).alias("_base"), F.col(order).alias("_order"), F.struct(*df.columns).alias("_row"))
+    ranked = running(rows, ["_base"], ["_order"]).withColumn("_at", F.col("_n") - 1)
     # Of the suffixes of a name that are taken, how many free ones lie below each.
     suffix = df.select(F.regexp_extract(name, "^(.*)-[1-9][0-9]*$", 1).alias("_base"), F.regexp_extract(name, "^.*-([1-9][0-9]{0,17})$", 1).try_cast("long").alias("_t")).filter("_t is not null").distinct()
-    below = suffix.select("_base", (F.col("_t") - F.row_number().over(Window.partitionBy("_base").orderBy("_t"))).alias("_free"))
-    taken = below.groupBy("_base").agg(F.collect_list("_free").alias("_below"))
-    out = df.withColumn("_k", later).join(taken, F.col(name) == F.col("_base"), "left")
+    taken = running(suffix, ["_base"], ["_t"]).select("_base", (F.col("_t") - F.col("_n")).alias("_at"), F.lit(1).alias("_taken"))
     # The k-th free suffix lies above the taken ones with fewer free ones below.
-    moved = F.col("_k") + F.size(F.filter(F.coalesce("_below", F.expr("cast(array() as array<bigint>)")), lambda x: x < F.col("_k")))
-    return out.withColumn(name, F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), moved))).drop("_k", "_base", "_below")
+    both = ranked.filter("_at > 0").select("_base", "_at", F.lit(0).alias("_taken"), "_row").unionByName(taken, allowMissingColumns=True)
+    found = running(both, ["_base"], ["_at", "_taken"], F.col("_taken")).filter("_taken = 0")
+    later = found.select("_row.*", F.concat("_base", F.lit("-"), F.col("_at") + F.col("_n")).alias("_new"))
+    later = later.select(*[F.col("_new").alias(c) if c == name else F.col(c) for c in df.columns])
+    return ranked.filter("_at = 0").select("_row.*").unionByName(later).unionByName(df.filter(F.col(name).isNull()))

@@ -7,18 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.names import id_name, spelled_locus, type_kept
 from ..matrix import MatrixError, SparseMatrix, from_triplets
-from ..operators.select import unique_names
+from ..operators.select import running, unique_names
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(pos, value)`` of the lines of a side table, in file order; one file, at most a line for each row or column."""
-    import gzip
-    import io
-
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    text = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else bytes(raw)
-    lines = [(i, x.rstrip("\r\n")) for i, x in enumerate(io.StringIO(text.decode()))]
-    return spark.createDataFrame(lines, "pos long, value string")
+    """``(pos, value)`` of the lines of one side table, in file order; compressed ones are known by their suffix."""
+    at = [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.rtrim("value", F.lit("\r")).alias("value"), *at)
+    return running(lines, [], ["_block", "_line"]).select((F.col("_n") - 1).alias("pos"), "value")
 
 
 def joined_words(value, most: int, sep: str):

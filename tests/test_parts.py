@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellgrid.operators import align, annotate, graph, qc, select, stats
+from cellgrid.sources import mtx
 
 
 def plain_unique(names):
@@ -28,6 +30,57 @@ def test_unique_names_equal_a_loop(spark):
         assert [r.n for r in select.unique_names(df, "n", "i").orderBy("i").collect()] == plain_unique(names)
 
 
+@pytest.fixture()
+def ranges(spark):
+    """Small shuffles keep their partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_unique_names_over_many_ranges_equal_a_loop(spark, ranges):
+    test_unique_names_equal_a_loop(spark)
+
+
+def test_a_name_of_a_third_of_the_rows_is_numbered_in_many_tasks(spark, ranges):
+    n = 200_000
+    name = F.when(F.col("i") % 3 == 0, "hot").when(F.col("i") % 30 == 1, F.concat(F.lit("hot-"), F.col("i"))).otherwise(F.concat(F.lit("n"), F.col("i")))
+    df = spark.range(n).withColumnRenamed("id", "i").withColumn("n", name)
+    names = ["hot" if i % 3 == 0 else f"hot-{i}" if i % 30 == 1 else f"n{i}" for i in range(n)]
+    got = {r.i: r.n for r in select.unique_names(df, "n", "i").collect()}
+    assert [got[i] for i in range(n)] == plain_unique(names)
+    ranged = select.running(df, ["n"], ["i"])
+    whole = ranged.filter("n = 'hot'").agg(F.max("_n"), F.countDistinct("_n")).first()
+    assert tuple(whole) == (66_667, 66_667)
+    sizes = [r["count"] for r in df.repartitionByRange("n", "i").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 0.4 * n  # as `running` deals them
+
+
+def test_names_with_nulls_and_other_columns(spark):
+    df = spark.createDataFrame([(0, "a", 1.0), (1, None, 2.0), (2, "a", 3.0), (3, None, 4.0), (4, "", 5.0), (5, "", 6.0)], "i long, n string, v double")
+    assert [tuple(r) for r in select.unique_names(df, "n", "i").orderBy("i").collect()] == [(0, "a", 1.0), (1, None, 2.0), (2, "a-1", 3.0), (3, None, 4.0), (4, "", 5.0), (5, "-1", 6.0)]
+    assert select.unique_names(df.limit(0), "n", "i").collect() == []
+
+
+def test_lines_are_numbered_across_splits(spark, ranges, tmp_path):
+    import gzip
+
+    lines = [f"line {i}\t{'x' * (i % 50)}" if i % 17 else "" for i in range(5000)]
+    (tmp_path / "plain.tsv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "dos.tsv").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "packed.tsv.gz").write_bytes(gzip.compress(("\n".join(lines) + "\n").encode()))
+    (tmp_path / "empty.tsv").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for name in ("plain.tsv", "dos.tsv", "packed.tsv.gz"):
+            assert {r.pos: r.value for r in mtx.numbered_lines(spark, str(tmp_path / name)).collect()} == dict(enumerate(lines)), name
+        assert mtx.numbered_lines(spark, str(tmp_path / "empty.tsv")).count() == 0
+        assert spark.read.text(str(tmp_path / "plain.tsv")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_components_and_reachability(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(0, k) for k in range(100, 180)]
