@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .matrix import MatrixError, SparseMatrix, info
 from .operators import align, qc, sample, select, stats
-from .sources import fragments, mtx, store, tables
+from .sources import fragments, mtx, store, tables, zarr_store
 
 
 def from_mtx(spark: SparkSession, path: str, out: str, features: str | None = None, barcodes: str | None = None, select_type: str = "", remove_type: str = "", min_row: int = 1, min_col: int = 1) -> None:
@@ -18,6 +18,19 @@ def from_fragments(spark: SparkSession, path: str, out: str, tile: int = 500, we
     store.write(fragments.tile_matrix(fragments.read_fragments(spark, path), tile, weighted=weighted), out, (path,))
 
 
+def from_zarr(spark: SparkSession, path: str, out: str) -> None:
+    store.write(zarr_store.read_zarr(spark, path), out, (path,))
+
+
+def from_molecules(spark: SparkSession, molecules: str, called: str, features: str, out: str, reads: bool = False) -> None:
+    """Molecules, called cells and ``features(feature, row_name)`` as Parquet; columns in order of barcode and group, all features in order of number."""
+    counts = tables.molecule_counts(spark.read.parquet(molecules), spark.read.parquet(called), reads=reads)
+    cells = select.running(tables.molecule_cells(spark.read.parquet(called)), [], ["barcode", "gem"]).withColumn("col_id", F.col("_n") - 1)
+    rows = select.running(spark.read.parquet(features).select("feature", "row_name"), [], ["feature"]).withColumn("row_id", F.col("_n") - 1)
+    e = counts.join(cells, ["barcode", "gem"]).join(rows, "feature").select("row_id", "col_id", "val")
+    store.write(SparseMatrix(e, rows.select("row_id", "row_name"), cells.select("col_id", "col_name"), {"producer": "molecules"}), out, (molecules, called, features))
+
+
 def to_mtx(spark: SparkSession, path: str, out: str, compress: bool = True) -> None:
     mtx.write_mex(store.open_any(spark, path), out, compress)
 
@@ -60,16 +73,21 @@ def take_rows(spark: SparkSession, path: str, spec: str) -> DataFrame:
     return m.cells.select("col_id", F.col("col_name").alias("column_name")).join(wide, "col_id").orderBy("col_id").drop("col_id")
 
 
-def subset(spark: SparkSession, path: str, out: str, columns: str | None = None, rows: str | None = None, column_pattern: str | None = None, row_pattern: str | None = None) -> None:
-    """Columns and rows by index list or by pattern; what both name is kept."""
+def subset(spark: SparkSession, path: str, out: str, columns: str | None = None, rows: str | None = None, column_pattern: str | None = None, row_pattern: str | None = None, column_file: str | None = None, row_file: str | None = None) -> None:
+    """Columns and rows by index list, by pattern or by a file with a name a line; what both name is kept.
+
+    Names and patterns keep the order of the matrix; names that it lacks are passed over.
+    """
     m = store.open_any(spark, path)
-    for spec, pattern, axis, key, name, cut in ((columns, column_pattern, m.cells, "col_id", "col_name", select.subset_columns), (rows, row_pattern, m.features, "row_id", "row_name", select.subset_rows)):
+    for spec, pattern, file, axis, key, name, cut in ((columns, column_pattern, column_file, m.cells, "col_id", "col_name", select.subset_columns), (rows, row_pattern, row_file, m.features, "row_id", "row_name", select.subset_rows)):
         if spec:
             m = cut(m, select.selection(spark, select.parse_indices(spec, axis.count()), key))
-        elif pattern:
-            hit = axis.filter(select.name_matches(F.col(name), pattern))
+        elif pattern or file:
+            hit = axis.filter(select.name_matches(F.col(name), pattern)) if pattern else axis
+            if file:
+                hit = hit.join(spark.read.text(file).select(F.trim("value").alias(name)), name, "left_semi")
             if hit.isEmpty():
-                raise MatrixError(f"{pattern!r} matches nothing")
+                raise MatrixError(f"{pattern or file!r} matches nothing")
             m = cut(m, hit.select(key).join(select.dense_ids(hit, key), key), check=False)
     store.write(m, out, (path,))
 
@@ -106,6 +124,28 @@ def merge(spark: SparkSession, paths: list[str], out: str, common_rows: bool = F
     store.write(align.merge([store.open_any(spark, p) for p in paths], align.batch_names(paths), common_rows), out, tuple(paths))
 
 
+def merge_mtx(spark: SparkSession, folders: list[str], out: str, files: tuple[str, str, str] = ("matrix.mtx.gz", "features.tsv.gz", "barcodes.tsv.gz"), squeeze: bool = False) -> None:
+    """The MatrixMarket sets of the folders and their subfolders on their common rows, in order of name; of a name that a set repeats the first row counts."""
+    sets = mtx.found_sets(spark, folders, files)
+    if not sets:
+        raise MatrixError("no folder holds a matrix with its features and barcodes")
+    m = align.merge_sorted([mtx.read_mtx(spark, *s[1:], repeated="first") for s in sets], align.batch_names([s[0] for s in sets]))
+    if m.features.isEmpty():
+        raise MatrixError("the sets share no row")
+    store.write(qc.squeeze(m) if squeeze else m, out, tuple(folders))
+
+
+def align_data(spark: SparkSession, grid: list[list[str | None]], out: str) -> list[str]:
+    """Stores by type (outer list) and group: common rows of a type, common cells of a group; ``out/type=<t>/group=<g>`` of what is left."""
+    paths = []
+    for t, row in enumerate(align.align([[p and store.open_any(spark, p) for p in row] for row in grid])):
+        for g, m in enumerate(row):
+            if m:
+                paths.append(f"{out}/type={t}/group={g}")
+                store.write(m, paths[-1], tuple(p for r in grid for p in r if p))
+    return paths
+
+
 def statistics(spark: SparkSession, path: str, axis: str = "column", rows: str | None = None, groups: str | None = None) -> DataFrame:
     """``(name, nnz, tot, mu, sig)``, with ``grp`` first where groups of columns are given."""
     m: SparseMatrix = store.read(spark, path, axis)

@@ -54,6 +54,14 @@ def present(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Paths directly in a folder, by name; none where it is no folder."""
+    at, fs = _file(spark, path)
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return []
+    return sorted(f.getPath().toString() for f in fs.listStatus(at))
+
+
 def published(spark: SparkSession, staged: str, path: str) -> None:
     """Move a finished folder to its place, in the same file system."""
     (at, fs), (to, _) = _file(spark, staged), _file(spark, path)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import id_name, spelled_locus, type_kept
 from ..matrix import MatrixError, SparseMatrix, from_triplets
-from ..operators.select import running, unique_names
+from ..operators.select import keep_rows, running, unique_names
+from ..plans.storage import listed, stored
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -17,17 +18,49 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return running(lines, [], ["_block", "_line"]).select((F.col("_n") - 1).alias("pos"), "value")
 
 
+def names_of(spark: SparkSession, path: str, n: int, what: str) -> DataFrame:
+    """The ``n`` numbered lines of a side table that the header asks for; blank lines after the last name are left out, any other number is refused."""
+    lines = numbered_lines(spark, path)
+    blank = F.trim("value") == ""
+    found = lines.agg(F.count("*").alias("n"), F.count_if(blank & (F.col("pos") < n)).alias("empty"), F.count_if(~blank & (F.col("pos") >= n)).alias("more")).first()
+    if found.n < n or found.more or (found.n > n and found.empty):
+        raise MatrixError(f"{path} has {found.n} lines for {n} {what}")
+    return lines.filter(F.col("pos") < n)
+
+
+def _named(paths: list[str], ending: str) -> str | None:
+    exact = [p for p in paths if p.rsplit("/", 1)[1] == ending]
+    fits = exact or [p for p in paths if p.endswith(ending)]
+    if len(fits) > 1:
+        raise MatrixError(f"{fits[0]} and {fits[1]} both end with {ending}")
+    return fits[0] if fits else None
+
+
+def found_sets(spark: SparkSession, folders: list[str], files: tuple[str, str, str] = ("matrix.mtx.gz", "features.tsv.gz", "barcodes.tsv.gz")) -> list[tuple[str, str, str, str]]:
+    """``(folder, matrix, features, barcodes)`` of the folders and their subfolders, by name, that hold all three.
+
+    A file is called as asked or ends so; where several end so and none is called so the set is refused.
+    """
+    out = []
+    for folder in folders:
+        inside = listed(spark, folder)
+        for place, paths in [(folder, inside), *((p, listed(spark, p)) for p in inside)]:
+            if all(any(p.endswith(f) for p in paths) for f in files):
+                out.append((place, *(_named(paths, f) for f in files)))
+    return out
+
+
 def joined_words(value, most: int, sep: str):
     """The first words of a line joined by a separator."""
     return F.concat_ws(sep, F.slice(F.split(F.trim(value), r"\s+"), 1, most))
 
 
-def read_mtx(spark: SparkSession, path: str, features: str | None = None, barcodes: str | None = None, select: str = "", remove: str = "", check: bool = True) -> SparseMatrix:
+def read_mtx(spark: SparkSession, path: str, features: str | None = None, barcodes: str | None = None, select: str = "", remove: str = "", check: bool = True, repeated: str = "numbered") -> SparseMatrix:
     """A matrix from a coordinate file with optional side tables.
 
-    Features are ``id, name, type`` (or one name), made unique; without a table
-    rows and columns are numbered. Types may be selected or removed by words.
-    A place given twice or out of range is refused.
+    Features are ``id, name, type`` (or one name), made unique, or with ``repeated="first"``
+    only the first of a name stays; without a table rows and columns are numbered. Types may be selected
+    or removed by words. A place given twice or out of range is refused, and so is a table of another length.
     """
     # The shape is the first line that is no comment, found by its place in one pass that counts the lines too.
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
@@ -41,12 +74,14 @@ def read_mtx(spark: SparkSession, path: str, features: str | None = None, barcod
     entries = body.select((F.get("n", F.lit(0)).cast("long") - 1).alias("row_id"), (F.get("n", F.lit(1)).cast("long") - 1).alias("col_id"), F.get("n", F.lit(2)).cast("double").alias("val"))
     if features:
         p = F.split("value", "\t")
-        table = numbered_lines(spark, features).withColumn("p", p).select(F.col("pos").alias("row_id"), spelled_locus(F.when(F.size("p") > 1, id_name(F.get("p", F.lit(0)), F.get("p", F.lit(1)))).otherwise(F.get("p", F.lit(0)))).alias("row_name"), F.coalesce(F.get("p", F.lit(2)), F.lit("")).alias("feature_type"))
-        table = unique_names(table, "row_name", "row_id")
+        table = names_of(spark, features, shape[0], "rows").withColumn("p", p).select(F.col("pos").alias("row_id"), spelled_locus(F.when(F.size("p") > 1, id_name(F.get("p", F.lit(0)), F.get("p", F.lit(1)))).otherwise(F.get("p", F.lit(0)))).alias("row_name"), F.coalesce(F.get("p", F.lit(2)), F.lit("")).alias("feature_type"))
+        table = unique_names(table, "row_name", "row_id") if repeated == "numbered" else stored(table, "rows")
     else:
         table = spark.range(shape[0]).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("row_name"), F.lit("").alias("feature_type"))
-    cells = unique_names(numbered_lines(spark, barcodes).select(F.col("pos").alias("col_id"), F.trim("value").alias("col_name")), "col_name", "col_id") if barcodes else spark.range(shape[1]).select(F.col("id").alias("col_id"), F.col("id").cast("string").alias("col_name"))
+    cells = unique_names(names_of(spark, barcodes, shape[1], "columns").select(F.col("pos").alias("col_id"), F.trim("value").alias("col_name")), "col_name", "col_id") if barcodes else spark.range(shape[1]).select(F.col("id").alias("col_id"), F.col("id").cast("string").alias("col_name"))
     m = from_triplets(entries, table, cells, {"producer": "mtx"}, check)
+    if features and repeated == "first":
+        m = keep_rows(m, m.features.groupBy("row_name").agg(F.min("row_id").alias("row_id")))
     if select or remove:
         kept = m.features.filter(type_kept(F.col("feature_type"), select, remove))
         m = m.with_(features=kept, entries=m.entries.join(kept.select("row_id"), "row_id", "left_semi"))

@@ -50,6 +50,58 @@ def test_writing_commands(spark, path, tmp_path):
     assert out["cells"] == COLS and out["near_empty"] == few and store.read(spark, str(tmp_path / "q")).cells.count() == out["emitted"]
 
 
+def test_sets_of_folders_are_merged(spark, tmp_path):
+    def put(folder, prefix, rows, cols, entries, tail=""):
+        folder.mkdir(parents=True)
+        (folder / f"{prefix}matrix.mtx").write_text("%%MatrixMarket matrix coordinate real general\n" + f"{len(rows)} {len(cols)} {len(entries)}\n" + "".join(f"{r} {c} {v}\n" for r, c, v in entries))
+        (folder / f"{prefix}features.tsv").write_text("\n".join(rows) + "\n" + tail)
+        (folder / f"{prefix}barcodes.tsv").write_text("\n".join(cols) + "\n")
+
+    files = ("matrix.mtx", "features.tsv", "barcodes.tsv")
+    put(tmp_path / "in" / "one", "", ["g2", "g1", "g2", "g9"], ["x", "y"], [(1, 1, 5), (2, 2, 7), (3, 1, 100), (4, 1, 1)])
+    put(tmp_path / "in" / "two", "GSM1_", ["g1", "g2"], ["x"], [(1, 1, 3), (2, 1, 4)], tail="\n\n")
+    (tmp_path / "in" / "none").mkdir()
+    (tmp_path / "in" / "a file").write_text("")
+    commands.merge_mtx(spark, [str(tmp_path / "in")], str(tmp_path / "out"), files)
+    m = store.read(spark, str(tmp_path / "out"))
+    assert [r.row_name for r in m.features.orderBy("row_id").collect()] == ["g1", "g2"]
+    names = {r.col_id: r.col_name for r in m.cells.collect()}
+    assert {(r.row_id, names[r.col_id], r.val) for r in m.entries.collect()} == {(1, "x@one", 5.0), (0, "y@one", 7.0), (0, "x@two", 3.0), (1, "x@two", 4.0)}
+    put(tmp_path / "other", "", ["h"], ["x"], [(1, 1, 1)])
+    for folders in (["none"], ["in", "other"]):
+        with pytest.raises(MatrixError):
+            commands.merge_mtx(spark, [str(tmp_path / f) if f != "none" else str(tmp_path / "in" / f) for f in folders], str(tmp_path / "no"), files)
+    (tmp_path / "in" / "two" / "GSM2_matrix.mtx").write_text("")
+    with pytest.raises(MatrixError, match="both end"):
+        commands.merge_mtx(spark, [str(tmp_path / "in")], str(tmp_path / "no"), files)
+    put(tmp_path / "long", "", ["g1", "g2"], ["x"], [(1, 1, 3)], tail="\ng3\n")
+    with pytest.raises(MatrixError, match="lines for"):
+        commands.merge_mtx(spark, [str(tmp_path / "long")], str(tmp_path / "no"), files)
+
+
+def test_molecules_name_files_and_alignment(spark, path, tmp_path):
+    mol = [(1, "AC", 1, 3, 1, True), (1, "AC", 1, 2, 1, True), (0, "AA", 2, 1, 1, True), (0, "AA", 2, 1, 0, True), (1, "GG", 1, 9, 1, True)]
+    spark.createDataFrame(mol, "feature long, barcode string, gem int, reads long, umi_type int, pass_filter boolean").write.parquet(str(tmp_path / "mol"))
+    spark.createDataFrame([("AC", 1), ("AA", 2), ("AA", 1)], "barcode string, gem int").write.parquet(str(tmp_path / "called"))
+    spark.createDataFrame([(1, "g1"), (0, "g0"), (2, "g2")], "feature long, row_name string").write.parquet(str(tmp_path / "feat"))
+    for reads, n in ((False, 2.0), (True, 5.0)):
+        commands.from_molecules(spark, str(tmp_path / "mol"), str(tmp_path / "called"), str(tmp_path / "feat"), str(tmp_path / f"m{reads}"), reads)
+        m = store.read(spark, str(tmp_path / f"m{reads}"))
+        assert [r.col_name for r in m.cells.orderBy("col_id").collect()] == ["AA-1", "AA-2", "AC-1"] and m.features.count() == 3
+        assert set(map(tuple, m.entries.collect())) == {(1, 2, n), (0, 1, 1.0)}
+    (tmp_path / "cells.txt").write_text("cell4\ncell1\nunknown\n")
+    commands.subset(spark, path, str(tmp_path / "s"), column_file=str(tmp_path / "cells.txt"))
+    m = store.read(spark, str(tmp_path / "s"))
+    assert [r.col_name for r in m.cells.orderBy("col_id").collect()] == ["cell1", "cell4"]
+    assert set(map(tuple, m.entries.collect())) == places(dense()[:, [1, 4]])
+    (tmp_path / "nobody.txt").write_text("unknown\n")
+    with pytest.raises(MatrixError, match="nothing"):
+        commands.subset(spark, path, str(tmp_path / "n"), column_file=str(tmp_path / "nobody.txt"))
+    out = commands.align_data(spark, [[path], [str(tmp_path / "s")]], str(tmp_path / "grid"))
+    parts = [store.read(spark, p) for p in out]
+    assert [p.cells.count() for p in parts] == [2, 2] and all(set(map(tuple, p.entries.collect())) == places(dense()[:, [1, 4]]) for p in parts)
+
+
 def test_simulated_counts_do_not_depend_on_partitions(spark):
     m = sim.topics(spark, 30, 20, batches=2)
     one = sorted(map(tuple, m.entries.collect()))
