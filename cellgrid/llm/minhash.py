@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators.graph import components
-from .common import looked_up, stored, table
+from .common import looked_up, perhaps_in, stored, table
 from .words import batches, mix
 
 POSITIONS = 1 << 20
@@ -94,13 +94,13 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            node, own = [], []
             for i, j, words, at, _ in batches(part.column("text")):
+                node, own = [], []
                 for k in range(j - i):
                     own.append(shingles(words[at[k] : at[k + 1]], width))
                     node.append(hashlib.blake2b(own[-1].tobytes(), digest_size=16).digest())
                     own[-1] = own[-1].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
 
     return docs.select("text").mapInArrow(run, "node binary, own array<long>")
 
@@ -192,17 +192,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def shared_bands(drawn: DataFrame) -> DataFrame:
+    """``(band, node, n, size)``: the bands of each set that another set has too, and how many have it.
+
+    Nearly all bands are of one row. Bands of several rows are known to tasks as
+    a bitmap, so that few others are shuffled with their sets.
+    """
+    rows = drawn.filter("n > 0").select("node", "n", F.explode("bands").alias("band"))
+    several = stored(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band"), "several")
+    rows = stored(perhaps_in(rows, "band", several, "_several").filter("_several").select("node", "n", "band").distinct(), "dealt")
+    full = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    return stored(looked_up(rows, "band", "node", full), "bands")
+
+
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(doc_id, n_shingles, node, comp, component_id)`` a row: its set and the component of sets, both null if empty."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = stored(sketch(docs, width).withColumn("at", F.monotonically_increasing_id()), "sketch")
-    nodes = drawn.filter("n > 0").dropDuplicates(["node"])
-    rows = nodes.select("node", "n", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = stored(looked_up(rows, "band", "node", full), "bands")
+    rows = shared_bands(drawn)
     shown = drawn.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(rows.select("node").distinct(), "node", "left_semi")
-    # A text may stand only in rows without doc_id.
-    holders = docs.join(shown, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
+    shown = stored(shown.filter("doc_id is not null").select("doc_id"), "shown")
+    # Only texts that may be asked for are shuffled. A text may stand only in rows without doc_id.
+    holders = perhaps_in(docs, "doc_id", shown, "_shown").filter("_shown").select("doc_id", "text").join(shown, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
     sets = stored(full_sets(holders, width).dropDuplicates(["node"]), "sets")
     links = stored(verified(central_pairs(rows, percent), sets, percent), "links")
     comps = components(links)
@@ -232,8 +243,12 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Of a component without any ``doc_id`` one row stays; rows without words all stay.
     """
     rows = stored(grouped(docs, width, percent), "groups")
-    kept = rows.filter(F.col("doc_id") == F.coalesce("component_id", "doc_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    stays = F.bool_or(F.col("doc_id") == F.coalesce("component_id", "doc_id"))
+    ids = stored(rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(stays.alias("stays")), "verdicts")
+    kept, gone = ids.filter("stays").select("_id"), ids.filter("not stays").select("_id")
+    # A row that is only in one of two bitmaps is decided where it is; no other text is shuffled.
+    marked = perhaps_in(perhaps_in(docs.withColumn("_id", F.col("doc_id").cast("long")).filter("_id is not null"), "_id", kept, "_kept"), "_id", gone, "_gone").filter("_kept")
+    named = marked.filter("not _gone").select(*docs.columns).union(marked.filter("_gone").join(kept, "_id", "left_semi").select(*docs.columns))
     alone = rows.filter("comp is not null and component_id is null").groupBy("comp").agg(F.min("node").alias("_node"))
     unnamed = with_node(docs.filter(F.col("doc_id").cast("long").isNull()), width)
     one = unnamed.join(alone, "_node", "left_semi").dropDuplicates(["_node"])

@@ -145,9 +145,9 @@ def summed(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def evidence(ids: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Shrunken log-odds of each bucket from the number of documents of each class that hold it."""
-    pairs = np.unique(np.stack([doc, ids], axis=1), axis=0)
-    pos = np.bincount(pairs[:, 1], weights=y[pairs[:, 0]], minlength=BUCKETS)
-    neg = np.bincount(pairs[:, 1], weights=1 - y[pairs[:, 0]], minlength=BUCKETS)
+    doc, ids = np.divmod(np.unique(doc * BUCKETS + ids), BUCKETS)
+    pos = np.bincount(ids, weights=y[doc], minlength=BUCKETS)
+    neg = np.bincount(ids, weights=1 - y[doc], minlength=BUCKETS)
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
     seen = pos + neg
     return (np.clip(odds, -3, 3) * seen / (seen + 3)).astype(np.float32)

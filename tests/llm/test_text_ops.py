@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from cellgrid.llm import chat, decontaminate, licenses, minhash, quality_rules
 from cellgrid.llm.license_rules import parsed
 from cellgrid.operators import graph
+from cellgrid.plans.storage import perhaps_in, stored
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -269,6 +271,39 @@ def test_near_copies_without_id(spark):
     assert len(left) == 6 and {(1, one), (None, three), (None, None), (None, ""), (2, None)} < set(left)
 
 
+def test_texts_without_copies_are_not_shuffled(spark):
+    rng = random.Random(9)
+    texts = [(i, words(rng, 400, 10**6)) for i in range(600)]
+    texts += [(1000 + i, edited(rng, texts[i][1], 2)) for i in range(12)]
+    sc = spark.sparkContext
+
+    def shuffled():
+        time.sleep(0.3)
+        spark.range(1).count()  # the figures are brought up to date by a task's end
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        return sc._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    limit, start = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = {r.doc_id: r.text for r in minhash.one_of_each(docs(spark, texts)).collect()}
+        moved = shuffled() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert left == dict(texts[:600])
+    assert 0 < moved < 0.6 * sum(len(t) for _, t in texts)
+
+
+def test_bitmaps_miss_no_key(spark):
+    keys = stored(spark.range(0, 90_000, 3).select(F.col("id").alias("k")), "keys")
+    seen = perhaps_in(spark.range(100_000).withColumn("k", F.when(F.col("id") < 99_000, F.col("id"))), "k", keys, "hit").groupBy(((F.col("k") % 3 == 0) & (F.col("k") < 90_000)).alias("true"), "hit").count().collect()
+    counts = {(r["true"], r["hit"]): r["count"] for r in seen}
+    assert counts[True, True] == 30_000 and (True, False) not in counts
+    assert counts[None, False] == 1_000 and counts.get((False, True), 0) < 0.03 * 69_000
+    empty = stored(spark.range(0).select(F.col("id").alias("k")), "keys")
+    assert perhaps_in(spark.range(5), "id", empty, "hit").filter("hit").count() == 0
+
+
 def test_circulant_estimates_jaccard():
     import numpy as np
 
