@@ -36,7 +36,7 @@ _RUN = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 #: White space outside ASCII, in UTF-8.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Bounds of what an encoder remembers, and the bytes it encodes at once.
-_KNOWN_RUNS, _KNOWN_IDS, _BATCH_BYTES = 1_200_000, 6_000_000, 1 << 20
+_KNOWN_RUNS, _KNOWN_IDS, _BATCH_BYTES = 600_000, 3_000_000, 1 << 18
 #: Runs that the tokenizer gets as one sequence.
 _SEQUENCE = 1000
 #: ASCII letters, and ASCII marks other than the apostrophe: the pre-tokenizer parts them wherever they meet.
@@ -55,7 +55,7 @@ class Encoder:
     """Token ids of whole texts.
 
     Runs between spaces recur, so each is encoded once and found again by a
-    64-bit hash of its bytes (two of the at most 1,200,000 remembered runs
+    64-bit hash of its bytes (two of the at most 600,000 remembered runs
     are confused with a chance of one in ten million). Strings of special
     tokens inside a text are ordinary text.
     """
