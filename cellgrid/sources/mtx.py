@@ -12,10 +12,10 @@ from ..plans.storage import listed, stored
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(pos, value)`` of the lines of one side table, in file order; compressed ones are known by their suffix."""
-    at = [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    """``(pos, value)`` of the lines of one side table, in file order, parts of a folder by name; compressed ones are known by their suffix."""
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
     lines = spark.read.option("lineSep", "\n").text(path).select(F.rtrim("value", F.lit("\r")).alias("value"), *at)
-    return running(lines, [], ["_block", "_line"]).select((F.col("_n") - 1).alias("pos"), "value")
+    return running(lines, [], ["_file", "_block", "_line"]).select((F.col("_n") - 1).alias("pos"), "value")
 
 
 def names_of(spark: SparkSession, path: str, n: int, what: str) -> DataFrame:
@@ -63,15 +63,17 @@ def read_mtx(spark: SparkSession, path: str, features: str | None = None, barcod
     or removed by words. A place given twice or out of range is refused, and so is a table of another length.
     """
     # The shape is the first line that is no comment, found by its place in one pass that counts the lines too.
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     lines = spark.read.text(path).select("value", at.alias("at")).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
     head = lines.agg(F.min(F.struct("at", "value")).alias("first"), F.count("*").alias("n")).first()
     shape = [int(x) for x in head.first.value.split()[:3]]
     if (found := head.n - 1) != shape[2]:
         raise MatrixError(f"{path} names {shape[2]} entries and has {found}")
     n = F.split(F.trim("value"), r"\s+")
-    body = lines.filter((F.col("at.block") != head.first["at"].block) | (F.col("at.line") != head.first["at"].line)).withColumn("n", n)
+    first = head.first["at"]
+    body = lines.filter((F.col("at.file") != first.file) | (F.col("at.block") != first.block) | (F.col("at.line") != first.line)).withColumn("n", n)
     entries = body.select((F.get("n", F.lit(0)).cast("long") - 1).alias("row_id"), (F.get("n", F.lit(1)).cast("long") - 1).alias("col_id"), F.get("n", F.lit(2)).cast("double").alias("val"))
+    entries = stored(entries, "entries") if check else entries  # four checks read them
     if features:
         p = F.split("value", "\t")
         table = names_of(spark, features, shape[0], "rows").withColumn("p", p).select(F.col("pos").alias("row_id"), spelled_locus(F.when(F.size("p") > 1, id_name(F.get("p", F.lit(0)), F.get("p", F.lit(1)))).otherwise(F.get("p", F.lit(0)))).alias("row_name"), F.coalesce(F.get("p", F.lit(2)), F.lit("")).alias("feature_type"))
@@ -116,9 +118,13 @@ F_ORDER = (0, 1, 2)
 
 
 def write_mex(m: SparseMatrix, out: str, compress: bool = True) -> None:
-    """``matrix.mtx``, ``features.tsv``, ``barcodes.tsv``, a folder with one part each, in order. A MatrixMarket file is one file, so its last step is one task."""
+    """``matrix.mtx``, ``features.tsv``, ``barcodes.tsv``: folders with parts in order, written side by side.
+
+    The parts of a folder end to end, compressed or not, are the file.
+    """
     codec = "gzip" if compress else "none"
-    last = lambda df: df.orderBy("ord").select("value").coalesce(1).write.option("compression", codec)
+    m = m.with_(entries=stored(m.entries, "entries"))
+    last = lambda df: df.orderBy("ord").select("value").write.option("compression", codec)
     last(mtx_lines(m)).text(f"{out}/matrix.mtx")
     kind = F.col("feature_type") if "feature_type" in m.features.columns else F.lit("Gene Expression")
     last(m.features.select(F.col("row_id").alias("ord"), F.concat_ws("\t", "row_name", "row_name", kind).alias("value"))).text(f"{out}/features.tsv")
